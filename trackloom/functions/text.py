@@ -106,18 +106,24 @@ def atom_args(atom: Column) -> Column:
 
 def template_bindings(template: Column, atom: Column) -> Column:
     """Map variable -> constant, or null when the atom does not fit (repeated variables must agree)."""
-    pairs = F.arrays_zip(atom_args(template).alias("v"), atom_args(atom).alias("c"))
-    is_variable = lambda p: p["v"].rlike("^[A-Z]$")
-    constants_agree = F.forall(pairs, lambda p: is_variable(p) | (p["v"] == p["c"]))
-    variables = F.filter(pairs, is_variable)
-    repeats_agree = F.forall(
-        variables, lambda p: F.forall(variables, lambda q: (p["v"] != q["v"]) | (p["c"] == q["c"]))
-    )
-    same_shape = (atom_predicate(template) == atom_predicate(atom)) & (
-        F.size(atom_args(template)) == F.size(atom_args(atom))
-    )
-    distinct = F.array_distinct(variables)
-    return F.when(same_shape & constants_agree & repeats_agree, F.map_from_entries(distinct))
+
+    def bind(parts: Column) -> Column:
+        pairs = F.zip_with(parts["t"], parts["a"], lambda t, a: F.struct(t.alias("v"), a.alias("c")))
+        return F.struct(
+            F.array_distinct(F.filter(pairs, lambda p: p["v"].rlike("^[A-Z]$"))).alias("bound"),
+            F.forall(pairs, lambda p: p["v"].rlike("^[A-Z]$") | (p["v"] == p["c"])).alias("constants_agree"),
+        )
+
+    def as_map(b: Column) -> Column:
+        names = F.array_distinct(b["bound"]["v"])
+        fits = b["constants_agree"] & (F.size(names) == F.size(b["bound"]))
+        return F.when(fits, F.map_from_entries(b["bound"]))
+
+    parts = F.struct(atom_args(template).alias("t"), atom_args(atom).alias("a"))
+    same_predicate = atom_predicate(template) == atom_predicate(atom)
+    # one-element arrays name an intermediate value so that it is computed once
+    sized = F.filter(F.array(parts), lambda p: same_predicate & (F.size(p["t"]) == F.size(p["a"])))
+    return F.get(F.transform(F.transform(sized, bind), as_map), F.lit(0))
 
 
 def canonical_body(templates: Column) -> Column:

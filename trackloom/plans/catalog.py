@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from trackloom.functions.numbers import settle_sql, settled
 from trackloom.plans.views import Inputs, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -21,7 +23,14 @@ def query(sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            counted = sql.replace("count_if(", "count(*) filter (where ")
+            ORACLE[name] = with_views(settle_sql(counted))
         return build
 
     return register
+
+
+def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
+    """The named columns, doubles rounded."""
+    kinds = dict(df.dtypes)
+    return df.select(*[settled(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c) for c in keep])

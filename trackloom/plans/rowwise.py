@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import bands, geometry, scores, text
+from trackloom.functions.numbers import settled
 from trackloom.plans.catalog import query
 from trackloom.plans.views import Inputs
 
 C = F.col
 
 
-def r(column, digits: int = 6):
-    return F.round(column, digits)
+r = settled
 
 
 KEY = ["frame_index", "det_index", "source"]
@@ -262,7 +262,7 @@ with a as (select video_id, track_id, frame_index, score as vis, x, z - 10 as mz
 b as (select *, 1 - least(1, abs(x) / 3.0) as cs, case when mz > 0 then 1 - least(1, mz / 40.0) else 0 end as ds, least(1, sqrt(area) / 120.0) as ars from a),
 c as (select *, greatest(cs, coalesce(fc, cs)) as mid from b),
 d as (select *, greatest(0, least(1, 0.3 * vis + 0.2 * mid + 0.25 * greatest(ars, ds) + 0.25 * case when mz > 0 then mid else 0 end)) as s from c)
-select video_id, track_id, frame_index, round(s, 9) as score, case when round(s,9) >= 0.67 then 'high' when round(s,9) >= 0.4 then 'medium' else 'low' end as label,
+select video_id, track_id, frame_index, round(s, 12) as score, case when round(s,9) >= 0.67 then 'high' when round(s,9) >= 0.4 then 'medium' else 'low' end as label,
        case when mz > 0 then mid else 0 end >= 0.5 as front_center from d""")
 def control_relevance(t: Inputs):
     frame_center = F.when(C("label") == "R", None).otherwise(C("score"))
@@ -271,7 +271,7 @@ def control_relevance(t: Inputs):
         "video_id",
         "track_id",
         "frame_index",
-        r(out["score"], 9).alias("score"),
+        r(out["score"], 12).alias("score"),
         out["label"].alias("label"),
         out["front_center"].alias("front_center"),
     )
