@@ -155,3 +155,37 @@ def linearity(df: DataFrame, keys: Sequence[str], order: str, x: str, z: str) ->
     return counts.join(spread, keys, "left").withColumn(
         "linearity", F.when((F.col("n") < 3) | F.col("spread").isNull(), 0.5).otherwise(score)
     )
+
+
+def ego_predicates(
+    df: DataFrame, keys: Sequence[str], order: str, length: int, stop: float, turn: float, epsilon: float, ratio: float
+) -> DataFrame:
+    """Moving, turning and speed-change labels of fixed-length segments from shares of their frames."""
+    keys = list(keys)
+    speed = norm(F.col("vx"), F.col("vz"))
+    moved = by_step(keys, order, SPAN).scan(df.withColumn("speed", speed), before=previous(F.col("speed")))
+    change = F.col("speed") - F.col("before")
+    agg = moved.groupBy(*keys, F.floor(F.col(order) / length).cast("int").alias("seg")).agg(
+        share(F.col("speed") < stop).alias("still"),
+        share(F.abs("vx") > turn).alias("turned"),
+        F.count_if(change > epsilon).alias("up"),
+        F.count_if(change < -epsilon).alias("down"),
+    )
+    c = F.col
+
+    def two_way(value: Column, yes: str, no: str) -> Column:
+        return F.when(value > ratio, yes).when(1 - value > ratio, no).otherwise("uncertain")
+
+    any_change = c("up") + c("down")
+    return (
+        agg.withColumn("moving", two_way(c("still"), "stopped", "moving"))
+        .withColumn("moving_confidence", F.abs(2 * c("still") - 1))
+        .withColumn("turning", two_way(c("turned"), "turning", "not_turning"))
+        .withColumn(
+            "speed_change",
+            F.when(any_change == 0, "constant_speed")
+            .when(c("up") / any_change > ratio, "speeding_up")
+            .when(c("down") / any_change > ratio, "slowing_down")
+            .otherwise("constant_speed"),
+        )
+    )

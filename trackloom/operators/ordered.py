@@ -27,14 +27,33 @@ START, END = W.unboundedPreceding, W.unboundedFollowing
 CHUNK = "__chunk"
 
 
+SMALL_INPUT_CONF = "spark.trackloom.smallInputBytes"
+SMALL_INPUT_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Catalyst bounds the whole input so low that even a single hot key fits one task easily.
+
+    Such inputs take the plain window; everything else is chunked.  Both ways give the same rows.
+    """
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+    if limit <= 0 or not hasattr(df, "_jdf"):
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 @dataclass(frozen=True)
 class Spec:
-    """One output of a scan: columns per row, summary per chunk, carry between chunks, final merge."""
+    """One output of a scan: columns per row, summary per chunk, carry between chunks, final merge.
+
+    ``plain`` is the same output as an ordinary window over the whole key.
+    """
 
     local: Callable[[WindowSpec], list[Column]]
     summary: Callable[[Column], Column]
     carry: Callable[[WindowSpec, Column], Column]
     merge: Callable[[list[Column], Column], Column]
+    plain: Callable[[WindowSpec], Column]
 
 
 def _zero(c: Column) -> Column:
@@ -48,6 +67,7 @@ def running_sum(value: Column | int) -> Spec:
         lambda o: F.sum(v),
         lambda w, s: F.sum(s).over(w.rowsBetween(START, -1)),
         lambda l, c: _zero(l[0]) + _zero(c),
+        lambda w: _zero(F.sum(v).over(w.rowsBetween(START, 0))),
     )
 
 
@@ -55,33 +75,23 @@ def row_number() -> Spec:
     return running_sum(1)
 
 
-def running_max(value: Column) -> Spec:
+def _whole(value: Column, fold: Callable[[Column], Column]) -> Spec:
     return Spec(
-        lambda w: [F.max(value).over(w.rowsBetween(START, 0))],
-        lambda o: F.max(value),
-        lambda w, s: F.max(s).over(w.rowsBetween(START, -1)),
-        lambda l, c: F.greatest(l[0], c),
+        lambda w: [],
+        lambda o: fold(value),
+        lambda w, s: fold(s).over(w.rowsBetween(START, END)),
+        lambda l, c: c,
+        lambda w: fold(value).over(w.rowsBetween(START, END)),
     )
 
 
 def total(value: Column | int) -> Spec:
     """Sum over the whole key."""
-    v = value if isinstance(value, Column) else F.lit(value)
-    return Spec(
-        lambda w: [],
-        lambda o: F.sum(v),
-        lambda w, s: F.sum(s).over(w.rowsBetween(START, END)),
-        lambda l, c: c,
-    )
+    return _whole(value if isinstance(value, Column) else F.lit(value), F.sum)
 
 
 def overall_max(value: Column) -> Spec:
-    return Spec(
-        lambda w: [],
-        lambda o: F.max(value),
-        lambda w, s: F.max(s).over(w.rowsBetween(START, END)),
-        lambda l, c: c,
-    )
+    return _whole(value, F.max)
 
 
 def carried(value: Column) -> Spec:
@@ -91,6 +101,7 @@ def carried(value: Column) -> Spec:
         lambda o: F.max_by(value, F.when(value.isNotNull(), o)),
         lambda w, s: F.last(s, True).over(w.rowsBetween(START, -1)),
         lambda l, c: F.coalesce(l[0], c),
+        lambda w: F.last(value, True).over(w.rowsBetween(START, 0)),
     )
 
 
@@ -101,6 +112,7 @@ def upcoming(value: Column) -> Spec:
         lambda o: F.min_by(value, F.when(value.isNotNull(), o)),
         lambda w, s: F.first(s, True).over(w.rowsBetween(1, END)),
         lambda l, c: F.coalesce(l[0], c),
+        lambda w: F.first(value, True).over(w.rowsBetween(0, END)),
     )
 
 
@@ -111,6 +123,7 @@ def previous(value: Column) -> Spec:
         lambda o: F.max_by(value, o),
         lambda w, s: F.lag(s).over(w),
         lambda l, c: F.when(l[0].isNull(), c).otherwise(l[1]),
+        lambda w: F.lag(value).over(w),
     )
 
 
@@ -120,6 +133,7 @@ def following(value: Column) -> Spec:
         lambda o: F.min_by(value, o),
         lambda w, s: F.lead(s).over(w),
         lambda l, c: F.when(l[0].isNull(), c).otherwise(l[1]),
+        lambda w: F.lead(value).over(w),
     )
 
 
@@ -133,6 +147,9 @@ class Ordered:
 
     def scan(self, df: DataFrame, **specs: Spec) -> DataFrame:
         keys, names = list(self.keys), df.columns
+        if is_small(df):
+            whole = W.partitionBy(*keys).orderBy(*self.order)
+            return df.select("*", *[s.plain(whole).alias(n) for n, s in specs.items()])
         cut = df.withColumn(CHUNK, self.chunk)
         ordering = F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
         carry = (
@@ -178,16 +195,25 @@ def near(
     position: str,
     reach: int,
     span: int = 8192,
+    then: dict[str, Callable[[WindowSpec], Column]] | None = None,
     **columns: Callable[[WindowSpec], Column],
 ) -> DataFrame:
-    """Window columns that look at most ``reach`` positions away; positions are dense per key."""
+    """Window columns that look at most ``reach`` positions away; positions are dense per key.
+
+    Columns of ``then`` are made after the others and may use them; ``reach`` covers both steps.
+    """
     if span < reach:
         raise ValueError("span must be at least the reach")
+    if is_small(df):
+        whole = W.partitionBy(*keys).orderBy(position)
+        made = df.select("*", *[make(whole).alias(n) for n, make in columns.items()])
+        return made.select("*", *[make(whole).alias(n) for n, make in (then or {}).items()])
     at = lambda shift: F.floor((F.col(position) + shift) / F.lit(span))
     w = W.partitionBy(*keys, CHUNK).orderBy(position)
     return (
         df.withColumn(CHUNK, F.explode(F.array_distinct(F.array(at(-reach), at(0), at(reach)))))
         .select("*", *[make(w).alias(n) for n, make in columns.items()])
+        .select("*", *[make(w).alias(n) for n, make in (then or {}).items()])
         .filter(F.col(CHUNK) == at(0))
         .drop(CHUNK)
     )
@@ -216,9 +242,11 @@ def runs(
         same = same_label & (gap <= 1) if contiguous else same_label
         return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
 
+    names = [*keys, label, "start_frame", "end_frame", *folds]
+    small = is_small(df)
     inner = W.partitionBy(*keys, CHUNK).orderBy(order)
     fragments = (
-        df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(span)))
+        df.withColumn(CHUNK, F.lit(0) if small else F.floor(F.col(order) / F.lit(span)))
         .withColumn(
             "__cut",
             breaks(
@@ -234,9 +262,10 @@ def runs(
             F.max(order).alias("end_frame"),
             *[_MERGE[k](c).alias(n) for n, (k, c) in folds.items()],
         )
-        .withColumn("__last", F.max("__part").over(W.partitionBy(*keys, CHUNK)))
     )
-    names = [*keys, label, "start_frame", "end_frame", *folds]
+    if small:
+        return fragments.select(*names)
+    fragments = fragments.withColumn("__last", F.max("__part").over(W.partitionBy(*keys, CHUNK)))
     edge = (F.col("__part") == 1) | (F.col("__part") == F.col("__last"))
     chain = W.partitionBy(*keys).orderBy("start_frame")
     stitched = (
