@@ -8,7 +8,7 @@ from trackloom.functions import text
 from trackloom.functions.numbers import settled
 from trackloom.operators import lagrules, masking, rules, selection
 from trackloom.plans.catalog import query, rounded
-from trackloom.plans.views import Inputs
+from trackloom.plans.views import Inputs, shared
 
 C = F.col
 HEAD = "forward_slowdown_next"
@@ -33,7 +33,7 @@ ma as (select distinct rule_id, confidence, example_id, label from (select rule_
 
 
 def facts(t: Inputs):
-    return rules.evidence(t.atoms(), t.examples())
+    return shared(rules.evidence(t.atoms(), t.examples()))
 
 
 def all_rules(t: Inputs):
@@ -45,7 +45,7 @@ def all_rules(t: Inputs):
 
 
 def rule_set(t: Inputs):
-    return selection.best_overall(all_rules(t), rules.final_order(), TOP, "rule_id")
+    return shared(selection.best_overall(all_rules(t), rules.final_order(), TOP, "rule_id"))
 
 
 def fired(t: Inputs):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,13 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A base table; its schema is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def signal(self) -> DataFrame:
         events = self.table("events").withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -99,7 +104,10 @@ class Inputs:
 
     def objects(self) -> DataFrame:
         q, d = F.col("l_quantity"), F.col("l_discount")
-        items = self.table("lineitem").join(
+        columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
+        # spread by the key that the join with the segments needs anyway; few large files would limit the tasks
+        items = self.table("lineitem").select(*columns).repartition("l_orderkey")
+        items = items.join(
             self.table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")
         )
         return items.join(self.segments(), F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -182,6 +190,11 @@ class Inputs:
         )
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a table that one query reads several times; lost blocks are recomputed from their lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def example_id():
     return F.col("video_id") * 100000 + F.col("segment_index")
 
