@@ -36,18 +36,20 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 def match_boundaries(truth: DataFrame, predicted: DataFrame, keys: Sequence[str], tolerance: int, block: int = 4096) -> DataFrame:
     """One-to-one matches of ordered boundaries within a tolerance, counted per video.
 
-    Boundaries further apart than the tolerance never interact, so each chain of close boundaries is an
-    independent group; within it the earliest unmatched partner in reach is the best choice.
+    Boundaries further apart than the tolerance never interact, so each chain of close boundaries is independent;
+    within it the earliest unmatched partner in reach is the best choice.  Whole chains are packed by position, so
+    a long video is many groups.
     """
-    from trackloom.operators.ordered import by_step, previous, running_sum
+    from trackloom.operators.ordered import by_step, carried, previous
 
     keys = list(keys)
     side = lambda df, s: df.select(*keys, F.col("frame").cast("bigint").alias("frame"), F.lit(s).alias("side"))
     both = side(truth, 0).unionByName(side(predicted, 1))
     scan = by_step(keys, "frame", block, "side")
     chained = scan.scan(both, before=previous(F.col("frame")))
-    cut = F.when(F.col("frame") - F.col("before") <= tolerance, 0).otherwise(1)
-    groups = scan.scan(chained.withColumn("cut", cut).drop("before"), chain=running_sum(F.col("cut"))).drop("cut")
+    far = F.coalesce(F.col("frame") - F.col("before") > tolerance, F.lit(True))
+    heads = chained.withColumn("head", F.when(far, F.col("frame"))).drop("before")
+    packed = scan.scan(heads, chain=carried(F.col("head"))).withColumn("pack", F.floor(F.col("chain") / block))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "side"])
@@ -64,9 +66,9 @@ def match_boundaries(truth: DataFrame, predicted: DataFrame, keys: Sequence[str]
         row = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**row, "truth": [len(t)], "predicted": [len(p)], "matched": [hits]})
 
-    types = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "truth bigint", "predicted bigint", "matched bigint"])
-    found = groups.groupBy(*keys, "chain").applyInPandas(work, schema)
+    found = packed.select(*keys, "pack", "frame", "side").groupBy(*keys, "pack").applyInPandas(work, schema)
     return found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("truth", "predicted", "matched")])
 
 

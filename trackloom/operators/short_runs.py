@@ -13,37 +13,49 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.ordered import by_step, following, previous, running_sum
+from trackloom.operators.ordered import by_step, carried, following, previous
 
 SPAN = 8192
 
 
 def independent_blocks(run_table: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """Number the blocks between neighbouring runs of at least ``least`` frames."""
+    """The start frame of the block of each run; blocks end between neighbouring runs of at least ``least`` frames."""
     scan = by_step(keys, "start_frame", SPAN)
     seen = scan.scan(run_table, before=previous(F.col("frames")))
-    cut = F.when((F.col("before") >= least) & (F.col("frames") >= least), 1).otherwise(0)
-    return scan.scan(seen.withColumn("cut", cut).drop("before"), block=running_sum(F.col("cut"))).drop("cut")
+    joined = (F.col("before") < least) | (F.col("frames") < least)
+    head = F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("start_frame"))
+    return scan.scan(seen.withColumn("head", head).drop("before"), block=carried(F.col("head"))).drop("head")
 
 
 def _per_block(run_table: DataFrame, keys: Sequence[str], least: int, label: str, rewrite: Callable) -> DataFrame:
+    """Rewrite each block; whole blocks are packed by position, so that a task gets a fair batch of them."""
     keys = list(keys)
     blocks = independent_blocks(run_table, keys, least).select(
-        *keys, "block", "start_frame", "end_frame", F.col("frames").cast("bigint"), F.col("mean").cast("double"), label
+        *keys,
+        "block",
+        F.floor(F.col("block") / SPAN).alias("pack"),
+        "start_frame",
+        "end_frame",
+        F.col("frames").cast("bigint"),
+        F.col("mean").cast("double"),
+        label,
     )
-    fields = [f for f in blocks.schema.fields if f.name != "block"]
+    fields = [f for f in blocks.schema.fields if f.name not in ("block", "pack")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     names = [f.name for f in fields]
+    columns = ["start_frame", "end_frame", "frames", "mean", label]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start_frame")
-        rows = pdf[["start_frame", "end_frame", "frames", "mean", label]].values.tolist()
-        out = pd.DataFrame(rewrite(rows), columns=["start_frame", "end_frame", "frames", "mean", label])
+        parts: dict = {}
+        for block, row in zip(pdf["block"].tolist(), pdf[columns].values.tolist()):
+            parts.setdefault(block, []).append(row)
+        out = pd.DataFrame([r for rows in parts.values() for r in rewrite(rows)], columns=columns)
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[names]
 
-    return blocks.groupBy(*keys, "block").applyInPandas(work, schema)
+    return blocks.groupBy(*keys, "pack").applyInPandas(work, schema)
 
 
 def _joined(a: list, b: list) -> list:
