@@ -22,8 +22,8 @@ def independent_blocks(run_table: DataFrame, keys: Sequence[str], least: int) ->
     """The start frame of the block of each run; blocks end between neighbouring runs of at least ``least`` frames."""
     scan = by_step(keys, "start_frame", SPAN)
     seen = scan.scan(run_table, before=previous(F.col("frames")))
-    joined = (F.col("before") < least) | (F.col("frames") < least)
-    head = F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("start_frame"))
+    joined = F.col("before").isNotNull() & ((F.col("before") < least) | (F.col("frames") < least))
+    head = F.when(joined, None).otherwise(F.col("start_frame"))
     return scan.scan(seen.withColumn("head", head).drop("before"), block=carried(F.col("head"))).drop("head")
 
 
