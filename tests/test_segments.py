@@ -167,3 +167,29 @@ def test_hysteresis_needs_nested_limits(spark):
     df = spark.createDataFrame([(1, 0, 1.0, 1.0)], "video_id int, frame_index int, vz double, speed double")
     with pytest.raises(ValueError):
         segmentation.forward_states(df, ["video_id"], "frame_index", "vz", "speed", 1, 5, 4, 1, 1, 1, 1, 1, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_consensus_is_the_best_path(spark, either_way, seed):
+    import itertools
+    import math
+
+    rnd = random.Random(seed)
+    states, least, n = ["a", "b", "c"], 2, 9
+    rows = [(1, i, *[rnd.choice([0.0, 0.2, 0.5, 1.0]) for _ in states]) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, at int, a double, b double, c double")
+    got = [r.state for r in sorted(segmentation.decode_consensus(df, ["k"], "at", states, least).collect(), key=lambda r: r["at"])]
+
+    def value(path):
+        out = 0.0
+        for (_, _, *ev), s in zip(rows, path):
+            total = sum(ev)
+            share = ev[states.index(s)] / total if total else 1 / 3
+            out += math.log(max(1e-12, share))
+        return out
+
+    def valid(path):
+        return all(len(list(g)) >= least for _, g in itertools.groupby(path))
+
+    best = max(value(p) for p in itertools.product(states, repeat=n) if valid(p))
+    assert valid(got) and abs(value(got) - best) < 1e-9

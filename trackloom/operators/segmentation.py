@@ -321,3 +321,78 @@ def static_correction(frames: DataFrame, objects: DataFrame, state: str, vz_limi
 
 def sweep_label(value: Column, threshold: Column, labels: tuple[str, str, str]) -> Column:
     return three_way(value, threshold, *labels)
+
+
+def decode_consensus(frames: DataFrame, keys: Sequence[str], position: str, states: Sequence[str], least: int, sure: float = 0.99) -> DataFrame:
+    """Most likely labels under a minimum segment length, from evidence columns named like the states.
+
+    The best path is found per block.  Blocks end at missing frames and inside stretches of ``2 * least`` rows where
+    one state holds at least ``sure`` of the evidence: leaving it there costs more than any change of path can gain,
+    so both sides are decided alone.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from trackloom.operators.ordered import carried
+
+    keys, states = list(keys), list(states)
+    total = sum((F.col(s) for s in states[1:]), F.col(states[0]))
+    share = frames.select(*keys, position, *[F.when(total > 0, F.col(s) / total).otherwise(1.0 / len(states)).alias(s) for s in states])
+    clear = F.lit(None).cast("string")
+    for s in states:
+        clear = F.when(F.col(s) >= sure, F.lit(s)).otherwise(clear)
+    width = 2 * least
+    marked = near(
+        share.withColumn("clear", clear),
+        keys,
+        position,
+        width,
+        same=lambda w: (F.min("clear").over(w.rowsBetween(-least, least - 1)) == F.max("clear").over(w.rowsBetween(-least, least - 1)))
+        & (F.count("clear").over(w.rowsBetween(-least, least - 1)) == width),
+    )
+    scan = by_step(keys, position, SPAN)
+    seen = scan.scan(marked, before=previous(F.col(position)), was=previous(F.col("same")))
+    gap = F.col("before").isNull() | (F.col(position) - F.col("before") > 1)
+    opens = gap | (F.col("same") & ~F.coalesce("was", F.lit(False)))
+    cut = seen.withColumn("head", F.when(opens, F.col(position))).drop("before", "was", "same", "clear")
+    blocks = scan.scan(cut, block=carried(F.col("head"))).withColumn("pack", F.floor(F.col("block") / SPAN)).drop("head")
+
+    def best_path(log: "np.ndarray") -> list[int]:
+        n, k = log.shape
+        prefix = np.vstack([np.zeros(k), np.cumsum(log, axis=0)])
+        if n < least:
+            return [int(np.argmax(prefix[n]))] * n
+        # enter[s]: best value of starting a segment of state s so far, net of the prefix at its start
+        score = np.full((n, k), -np.inf)
+        back: list[list[tuple[int, int]]] = [[(0, -1)] * k for _ in range(n)]
+        enter, origin = np.zeros(k), [(0, -1)] * k
+        for end in range(least - 1, n):
+            start = end - least + 1
+            if start > 0:
+                for s in range(k):
+                    others = [(score[start - 1, o], -o) for o in range(k) if o != s]
+                    value, o = max(others)
+                    if value - prefix[start, s] > enter[s]:
+                        enter[s], origin[s] = value - prefix[start, s], (start, -o)
+            for s in range(k):
+                score[end, s] = enter[s] + prefix[end + 1, s]
+                back[end][s] = origin[s]
+        path, end, s = [0] * n, n - 1, int(np.argmax(score[n - 1]))
+        while end >= 0:
+            start, before = back[end][s]
+            path[start : end + 1] = [s] * (end - start + 1)
+            end, s = start - 1, before
+        return path
+
+    def work(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        out = []
+        for _, part in pdf.sort_values(position).groupby("block", sort=True):
+            log = np.log(np.maximum(1e-12, part[states].to_numpy(dtype=float)))
+            path = best_path(log)
+            picked = part[states].to_numpy(dtype=float)[np.arange(len(path)), path]
+            out.append(part[[*keys, position]].assign(state=[states[i] for i in path], confidence=picked))
+        return pd.concat(out)
+
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    schema = ", ".join([*[f"{c} {types[c]}" for c in [*keys, position]], "state string", "confidence double"])
+    return blocks.groupBy(*keys, "pack").applyInPandas(work, schema)

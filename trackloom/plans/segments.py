@@ -288,3 +288,12 @@ def frame_label_audit(t: Inputs):
         F.when(C("changed"), C("p")).otherwise(C("state")).alias("final"),
         settled(F.when(C("changed"), confidence).otherwise(1.0)).alias("confidence"),
     )
+
+
+@query()
+def consensus_segments(t: Inputs):
+    from trackloom.plans.scoring import frame_votes
+
+    decoded = seg.decode_consensus(frame_votes(t), V, "frame_index", ["static", "forward", "left"], 3)
+    out = runs(decoded, V, "frame_index", "state", total=("sum", C("confidence")))
+    return rounded(out.withColumn("confidence", C("total") / C("frames")), "video_id", "state", "start_frame", "end_frame", "confidence")
