@@ -326,9 +326,10 @@ def sweep_label(value: Column, threshold: Column, labels: tuple[str, str, str])
 def decode_consensus(frames: DataFrame, keys: Sequence[str], position: str, states: Sequence[str], least: int, sure: float = 0.99) -> DataFrame:
     """Most likely labels under a minimum segment length, from evidence columns named like the states.
 
-    The best path is found per block.  Blocks end at missing frames and inside stretches of ``2 * least`` rows where
-    one state holds at least ``sure`` of the evidence: leaving it there costs more than any change of path can gain,
-    so both sides are decided alone.
+    The best path is found per block.  Blocks end at missing frames and in the middle of stretches of ``4 * least``
+    rows where one state holds at least ``sure`` of the evidence.  Any other segment reaching into such a stretch can
+    be cut back to its minimum length, which gains evidence and leaves at least ``least`` rows of the sure state on
+    both sides of the middle; so the best path holds that state there, and both sides are decided alone.
     """
     import numpy as np
     import pandas as pd
@@ -341,14 +342,15 @@ def decode_consensus(frames: DataFrame, keys: Sequence[str], position: str, stat
     clear = F.lit(None).cast("string")
     for s in states:
         clear = F.when(F.col(s) >= sure, F.lit(s)).otherwise(clear)
-    width = 2 * least
+    half = 2 * least
+    width = 2 * half
     marked = near(
         share.withColumn("clear", clear),
         keys,
         position,
         width,
-        same=lambda w: (F.min("clear").over(w.rowsBetween(-least, least - 1)) == F.max("clear").over(w.rowsBetween(-least, least - 1)))
-        & (F.count("clear").over(w.rowsBetween(-least, least - 1)) == width),
+        same=lambda w: (F.min("clear").over(w.rowsBetween(-half, half - 1)) == F.max("clear").over(w.rowsBetween(-half, half - 1)))
+        & (F.count("clear").over(w.rowsBetween(-half, half - 1)) == width),
     )
     scan = by_step(keys, position, SPAN)
     seen = scan.scan(marked, before=previous(F.col(position)), was=previous(F.col("same")))
@@ -396,3 +398,58 @@ def decode_consensus(frames: DataFrame, keys: Sequence[str], position: str, stat
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = ", ".join([*[f"{c} {types[c]}" for c in [*keys, position]], "state string", "confidence double"])
     return blocks.groupBy(*keys, "pack").applyInPandas(work, schema)
+
+
+def confidence_surface(points: DataFrame, grid: Sequence[tuple[float, float]]) -> DataFrame:
+    """Gaussian kernel density of (threshold, segment count) points at fixed grid nodes, scaled to a peak of one.
+
+    The grid is a short list in each row, so a point is expanded by the grid size only and summed on the map side.
+    """
+    spread = points.agg(F.stddev_pop("threshold").alias("sx"), F.stddev_pop("count").alias("sy"), F.count("*").alias("n"))
+    # one row: bandwidths shrink with the number of points
+    width = spread.select(
+        F.lit(1).alias("one"),
+        *[F.greatest(F.lit(1e-6), F.col(c) * F.pow(F.col("n"), F.lit(-1.0 / 6))).alias(c) for c in ("sx", "sy")],
+    )
+    nodes = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("gx"), F.lit(float(y)).alias("gy")) for x, y in grid]))
+    far = F.pow((F.col("threshold") - F.col("g.gx")) / F.col("sx"), F.lit(2)) + F.pow((F.col("count") - F.col("g.gy")) / F.col("sy"), F.lit(2))
+    density = (
+        points.withColumn("one", F.lit(1))
+        .join(F.broadcast(width), "one")
+        .withColumn("g", nodes)
+        .groupBy("g.gx", "g.gy")
+        .agg(F.avg(F.exp(-0.5 * far)).alias("density"))
+    )
+    peak = density.agg(F.max("density").alias("peak")).withColumn("one", F.lit(1))
+    return density.withColumn("one", F.lit(1)).join(F.broadcast(peak), "one").select("gx", "gy", (F.col("density") / F.col("peak")).alias("confidence"))
+
+
+def score_thresholds(df: DataFrame, keys: Sequence[str], position: str, value: str, options: Sequence[float], names: tuple[str, str, str]) -> DataFrame:
+    """Fit error and transitions of the three-way labelling under a few threshold options, and the best option.
+
+    The label a row gets under each option, and whether it differs from the row before, are columns of that row.
+    """
+    keys = list(keys)
+    v = F.col(value)
+    seen = by_step(keys, position, SPAN).scan(df, before=previous(v))
+    labels = {i: (three_way(v, th, *names), three_way(F.col("before"), th, *names)) for i, th in enumerate(options)}
+    aggs = []
+    for i, (now, was) in labels.items():
+        aggs.append(F.count_if(F.col("before").isNotNull() & (now != was)).alias(f"t{i}"))
+        for name in names:
+            inside = F.when(now == name, v)
+            aggs += [F.count(inside).alias(f"n{i}_{name}"), F.coalesce(F.var_pop(inside), F.lit(0.0)).alias(f"v{i}_{name}")]
+    wide = seen.groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
+    rows = [
+        F.struct(
+            F.round(
+                sum((F.col(f"n{i}_{name}") * F.col(f"v{i}_{name}") for name in names), F.lit(0.0)) / F.col("n") / 1000.0
+                + F.col(f"t{i}") / F.col("n"),
+                9,
+            ).alias("score"),
+            F.lit(i).alias("option"),
+            F.col(f"t{i}").alias("transitions"),
+        )
+        for i in labels
+    ]
+    return wide.select(*keys, F.array_min(F.array(*rows)).alias("best")).select(*keys, "best.option", "best.score", "best.transitions")

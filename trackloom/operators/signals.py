@@ -133,3 +133,14 @@ def transitions(df: DataFrame, keys: Sequence[str], order: str, state: str, reve
     return seen.groupBy(*keys).agg(
         F.count_if(now != before).alias("transitions"), F.count_if(swap).alias("reversals")
     )
+
+
+def history(df: DataFrame, keys: Sequence[str], position: str, value: str, back: int, padding: str) -> DataFrame:
+    """The last ``back`` values and the current one as an array, padded on the left, and how many were there."""
+    seen = near(df, keys, position, back, __h=lambda w: F.collect_list(value).over(w.rowsBetween(-back, 0)))
+    missing = F.lit(back + 1) - F.size("__h")
+    return (
+        seen.withColumn("history", F.concat(F.array_repeat(F.lit(padding), missing), F.col("__h")))
+        .withColumn("available", F.size("__h") - 1)
+        .drop("__h")
+    )

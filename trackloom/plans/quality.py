@@ -17,7 +17,7 @@ C = F.col
 
 
 def motion(t: Inputs):
-    return shared(tracks.relative_motion(sourced(t), ego(t)))
+    return t.once("motion", lambda: tracks.relative_motion(sourced(t), ego(t)))
 
 
 FACT = f"""{MOTION},

@@ -8,7 +8,7 @@ from trackloom.functions import text
 from trackloom.functions.numbers import settled
 from trackloom.operators import lagrules, masking, rules, selection
 from trackloom.plans.catalog import query, rounded
-from trackloom.plans.views import Inputs, shared
+from trackloom.plans.views import Inputs
 
 C = F.col
 HEAD = "forward_slowdown_next"
@@ -33,7 +33,7 @@ ma as (select distinct rule_id, confidence, example_id, label from (select rule_
 
 
 def facts(t: Inputs):
-    return shared(rules.evidence(t.atoms(), t.examples()))
+    return t.once("facts", lambda: rules.evidence(t.atoms(), t.examples()))
 
 
 def all_rules(t: Inputs):
@@ -45,13 +45,17 @@ def all_rules(t: Inputs):
 
 
 def rule_set(t: Inputs):
-    return shared(selection.best_overall(all_rules(t), rules.final_order(), TOP, "rule_id"))
+    return t.once("rule_set", lambda: selection.best_overall(all_rules(t), rules.final_order(), TOP, "rule_id"))
 
 
 def fired(t: Inputs):
     chosen = rule_set(t)
-    pairs = rules.match_counts(chosen.select("rule_id", "body"), facts(t))
-    return pairs.join(chosen.select("rule_id", "confidence"), "rule_id")
+
+    def match():
+        pairs = rules.match_counts(chosen.select("rule_id", "body"), facts(t))
+        return pairs.join(chosen.select("rule_id", "confidence"), "rule_id")
+
+    return t.once("fired", match)
 
 
 @query(f"""

@@ -264,3 +264,44 @@ def annotation_problems(t: Inputs):
     return segment_problems(shifted.select("video_id", "start_frame", "end_frame", "label"), ["video_id"], ["forward", "static"]).filter(
         "problem <> 'overlap'"
     )
+
+
+@query("""
+with p as (select o_custkey as id, case when o_orderdate < timestamp '1998-01-01' then 'train' else 'eval' end as part from orders), d as (select id, string_agg(distinct part, ',' order by part) as parts from p group by 1 having count(distinct part) > 1)
+select parts, count(*) as shared from d group by 1""")
+def split_separation(t: Inputs):
+    part = F.when(C("o_orderdate") < F.lit("1998-01-01").cast("timestamp"), "train").otherwise("eval")
+    return splits.shared_ids(t.table("orders").select(C("o_custkey").alias("id"), part.alias("part")), "id", "part")
+
+
+@query("""
+with h as (select video_id, segment_index, forward_label, lag(forward_label, 2) over w as a, lag(forward_label, 1) over w as b from v_segments window w as (partition by video_id order by segment_index))
+select video_id, segment_index, coalesce(a, '-') || '|' || coalesce(b, '-') || '|' || forward_label as history, case when a is not null then 2 when b is not null then 1 else 0 end as available from h""")
+def history_windows(t: Inputs):
+    from trackloom.operators.signals import history
+
+    s = t.segments().select("video_id", "segment_index", "forward_label")
+    out = history(s, ["video_id"], "segment_index", "forward_label", 2, "-")
+    return out.select("video_id", "segment_index", F.array_join("history", "|").alias("history"), "available")
+
+
+@query("""
+with h as (select video_id, track_id, avg(score) as score, count(*) as n from v_track_obs group by 1, 2), k as (select *, row_number() over (partition by video_id order by round(score, 9) desc, n desc, track_id) as k from h)
+select video_id, track_id, round(score, 6) as score, cast(k as int) as place from k where k <= 3""")
+def best_hypotheses(t: Inputs):
+    from trackloom.operators.selection import best_in_group
+
+    h = t.track_obs().groupBy("video_id", "track_id").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+    out = best_in_group(h, ["video_id"], [F.round("score", 9).desc(), F.desc("n"), C("track_id")], 3)
+    return rounded(out.withColumn("place", C("rank_in_group")), "video_id", "track_id", "score", "place")
+
+
+@query("""
+with m as (select frame_index, label, count(*) filter (where source = 'gt') as g, count(*) filter (where source = 'det') as d from v_boxes group by 1, 2), p as (select label, cast(sum(least(g, d)) as bigint) as hits, cast(sum(g) as bigint) as truth, cast(sum(d) as bigint) as found from m group by 1)
+select label, hits, truth, found, round(hits / found, 6) as precision, round(hits / truth, 6) as recall from p""")
+def pooled_detection_rates(t: Inputs):
+    n = lambda s: F.count_if(C("source") == s)
+    per_frame = t.boxes().groupBy("frame_index", "label").agg(n("gt").alias("g"), n("det").alias("d"))
+    pooled = per_frame.groupBy("label").agg(F.sum(F.least("g", "d")).alias("hits"), F.sum("g").alias("truth"), F.sum("d").alias("found"))
+    out = pooled.withColumn("precision", C("hits") / C("found")).withColumn("recall", C("hits") / C("truth"))
+    return rounded(out, "label", "hits", "truth", "found", "precision", "recall")

@@ -297,3 +297,27 @@ def consensus_segments(t: Inputs):
     decoded = seg.decode_consensus(frame_votes(t), V, "frame_index", ["static", "forward", "left"], 3)
     out = runs(decoded, V, "frame_index", "state", total=("sum", C("confidence")))
     return rounded(out.withColumn("confidence", C("total") / C("frames")), "video_id", "state", "start_frame", "end_frame", "confidence")
+
+
+GRID = [(x, y) for x in (20.0, 60.0, 120.0, 240.0) for y in (10.0, 30.0, 50.0)]
+
+
+@query("""
+with m as (select video_id, max(abs(vz)) as top from v_signal group by 1), g as (select video_id, top, unnest(range(1, 101)) as i from m where top > 0), l as (select s.video_id, frame_index, i, top * i / 101 as th, case when vz < -top * i / 101 then -1 when vz > top * i / 101 then 1 else 0 end as st from v_signal s join g on g.video_id = s.video_id),
+c as (select *, case when st = lag(st) over (partition by video_id, i order by frame_index) then 0 else 1 end as c from l), p as (select video_id, max(th) as x, cast(sum(c) as double) as y from c group by video_id, i),
+b as (select greatest(1e-6, stddev_pop(x) * pow(count(*), -1.0/6)) as sx, greatest(1e-6, stddev_pop(y) * pow(count(*), -1.0/6)) as sy from p), gr as (select gx, gy from (values (20.0::double), (60.0::double), (120.0::double), (240.0::double)) a(gx), (values (10.0::double), (30.0::double), (50.0::double)) b(gy)),
+d as (select gx, gy, avg(exp(-0.5 * (pow((x - gx) / sx, 2) + pow((y - gy) / sy, 2)))) as density from p, b, gr group by 1, 2) select gx, gy, round(density / (select max(density) from d), 6) as confidence from d""")
+def confidence_surface(t: Inputs):
+    sweep = seg.threshold_sweep(t.signal().select("video_id", "frame_index", "vz"), V, "frame_index", "vz")
+    points = t.once("sweep", lambda: sweep.select("threshold", C("segment_count").cast("double").alias("count")))
+    return rounded(seg.confidence_surface(points, GRID), "gx", "gy", "confidence")
+
+
+@query("""
+with o as (select * from (values (0, 10.0), (1, 30.0), (2, 90.0), (3, 200.0)) o(id, th)), l as (select video_id, frame_index, id, vz, case when vz < -th then 'backward' when vz > th then 'forward' else 'static' end as st from v_signal, o),
+c as (select *, case when st <> lag(st) over (partition by video_id, id order by frame_index) then 1 else 0 end as c from l), s as (select video_id, id, st, count(*) as n, var_pop(vz) as v, sum(c) as t from c group by 1, 2, 3),
+a as (select video_id, id, round(sum(n * v) / sum(n) / 1000 + sum(t) / sum(n), 9) as score, cast(sum(t) as bigint) as transitions from s group by 1, 2), k as (select *, row_number() over (partition by video_id order by score, id) as k from a)
+select video_id, id as "option", round(score, 6) as score, transitions from k where k = 1""")
+def scored_thresholds(t: Inputs):
+    out = seg.score_thresholds(t.signal().select("video_id", "frame_index", "vz"), V, "frame_index", "vz", [10.0, 30.0, 90.0, 200.0], ("backward", "static", "forward"))
+    return rounded(out, "video_id", "option", "score", "transitions")

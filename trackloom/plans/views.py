@@ -6,6 +6,7 @@ A customer's orders play the segments of a video, line items its objects, and a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         """A base table; its schema is read once per query."""
@@ -29,6 +31,12 @@ class Inputs:
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several steps of one query read, built and kept once."""
+        if name not in self._made:
+            self._made[name] = shared(make())
+        return self._made[name]
+
     def signal(self) -> DataFrame:
         events = self.table("events").withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
         in_time = Ordered(["user_id"], ["__us", "event_id"], F.floor(F.col("__us") / EVENT_CHUNK_MICROS))
