@@ -97,11 +97,11 @@ def reference_votes(t: Inputs):
 
 
 @query(f"""
-with {FACT}, l as (select quantile_cont(n, 1.0/3) as lo, quantile_cont(n, 2.0/3) as hi from st where video_id % 2 = 1)
+with {FACT}, l as (select quantile_cont(n, 1.0/3) as lo, quantile_cont(n, 2.0/3) as hi from st)
 select video_id, track_id, n, case when n <= lo then 'short' when n <= hi then 'medium' else 'long' end as length_bucket from st, l""")
 def track_length_buckets(t: Inputs):
     facts = t.track_obs().groupBy("video_id", "track_id").agg(F.count("*").alias("n"))
-    limits = quality.bucket_limits(facts.filter("video_id % 2 = 1"), "n")
+    limits = quality.bucket_limits(facts, "n")
     return quality.bucketed(facts, "n", limits, ["short", "medium", "long"], "length_bucket")
 
 

@@ -167,8 +167,8 @@ def best_threshold_candidate(t: Inputs):
 
 
 KEYFRAMES = """
-kf as (select video_id, frame_index as f, gt_label as label, count(*) over (partition by video_id) as n from v_timeline where true),
-ks as (select video_id, f, label, n from kf where f % 3 = 0),
+kf as (select video_id, frame_index as f, gt_label as label, pred_label, count(*) over (partition by video_id) as n from v_timeline),
+ks as (select video_id, f, label, n from kf where pred_label <> 'forward'),
 sg as (select video_id, n, f as start, coalesce(lead(f) over (partition by video_id order by f), n) - 1 as stop, label from ks)"""
 
 
@@ -176,7 +176,7 @@ def keyframes(t: Inputs):
     from trackloom.operators.ordered import by_step, total
 
     frames = by_step(V, "frame_index", 8192).scan(t.timeline(), n=total(1))
-    return frames.filter("frame_index % 3 = 0").select("video_id", "frame_index", C("gt_label").alias("label"), "n")
+    return frames.filter("pred_label <> 'forward'").select("video_id", "frame_index", C("gt_label").alias("label"), "n")
 
 
 def keyed_segments(t: Inputs):
