@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.spread import spread
+
 
 def greedy_per_group(pairs: DataFrame, keys: Sequence[str], first: str, second: str, cost: str) -> DataFrame:
     """Each ``first`` in order takes its cheapest free ``second``; ties go to the smaller ``second``.
@@ -82,4 +84,4 @@ def best_segment_assignment(pairs: DataFrame, keys: Sequence[str], block: int =
 
     types = {f.name: f.dataType.simpleString() for f in chained.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "a_start", "b_start", "iou"])
-    return chained.groupBy(*keys, "pack").applyInPandas(work, schema)
+    return spread(chained, *keys, "pack").groupBy(*keys, "pack").applyInPandas(work, schema)

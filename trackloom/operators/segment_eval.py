@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.spread import spread
+
 # Fixed values
 CLASSES = ["forward", "backward", "left", "right", "static"]
 
@@ -68,7 +70,7 @@ def match_boundaries(truth: DataFrame, predicted: DataFrame, keys: Sequence[str]
 
     types = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "truth bigint", "predicted bigint", "matched bigint"])
-    found = packed.select(*keys, "pack", "frame", "side").groupBy(*keys, "pack").applyInPandas(work, schema)
+    found = spread(packed.select(*keys, "pack", "frame", "side"), *keys, "pack").groupBy(*keys, "pack").applyInPandas(work, schema)
     return found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("truth", "predicted", "matched")])
 
 

@@ -20,6 +20,7 @@ from trackloom.operators.ordered import (
     runs,
 )
 from trackloom.operators.signals import edge_padded_mean
+from trackloom.operators.spread import spread
 
 SPAN = 8192
 
@@ -397,7 +398,7 @@ def decode_consensus(frames: DataFrame, keys: Sequence[str], position: str, stat
 
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = ", ".join([*[f"{c} {types[c]}" for c in [*keys, position]], "state string", "confidence double"])
-    return blocks.groupBy(*keys, "pack").applyInPandas(work, schema)
+    return spread(blocks, *keys, "pack").groupBy(*keys, "pack").applyInPandas(work, schema)
 
 
 def confidence_surface(points: DataFrame, grid: Sequence[tuple[float, float]]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.ordered import by_step, carried, following, previous
+from trackloom.operators.spread import spread
 
 SPAN = 8192
 
@@ -55,7 +56,7 @@ def _per_block(run_table: DataFrame, keys: Sequence[str], least: int, label: str
             out[k] = pdf[k].iloc[0]
         return out[names]
 
-    return blocks.groupBy(*keys, "pack").applyInPandas(work, schema)
+    return spread(blocks, *keys, "pack").groupBy(*keys, "pack").applyInPandas(work, schema)
 
 
 def _joined(a: list, b: list) -> list:
