@@ -84,16 +84,16 @@ with recursive shards as (
 ),
 wishes as (select list(first order by i) as firsts, list(skip order by i) as skips from shards),
 turns as (
-    select 0 as turn, list_transform(range({SLOTS}), lambda x: false) as taken, list_transform(range({SHARDS}), lambda x: 0::bigint) as at, -1::bigint as slot
+    select 0 as turn, list_transform(range({SLOTS}), lambda x: false) as taken, list_transform(range({SHARDS}), lambda x: 0::bigint) as tried, -1::bigint as slot
     union all
     select turn + 1,
         list_concat(list_concat(taken[1:got], [true]), taken[got + 2:]),
-        list_concat(list_concat(at[1:turn % {SHARDS}], [tries + 1]), at[turn % {SHARDS} + 2:]),
+        list_concat(list_concat(tried[1:turn % {SHARDS}], [tries + 1]), tried[turn % {SHARDS} + 2:]),
         got
     from (
         select *, (firsts[turn % {SHARDS} + 1] + tries * skips[turn % {SHARDS} + 1]) % {SLOTS} as got
         from (
-            select *, list_filter(range(at[turn % {SHARDS} + 1], {SLOTS}), lambda j: not taken[(firsts[turn % {SHARDS} + 1] + j * skips[turn % {SHARDS} + 1]) % {SLOTS} + 1])[1] as tries
+            select *, list_filter(range(tried[turn % {SHARDS} + 1], {SLOTS}), lambda j: not taken[(firsts[turn % {SHARDS} + 1] + j * skips[turn % {SHARDS} + 1]) % {SLOTS} + 1])[1] as tries
             from turns, wishes where turn < {SLOTS}
         )
     )
