@@ -72,8 +72,8 @@ class WordTokenizer:
         return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint16) for ws in words]
 
     def learn(self, words: set[str]) -> None:
-        # letters and a mark after them are separate tokens, and ASCII is lower-cased letter by letter
-        parts = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,!?;:" and w[:-1].isalpha() else (w,) for w in words}
+        # letters and a mark after them are separate tokens (if the lower case adds no mark), and ASCII is lower-cased by itself
+        parts = {w: (w[:-1], w[-1]) if w[-1] in ".,!?;:" and w[:-1].isalpha() and w[:-1].lower().isalpha() else (w,) for w in words}
         plain = {w: [p.lower() if p.isascii() else p for p in ps] for w, ps in parts.items()}
         new = list({p for ps in plain.values() for p in ps} - self.known.keys())
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):

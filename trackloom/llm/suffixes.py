@@ -166,9 +166,9 @@ def finer_table(batch: pa.RecordBatch, size: int) -> dict[str, np.ndarray] | Non
 
 
 class Splitters:
-    """Ranges of the order of whole keys: the five words, text_hash, p, a."""
+    """Ranges of the order of whole keys: the five words, then the place, in which even equal texts differ."""
 
-    KEY = [*WORDS, "text_hash", "p", "a"]
+    KEY = [*WORDS, "id", "text_hash", "p", "a"]
 
     def __init__(self, sample: list[tuple[int, ...]], ranges: int):
         keys = sorted(sample)
