@@ -110,11 +110,13 @@ def test_cuts_cost_the_least(seed):
     assert before == len(positions) - 1 and cost == cheapest(positions.tolist(), penalties.tolist(), 64)
 
 
-def test_words_give_the_ids_of_whole_texts(plain_tokenizer):
+def test_words_give_the_ids_of_whole_texts(small, plain_tokenizer):
     texts = ["Hello, World! It's  'RE\tfine…", "É éa ÄÖ ΑΣ. İ x y z \x1c\x85 <|endoftext|>", "a.b.c 12 34,5 don't.", "́start ́", "", " \n "]
     texts += ["".join(random.Random(n).choices("aB.,'é́ \n\t1!sİΣ", k=60)) for n in range(200)]
-    got = packing.WordTokenizer.at(PATH).encode(texts)
-    assert [g.tolist() for g in got] == [plain_tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["".join(random.Random(n).choices("aBZz.,_-*#é ñÜ \n1²ªµ½ŉ\x00£ß", k=60)) for n in range(300)]
+    texts += [r["text"] for r in small.filter("lang <> 'en'").limit(40).collect()]
+    words = packing.WordTokenizer.at(PATH)
+    assert [words.encode(t).tolist() for t in texts] == [plain_tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def by_definition(shards, slots):

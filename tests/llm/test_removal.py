@@ -194,6 +194,16 @@ def test_links_span_the_components_whatever_the_lists(spark, long_list, bits):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_the_filter_passes_every_list(spark):
+    rng = random.Random(5)
+    fps = spark.createDataFrame([(simhash.signed(rng.getrandbits(64)),) for _ in range(500)] + [(0,), (-1,)], "fp long")
+    lists = simhash.index(fps)
+    some = lists.filter("choice % 3 = 0")
+    passed = {tuple(r) for r in simhash.index_if_likely(fps, simhash.marks(some)).collect()}
+    assert {tuple(r) for r in some.collect()} <= passed <= {tuple(r) for r in lists.collect()}
+    assert len(passed) < 0.4 * lists.count()
+
+
 def test_chains_and_hubs_reach_the_smallest_node(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -12,8 +12,9 @@ but the last two are final, and the rest goes into the next block, so memory doe
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,42 @@ HARD_STEP = 64
 SEQUENCE_COST = 8
 BLOCK_IDS = 1 << 19
 #: Words that a worker remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Printable ASCII but the apostrophe, which may begin a piece of its own kind, and Latin letters: composing changes no such
+#: word, lower case goes letter by letter, and the pieces are the runs of letters, the digits, the runs of marks.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:\W|_)+")
+#: The letter that byte-level vocabularies write for each byte: printable Latin-1 stays, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class KnownWords(dict):
+    """Bytes of the 16-bit ids of words; a new word is looked up when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = self.look_up(word)
+        return found
+
+    def look_up(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            pieces = PIECES.findall(word)
+            if len(pieces) > 1:
+                return b"".join([self[p] for p in pieces])
+            return array("H", [t.id for t in self.model.tokenize(word if word.isascii() else "".join([BYTE_LETTERS[x] for x in word.encode()]))]).tobytes()
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+
 class WordTokenizer:
     """Ids of a lower-casing tokenizer whose tokens never cross white space, so texts are looked up word by word."""
 
@@ -44,17 +77,17 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        vocabulary = self.tokenizer.get_vocab()
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        vocabulary = tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids must be below 65,536")
+        self.known = KnownWords(tokenizer)
         self.ends_sentence = np.zeros(1 << 16, bool)
         for token, n in vocabulary.items():
             word = token.removesuffix("</w>")
             if word != token and word and not word.isalnum() and word.strip("\"')]}").endswith((".", "!", "?")):
                 self.ends_sentence[n] = True
-        if max(vocabulary.values()) >= 1 << 16:
-            raise ValueError("ids must be below 65,536")
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -62,54 +95,49 @@ class WordTokenizer:
             cls.shared[path] = cls(path)
         return cls.shared[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """16-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        self.learn(set().union(*words) - self.known.keys())
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint16) for ws in words]
-
-    def learn(self, words: set[str]) -> None:
-        # letters and a mark after them are separate tokens (if the lower case adds no mark), and ASCII is lower-cased by itself
-        parts = {w: (w[:-1], w[-1]) if w[-1] in ".,!?;:" and w[:-1].isalpha() and w[:-1].lower().isalpha() else (w,) for w in words}
-        plain = {w: [p.lower() if p.isascii() else p for p in ps] for w, ps in parts.items()}
-        new = list({p for ps in plain.values() for p in ps} - self.known.keys())
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.uint16).tobytes()
-        for w, ps in plain.items():
-            self.known[w] = b"".join([self.known[p] for p in ps])
+    def encode(self, text: str) -> np.ndarray:
+        """The 16-bit ids of a text."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))), np.uint16)
 
 
 def best_cuts(positions: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY) -> list[int]:
     """Indices of the chosen cuts, the last one included.  ``positions`` rise from 0 in steps of at most ``capacity``."""
     n = len(positions)
     at, cost = positions.tolist(), penalties.tolist()
-    exact: dict[int, list[int]] = {}
+    ends, begins = [], []
     size = 1
     while size <= capacity:
         where = np.searchsorted(positions, positions - size)
-        for j in np.flatnonzero(positions[where] == positions - size).tolist():
-            exact.setdefault(j, []).append(int(where[j]))
+        met = np.flatnonzero(positions[where] == positions - size)
+        ends.append(met)
+        begins.append(where[met])
         size *= 2
-    best, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    end, begin = np.concatenate(ends), np.concatenate(begins)
+    order = np.argsort(end, kind="stable")
+    exact_end, exact_begin, e = [*end[order].tolist(), n], begin[order].tolist(), 0
+    best, back = [0] * n, [0] * n
+    # the queue: candidates with rising value f(i) + c(i), from head on
+    queued, values, head = [0], [0], 0
     for j in range(1, n):
         c = at[j]
-        while at[queue[0][1]] < c - capacity:
-            queue.popleft()
-        least, i = queue[0]
-        least += capacity - c
-        for k in exact.get(j, ()):
+        first = c - capacity
+        while at[queued[head]] < first:
+            head += 1
+        i = queued[head]
+        least = values[head] - first
+        while exact_end[e] == j:
+            k = exact_begin[e]
+            e += 1
             if best[k] <= least:
                 least, i = best[k], k
         least += cost[j]
         best[j], back[j] = least, i
         value = least + c
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
+        while len(values) > head and values[-1] >= value:
+            values.pop()
+            queued.pop()
+        values.append(value)
+        queued.append(j)
     cuts, j = [], n - 1
     while j:
         cuts.append(j)
@@ -192,8 +220,8 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         stream = Stream(words.ends_sentence, TaskContext.get().partitionId() << 33, capacity)
         for batch in batches:
             for piece in cut(batch, 1 << 20):
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), words.encode(texts_of(piece)), strict=True):
-                    stream.add(doc_id, ids)
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts_of(piece), strict=True):
+                    stream.add(doc_id, words.encode(text))
                 if stream.size >= BLOCK_IDS:
                     yield from stream.pack(last=False)
         yield from stream.pack(last=True)

@@ -80,6 +80,55 @@ def index(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.value", "fp")
 
 
+#: Bits of the filter before the join with the lists of two and more; each is a fixed 32,768 of one row.
+FILTER_BITS = 1 << 24
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def marks(lists: DataFrame) -> np.ndarray:
+    """A bit for each list, by a hash; FILTER_BITS whatever the number of lists, so that a full one only filters less."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        value, choice = batch.column("value").to_numpy().view(np.uint64), batch.column("choice").to_numpy().astype(np.uint64)
+        return pa.record_batch([pa.array(hashed_bit(value, choice))], ["bit"])
+
+    rows = per_block(lists.select("choice", "value"), of, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    )
+    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in rows.collect():
+        at = r["n"] * 4096
+        out[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def index_if_likely(fps: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows of ``index`` whose list the filter doesn't exclude."""
+    masks = np.array([sum(0xFF << 8 * p for p in chosen) for chosen in CHOICES], np.uint64)
+    choices = np.arange(len(CHOICES), dtype=np.uint64)
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        value = fp[:, None] & masks[None]
+        bucket, place = bucket_and_place(hashed_bit(value, choices[None]))
+        row, choice = np.nonzero(bitmap[bucket * 4096 + place // 8] >> (place % 8).astype(np.uint8) & 1)
+        return pa.record_batch(
+            [pa.array(choice.astype(np.int32)), pa.array(value[row, choice].view(np.int64)), pa.array(fp[row].view(np.int64))],
+            ["choice", "value", "fp"],
+        )
+
+    return per_block(fps.select("fp"), of, "choice int, value long, fp long", block_bytes=1 << 17)
+
+
+def hashed_bit(value: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    return ((value ^ choice) * SPREAD >> np.uint64(40)).astype(np.int64)
+
+
+def bucket_and_place(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where Spark's bitmap functions keep a number: 1 to 32,768 is bucket 1, and so on."""
+    return (bit + 32767) // 32768, np.where(bit > 0, (bit - 1) % 32768, 0)
+
+
 def shared_bytes(differing: Column) -> Column:
     """Positions at which two fingerprints have the same byte, from their XOR."""
     return sum((F.shiftrightunsigned(differing, 8 * p).bitwiseAND(F.lit(0xFF).cast("long")) == 0).cast("int") for p in range(8))
@@ -89,14 +138,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST)
     """Edges (a, b) between distinct fingerprints; their components are those of all pairs within ``max_bits``."""
     if not 0 <= max_bits <= 8 - INDEXED:
         raise ValueError(f"max_bits must be 0 to {8 - INDEXED}")
-    lists = index(fps)
-    sizes = settle(lists.groupBy("choice", "value").agg(F.count("*").alias("n")).filter("n > 1"), "list_sizes")
+    sizes = settle(index(fps).groupBy("choice", "value").agg(F.count("*").alias("n")).filter("n > 1"), "list_sizes")
     # lists of one fingerprint go here; a long list is dealt to several tasks
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kept = settle(
-        lists.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["choice", "value", "salt"]).drop("salt"),
-        "lists",
-    )
+    likely = index_if_likely(fps, marks(sizes)).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    kept = settle(likely.join(salted, ["choice", "value", "salt"]).drop("salt"), "lists")
     short = kept.filter(F.col("n") <= long_list).drop("n")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     # a pair may meet in several lists; it counts in the one of its first shared positions
