@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one step inside a task looks at together.
 BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,13 @@ def only(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(name) for name, c in columns.items()])
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Texts may be long: from now on a batch of this session on its way to Python holds about four megabytes at most."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES or int(spark.conf.get(key).rstrip("b")) <= 0:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def per_block(
     df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -68,6 +76,7 @@ def per_block(
             for piece in cut(batch, block_bytes):
                 yield make(piece)
 
+    modest_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

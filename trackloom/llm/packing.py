@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, only, texts_of
+from trackloom.llm.common import cut, modest_batches, only, texts_of
 
 CAPACITY = 4096
 END_ID = 2
@@ -33,7 +33,7 @@ HARD_STEP = 64
 SEQUENCE_COST = 8
 BLOCK_IDS = 1 << 19
 #: Words that a worker remembers with their ids.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: Printable ASCII but the apostrophe, which may begin a piece of its own kind, and Latin letters: composing changes no such
 #: word, lower case goes letter by letter, and the pieces are the runs of letters, the digits, the runs of marks.
 PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -226,4 +226,5 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                     yield from stream.pack(last=False)
         yield from stream.pack(last=True)
 
+    modest_batches(docs.sparkSession)
     return only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")).mapInArrow(run, FIELDS)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import BLOCK_BYTES, cut, only, partitions, per_block, settle, texts_of
+from trackloom.llm.common import BLOCK_BYTES, cut, modest_batches, only, partitions, texts_of
 
 CHAIN = 2
 SIMILAR = 0.8
@@ -131,4 +131,5 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 
     ordered, _ = in_order(only(docs, doc_id=F.col("doc_id").cast("long"), text=F.coalesce(F.col("text"), F.lit(""))))
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    modest_batches(docs.sparkSession)
     return ordered.mapInArrow(run, fields)

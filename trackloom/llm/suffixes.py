@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, only, partitions, per_block, settle
+from trackloom.llm.common import cut, modest_batches, only, partitions, per_block, settle
 
 LENGTH = 400
 #: Starts that share an indexed suffix in the three sorts.
@@ -307,6 +307,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     No rows give no rows.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     texts = keyed(docs)
     chosen = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
     sample = texts.join(chosen, "id", "left_semi").drop("doc_id")

@@ -29,7 +29,7 @@ DRIFT = 0.25
 EXPECTED = 0.05
 #: The last fit reads at most this many labelled documents, the first ones in the order of a hash of their id.
 FIT_ROWS = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>/\\-_`~^+="
 
 _bins: dict[bytes, int] = {}
