@@ -6,26 +6,17 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from trackloom.operators.ordered import SMALL_INPUT_BYTES, SMALL_INPUT_CONF  # noqa: E402
-
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-@pytest.fixture(params=["plain", "chunked"])
-def either_way(request, spark):
-    """Runs a test with ordinary windows and with chunked ones."""
-    spark.conf.set(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES) if request.param == "plain" else "0")
-    yield request.param
-    spark.conf.set(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES))

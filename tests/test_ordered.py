@@ -17,7 +17,7 @@ def skewed(spark, n=900):
     return spark.createDataFrame(rows, "k int, at int, label string, v double")
 
 
-def test_scan(spark, either_way):
+def test_scan(spark):
     df = skewed(spark)
     got = ordered.by_step(["k"], "at", 16).scan(
         df,
@@ -50,7 +50,7 @@ def test_scan(spark, either_way):
     assert {(r.k, r.at): (r.n, r.s, r.before, r.after, r.last_a, r.next_a, r.whole) for r in got} == want
 
 
-def test_runs(spark, either_way):
+def test_runs(spark):
     df = skewed(spark)
     got = ordered.runs(df, ["k"], "at", "label", span=16, top=("max", F.col("v"))).collect()
     want = set()
@@ -70,13 +70,13 @@ def test_runs(spark, either_way):
     assert len(got) == len(want)
 
 
-def test_near(spark, either_way):
+def test_near(spark):
     df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("at"), F.col("id").cast("double").alias("v"))
     got = ordered.near(df, ["k"], "at", 3, 8, total=lambda w: F.sum("v").over(w.rowsBetween(-3, 3))).collect()
     assert {r["at"]: r.total for r in got} == {i: float(sum(range(max(0, i - 3), min(200, i + 4)))) for i in range(200)}
 
 
-def test_quantiles(spark, either_way):
+def test_quantiles(spark):
     import numpy as np
 
     df = skewed(spark)
@@ -89,7 +89,7 @@ def test_quantiles(spark, either_way):
         assert abs(got[k][1] - np.quantile(vs, 0.9)) < 1e-9
 
 
-def test_weighted_median(spark, either_way):
+def test_weighted_median(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0), (1, 2.0, 1.0), (1, 3.0, 3.0), (2, 5.0, 1.0), (2, -5.0, 1.0)], "k int, v double, w double")
     got = {r.k: r.m for r in weighted_median(df, ["k"], "v", "w", "m").collect()}
     assert got == {1: 3.0, 2: -5.0}
@@ -100,3 +100,27 @@ def test_value_bucket_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select(ordered.value_bucket(F.col("v")).alias("b"))
     got = [r.b for r in df.collect()]
     assert got == sorted(got)
+
+
+def test_null_keys_and_null_order_values_stay(spark):
+    from pyspark.sql import Window as W
+
+    rows = [(None, None, "a", 1.0), (None, 3, "a", 2.0), (None, 40, "b", 3.0), (1, None, "a", 4.0), (1, 5, "a", 5.0), (1, 77, "a", 6.0)]
+    df = spark.createDataFrame(rows, "k int, at int, label string, v double")
+    w = W.partitionBy("k").orderBy("at")
+    want = df.select("k", "at", F.row_number().over(w).alias("n"), F.sum("v").over(w).alias("s"), F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"))
+    got = ordered.by_step(["k"], "at", 16).scan(
+        df, n=ordered.row_number(), s=ordered.running_sum(F.col("v")), before=ordered.previous(F.col("v")), after=ordered.following(F.col("v"))
+    ).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    near = ordered.near(df, ["k"], "at", 2, span=16, around=lambda x: F.sum("v").over(x.rowsBetween(0, 0)))
+    assert near.count() == len(rows)
+    assert sum(r.frames for r in ordered.runs(df, ["k"], "at", "label", span=16).collect()) == len(rows)
+
+
+def test_a_hot_key_is_dealt_in_chunks(spark):
+    """No window of a scan holds a whole key: nine tenths of the rows have one key, and no task gets more than a few chunks."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).alias("k"), F.col("id").alias("at"))
+    out = ordered.by_step(["k"], "at", 500).scan(df, n=ordered.row_number())
+    parts = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert out.count() == 20_000 and parts < 12_000

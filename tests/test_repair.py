@@ -11,7 +11,7 @@ def boxes(spark, rows):
     return spark.createDataFrame([(1, t, f, l, s, x, 0.0, x + 20, 20.0) for t, f, l, s, x in rows], SCHEMA)
 
 
-def test_safe_gap_is_filled_at_the_midpoint(spark, either_way):
+def test_safe_gap_is_filled_at_the_midpoint(spark):
     filled, report = repair.fill_gaps(boxes(spark, [(1, 0, "car", 0.8, 0.0), (1, 2, "car", 0.6, 4.0)]))
     row = filled.collect()[0]
     assert (row.frame_index, row.x1, row.x2) == (1, 2.0, 22.0) and abs(row.score - 0.57) < 1e-9
@@ -39,7 +39,7 @@ def test_first_reason_wins(spark):
     assert {r.track_id: r.reason for r in report.collect()} == {1: "gap_length", 2: "low_endpoint_score"}
 
 
-def test_two_way_smoothing(spark, either_way):
+def test_two_way_smoothing(spark):
     rnd = random.Random(2)
     values = [rnd.uniform(-5, 5) for _ in range(80)]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, at int, v double")

@@ -42,11 +42,6 @@ def test_masked_score_of_a_single_rule_is_zero(spark):
     assert got[3, 2] == (0.9, False, "redundant_trigger")
 
 
-def test_split_counts():
-    assert splits.split_counts(10) == {"train": 7, "eval": 2, "test": 1}
-    assert splits.split_counts(100) == {"train": 70, "eval": 15, "test": 15}
-
-
 def test_three_way_split_is_disjoint_and_annotated(spark):
     ids = spark.range(100).withColumnRenamed("id", "v")
     pool = ids.filter("v % 2 = 0")

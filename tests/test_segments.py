@@ -78,7 +78,7 @@ def naive_smooth(labels, least):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_absorb_matches_restarting_loop(spark, either_way, seed):
+def test_absorb_matches_restarting_loop(spark, seed):
     data = random_labels(seed)
     got = labels_of(short_runs.absorb_short_runs(table(spark, data), ["video_id"], "state", 3))
     assert got == {v: naive_absorb(l, 3) for v, l in data.items()}
@@ -102,7 +102,7 @@ def test_islands_leave_no_short_run(spark):
     assert all(r.end_frame - r.start_frame + 1 > 2 for r in out)
 
 
-def test_forbidden_transition_halves_both(spark, either_way):
+def test_forbidden_transition_halves_both(spark):
     data = {1: ["forward"] * 4 + ["backward"] * 4 + ["static"] * 2}
     out = segmentation.transition_penalty(table(spark, data), ["video_id"], "state", ("forward", "backward"), 0.5)
     assert [r.multiplier for r in sorted(out.collect(), key=lambda r: r.start_frame)] == [0.5, 0.5, 1.0]
@@ -170,7 +170,7 @@ def test_hysteresis_needs_nested_limits(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_consensus_is_the_best_path(spark, either_way, seed):
+def test_consensus_is_the_best_path(spark, seed):
     import itertools
     import math
 

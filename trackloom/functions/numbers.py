@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def settled(value: Column, digits: int = 6) -> Column:
-    """Round after a nudge far below the last digit, so exact halves always go the same way."""
-    return F.round(value + F.lit(3.0 * 10.0 ** -(digits + 3)), digits)
+    """Round after a nudge far below the last digit, so exact halves always go the same way; zero has no sign."""
+    return F.round(value + F.lit(3.0 * 10.0 ** -(digits + 3)), digits) + F.lit(0.0)
 
 
 def settle_sql(sql: str) -> str:
@@ -30,5 +30,5 @@ def settle_sql(sql: str) -> str:
             end += 1
         digits = int(sql[comma + 1 : end - 1])
         inner = settle_sql(sql[start + 6 : comma])
-        out.append(f"{sql[at:start]}round(({inner}) + 3e-{digits + 3}, {digits})")
+        out.append(f"{sql[at:start]}(round(({inner}) + 3e-{digits + 3}, {digits}) + 0.0)")
         at = end

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder of the session and go on from there.
+    """Writes the rows to the shared checkpoint folder of the session and goes on from there.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; only where nothing is set, as in tests, a temporary
-    folder is used.
+    A cluster names the folder in ``spark.checkpoint.dir``; without one the job stops.  Only a session that runs on one machine
+    gets a temporary folder, which goes when Python ends.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="trackloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()

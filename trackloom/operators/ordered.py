@@ -11,7 +11,9 @@ into chunks of its order column and do the row work per (key, chunk):
 * ``runs``          - gaps and islands; runs are compressed per chunk and only the first and last run of a
   chunk are stitched with their neighbours.
 
-Key columns are expected to be non-null identifiers.
+There is one way for inputs of every size.  Null keys form a group of their own and null order values come first in it, as
+in an ordinary window: a chunk is addressed by a struct of keys and chunk, which is never null and equal where all its fields
+are, so windows, summaries and the join with the carry also share one partitioning.
 """
 
 from __future__ import annotations
@@ -24,36 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 START, END = W.unboundedPreceding, W.unboundedFollowing
-CHUNK = "__chunk"
-
-
-SMALL_INPUT_CONF = "spark.trackloom.smallInputBytes"
-SMALL_INPUT_BYTES = 32 << 20
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether Catalyst bounds the whole input so low that even a single hot key fits one task easily.
-
-    Such inputs take the plain window; everything else is chunked.  Both ways give the same rows.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-    if limit <= 0 or not hasattr(df, "_jdf"):
-        return False
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
-
+CHUNK, CELL = "__chunk", "__cell"
 
 @dataclass(frozen=True)
 class Spec:
-    """One output of a scan: columns per row, summary per chunk, carry between chunks, final merge.
-
-    ``plain`` is the same output as an ordinary window over the whole key.
-    """
+    """One output of a scan: columns per row, summary per chunk, carry between chunks, final merge."""
 
     local: Callable[[WindowSpec], list[Column]]
     summary: Callable[[Column], Column]
     carry: Callable[[WindowSpec, Column], Column]
     merge: Callable[[list[Column], Column], Column]
-    plain: Callable[[WindowSpec], Column]
 
 
 def _zero(c: Column) -> Column:
@@ -67,7 +49,6 @@ def running_sum(value: Column | int) -> Spec:
         lambda o: F.sum(v),
         lambda w, s: F.sum(s).over(w.rowsBetween(START, -1)),
         lambda l, c: _zero(l[0]) + _zero(c),
-        lambda w: _zero(F.sum(v).over(w.rowsBetween(START, 0))),
     )
 
 
@@ -81,7 +62,6 @@ def _whole(value: Column, fold: Callable[[Column], Column]) -> Spec:
         lambda o: fold(value),
         lambda w, s: fold(s).over(w.rowsBetween(START, END)),
         lambda l, c: c,
-        lambda w: fold(value).over(w.rowsBetween(START, END)),
     )
 
 
@@ -101,7 +81,6 @@ def carried(value: Column) -> Spec:
         lambda o: F.max_by(value, F.when(value.isNotNull(), o)),
         lambda w, s: F.last(s, True).over(w.rowsBetween(START, -1)),
         lambda l, c: F.coalesce(l[0], c),
-        lambda w: F.last(value, True).over(w.rowsBetween(START, 0)),
     )
 
 
@@ -112,7 +91,6 @@ def upcoming(value: Column) -> Spec:
         lambda o: F.min_by(value, F.when(value.isNotNull(), o)),
         lambda w, s: F.first(s, True).over(w.rowsBetween(1, END)),
         lambda l, c: F.coalesce(l[0], c),
-        lambda w: F.first(value, True).over(w.rowsBetween(0, END)),
     )
 
 
@@ -123,7 +101,6 @@ def previous(value: Column) -> Spec:
         lambda o: F.max_by(value, o),
         lambda w, s: F.lag(s).over(w),
         lambda l, c: F.when(l[0].isNull(), c).otherwise(l[1]),
-        lambda w: F.lag(value).over(w),
     )
 
 
@@ -133,7 +110,6 @@ def following(value: Column) -> Spec:
         lambda o: F.min_by(value, o),
         lambda w, s: F.lead(s).over(w),
         lambda l, c: F.when(l[0].isNull(), c).otherwise(l[1]),
-        lambda w: F.lead(value).over(w),
     )
 
 
@@ -147,29 +123,17 @@ class Ordered:
 
     def scan(self, df: DataFrame, **specs: Spec) -> DataFrame:
         keys, names = list(self.keys), df.columns
-        if is_small(df):
-            whole = W.partitionBy(*keys).orderBy(*self.order)
-            return df.select("*", *[s.plain(whole).alias(n) for n, s in specs.items()])
-        cut = df.withColumn(CHUNK, self.chunk)
-        ordering = F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
+        cut = df.withColumn(CHUNK, self.chunk).withColumn(CELL, F.struct(*keys, CHUNK))
+        whole = W.partitionBy(*[f"{CELL}.{k}" for k in keys]).orderBy(f"{CELL}.{CHUNK}")
         carry = (
-            cut.groupBy(*keys, CHUNK)
-            .agg(*[s.summary(ordering).alias(f"__s_{n}") for n, s in specs.items()])
-            .select(
-                *keys,
-                CHUNK,
-                *[
-                    s.carry(W.partitionBy(*keys).orderBy(CHUNK), F.col(f"__s_{n}")).alias(f"__c_{n}")
-                    for n, s in specs.items()
-                ],
-            )
+            cut.groupBy(CELL)
+            .agg(*[s.summary(F.struct(*self.order)).alias(f"__s_{n}") for n, s in specs.items()])
+            .select(CELL, *[s.carry(whole, F.col(f"__s_{n}")).alias(f"__c_{n}") for n, s in specs.items()])
         )
-        within = W.partitionBy(*keys, CHUNK).orderBy(*self.order)
+        within = W.partitionBy(CELL).orderBy(*self.order)
         local = {n: s.local(within) for n, s in specs.items()}
-        rows = cut.select(
-            "*", *[c.alias(f"__l_{n}_{i}") for n, cs in local.items() for i, c in enumerate(cs)]
-        )
-        return rows.join(carry, [*keys, CHUNK]).select(
+        rows = cut.select("*", *[c.alias(f"__l_{n}_{i}") for n, cs in local.items() for i, c in enumerate(cs)])
+        return rows.join(carry, CELL).select(
             *names,
             *[
                 s.merge([F.col(f"__l_{n}_{i}") for i in range(len(local[n]))], F.col(f"__c_{n}")).alias(n)
@@ -204,17 +168,13 @@ def near(
     """
     if span < reach:
         raise ValueError("span must be at least the reach")
-    if is_small(df):
-        whole = W.partitionBy(*keys).orderBy(position)
-        made = df.select("*", *[make(whole).alias(n) for n, make in columns.items()])
-        return made.select("*", *[make(whole).alias(n) for n, make in (then or {}).items()])
     at = lambda shift: F.floor((F.col(position) + shift) / F.lit(span))
     w = W.partitionBy(*keys, CHUNK).orderBy(position)
     return (
         df.withColumn(CHUNK, F.explode(F.array_distinct(F.array(at(-reach), at(0), at(reach)))))
         .select("*", *[make(w).alias(n) for n, make in columns.items()])
         .select("*", *[make(w).alias(n) for n, make in (then or {}).items()])
-        .filter(F.col(CHUNK) == at(0))
+        .filter(F.col(CHUNK).eqNullSafe(at(0)))
         .drop(CHUNK)
     )
 
@@ -243,10 +203,9 @@ def runs(
         return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
 
     names = [*keys, label, "start_frame", "end_frame", *folds]
-    small = is_small(df)
     inner = W.partitionBy(*keys, CHUNK).orderBy(order)
     fragments = (
-        df.withColumn(CHUNK, F.lit(0) if small else F.floor(F.col(order) / F.lit(span)))
+        df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(span)))
         .withColumn(
             "__cut",
             breaks(
@@ -263,8 +222,6 @@ def runs(
             *[_MERGE[k](c).alias(n) for n, (k, c) in folds.items()],
         )
     )
-    if small:
-        return fragments.select(*names)
     fragments = fragments.withColumn("__last", F.max("__part").over(W.partitionBy(*keys, CHUNK)))
     edge = (F.col("__part") == 1) | (F.col("__part") == F.col("__last"))
     chain = W.partitionBy(*keys).orderBy("start_frame")

@@ -64,10 +64,12 @@ def hash_split(t: Inputs):
 
 
 @query("""
-with a as (select c_custkey, c_mktsegment = 'BUILDING' as ann, count(*) over () as n from customer), w as (select max(n) as n, greatest(0, 0) as z from a),
-ts as (select c_custkey from (select c_custkey, row_number() over (order by sha256('7:annotated_test:' || c_custkey), c_custkey) as k from a where ann) x, w where k <= case when w.n % 20 = 0 then w.n * 15 / 100 else floor(w.n * 0.15) end),
-r as (select c_custkey, row_number() over (order by sha256('7:train_eval_split:' || c_custkey), c_custkey) as k from a where c_custkey not in (select c_custkey from ts))
-select c_custkey, 'test' as split from ts union all select c_custkey, case when k <= case when w.n % 20 = 0 then w.n * 15 / 100 else floor(w.n * 0.15) end then 'eval' else 'train' end from r, w""")
+with a as (select c_custkey, c_mktsegment = 'BUILDING' as ann from customer), n as (select count(*) as n from a),
+q as (select part, rank, n * share // 100 as base, n * share % 100 as lost, n from n, (values ('train', 1, 70), ('eval', 2, 15), ('test', 3, 15)) v(part, rank, share)),
+z as (select part, base + case when row_number() over (order by lost desc, rank) <= n - sum(base) over () then 1 else 0 end as size from q),
+ts as (select c_custkey from (select c_custkey, row_number() over (order by sha256('annotated_test:7:' || c_custkey), c_custkey::varchar) as k from a where ann) x where k <= (select size from z where part = 'test')),
+r as (select c_custkey, row_number() over (order by sha256('train_eval_split:7:' || c_custkey), c_custkey::varchar) as k from a where c_custkey not in (select c_custkey from ts))
+select c_custkey, 'test' as split from ts union all select c_custkey, case when k <= (select size from z where part = 'eval') then 'eval' else 'train' end from r""")
 def three_way_split(t: Inputs):
     customers = t.table("customer")
     return splits.three_way_split(customers, customers.filter("c_mktsegment = 'BUILDING'"), "c_custkey", 7)
