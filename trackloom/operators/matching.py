@@ -41,6 +41,30 @@ def greedy_per_group(pairs: DataFrame, keys: Sequence[str], first: str, second:
     return matched.select(*keys, F.col("m.a").alias(first), F.col("m.b").alias(second), F.col("m.cost").alias(cost))
 
 
+def pooled_position_rates(boxes: DataFrame, keys: Sequence[str], item: str, radius: float) -> DataFrame:
+    """Hits, false alarms, misses, precision, recall, F1 and mean distance of hits over all frames, as one row.
+
+    ``boxes`` has the keys of a frame, an item number, source (gt or det) and centre (cx, cy).  In a frame each detection in
+    order takes the nearest object that none before it took, within ``radius``.  Candidates meet by square cells of that
+    size, so far boxes of a crowded frame never form a pair.  Frames without pairs count as misses and false alarms.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    around = F.array(*[F.struct((F.col("ix") + i).alias("ix"), (F.col("iy") + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    at = boxes.withColumns({"ix": cell("cx"), "iy": cell("cy")})
+    found = at.filter("source = 'det'").withColumn("c", F.explode(around)).select(*keys, F.col("c.ix"), F.col("c.iy"), F.col(item).alias("d"), F.col("cx").alias("dx"), F.col("cy").alias("dy"))
+    truth = at.filter("source = 'gt'").select(*keys, "ix", "iy", F.col(item).alias("g"), "cx", "cy")
+    far = F.sqrt(F.pow(F.col("dx") - F.col("cx"), 2) + F.pow(F.col("dy") - F.col("cy"), 2))
+    pairs = found.join(truth, [*keys, "ix", "iy"]).select(*keys, "d", "g", far.alias("far")).filter(F.col("far") <= radius)
+    hits = greedy_per_group(pairs, keys, "d", "g", "far").agg(F.count("*").alias("hits"), F.sum("far").alias("far"))
+    totals = boxes.agg(F.count_if(F.col("source") == "gt").alias("truth"), F.count_if(F.col("source") == "det").alias("found"))
+    both = hits.crossJoin(totals)  # one row each
+    return both.select(
+        "hits", (F.col("found") - F.col("hits")).alias("false_alarms"), (F.col("truth") - F.col("hits")).alias("misses"),
+        (F.col("hits") / F.col("found")).alias("precision"), (F.col("hits") / F.col("truth")).alias("recall"),
+        (2.0 * F.col("hits") / (F.col("found") + F.col("truth"))).alias("f1"), (F.col("far") / F.col("hits")).alias("mean_position_error"),
+    )
+
+
 def best_segment_assignment(pairs: DataFrame, keys: Sequence[str], block: int = 4096) -> DataFrame:
     """One-to-one assignment of two segmentations with the largest total IoU.
 

@@ -21,6 +21,11 @@ def best_overall(df: DataFrame, order: Sequence[Column], k: int, rank: str = "ra
     return top.withColumn(rank, F.row_number().over(W.orderBy(*order)))
 
 
+def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """All rows with their place.  For rule pools: their size is bounded by the vocabulary of templates, not by the examples."""
+    return df.withColumn(rank, F.row_number().over(W.orderBy(*order)))
+
+
 def budgeted(df: DataFrame, category: str, budgets: dict[str, int], order: Sequence[Column], k: int) -> DataFrame:
     """Top k under a budget per category (a category without budget is free).
 

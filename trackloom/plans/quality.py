@@ -14,6 +14,8 @@ from trackloom.plans.sequences import MOTION, ego, sourced
 from trackloom.plans.views import Inputs, shared
 
 C = F.col
+#: Rules that the greedy selections choose, one a step.
+STEPS = 8
 
 
 def motion(t: Inputs):
@@ -203,7 +205,7 @@ def boundary_matches(t: Inputs):
 def diverse_rules(t: Inputs):
     chosen = rulebook.rule_set(t).withColumn("family", rules.family_signature(C("body")))
     fired = shared(rulebook.fired(t).select("rule_id", "example_id", "label"))
-    picked = greedy.select_diverse(chosen.select("rule_id", "confidence", "family", "negative_support"), fired, 4)
+    picked = greedy.select_diverse(chosen.select("rule_id", "confidence", "family", "negative_support"), fired, STEPS)
     rows = [(i + 1, int(p["rule_id"]), p["family"], int(p["new_positive"])) for i, p in enumerate(picked)]
     return t.spark.createDataFrame(rows, "step int, rule_id bigint, family string, new_positive bigint")
 
@@ -212,5 +214,5 @@ def diverse_rules(t: Inputs):
 def oracle_rule_curve(t: Inputs):
     fired = shared(rulebook.fired(t).select("rule_id", "example_id", "label"))
     positives = t.examples().filter("label").count()
-    rows = [(c["step"], int(c["rule_id"]), c["tp"], c["fp"], float(c["f1"])) for c in greedy.oracle_curve(fired, positives, 4)]
+    rows = [(c["step"], int(c["rule_id"]), c["tp"], c["fp"], float(c["f1"])) for c in greedy.oracle_curve(fired, positives, STEPS)]
     return t.spark.createDataFrame(rows, "step int, rule_id bigint, tp bigint, fp bigint, f1 double")

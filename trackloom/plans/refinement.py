@@ -8,7 +8,7 @@ from trackloom.functions.numbers import settled
 from trackloom.operators import components, learning, masking, metrics, repair, reports, reselection, rules, selection, tracks
 from trackloom.plans import rulebook
 from trackloom.plans.catalog import query, rounded
-from trackloom.plans.rulebook import MASK, MATCH, PREDICT, RULESET, UNARY, HEAD, CLAUSE1
+from trackloom.plans.rulebook import MASK, MATCH, PREDICT, RULESET, UNARY, HEAD, CLAUSE1, SELECTED
 from trackloom.plans.views import Inputs, shared
 
 C = F.col
@@ -39,11 +39,11 @@ def causal_classes(t: Inputs):
 
 
 @query(f"""
-with {RULESET}, sel as (select * from rs where rule_id <= 10), rem as (select rule_id from rs where rule_id in (2, 5)), fr as (select rule_id, row_number() over (order by rule_id) as k from rs where rule_id > 10)
+with {RULESET}, sel as (select * from rs where rule_id <= {SELECTED}), rem as (select rule_id from rs where rule_id in (2, 5)), fr as (select rule_id, row_number() over (order by rule_id) as k from rs where rule_id > {SELECTED})
 select rule_id, 'kept' as origin from sel where rule_id not in (select rule_id from rem) union all select rule_id, 'refill' from fr where k <= 2""")
 def refilled_rules(t: Inputs):
     pool = rulebook.rule_set(t)
-    out = reselection.refill(pool.filter("rule_id <= 10"), pool, pool.filter("rule_id in (2, 5)"), [C("rule_id")], 10)
+    out = reselection.refill(pool.filter(C("rule_id") <= SELECTED), pool, pool.filter("rule_id in (2, 5)"), [C("rule_id")], SELECTED)
     return out.select(C("rule_id").cast("bigint").alias("rule_id"), "origin")
 
 
@@ -70,7 +70,7 @@ def bag_of_atoms(t: Inputs):
 @query()
 def rule_firing_vectors(t: Inputs):
     vectors = learning.firing_vectors(
-        t.examples().select("example_id", "label"), rulebook.fired(t).select("example_id", (C("rule_id") - 1).alias("position")), rulebook.TOP
+        t.examples().select("example_id", "label"), rulebook.fired(t).select("example_id", (C("rule_id") - 1).alias("position")), rulebook.rule_set(t).count()
     )
     from pyspark.ml.functions import vector_to_array
 
@@ -81,7 +81,7 @@ def rule_firing_vectors(t: Inputs):
 def rule_weights(t: Inputs):
     vectors = shared(
         learning.firing_vectors(
-            t.examples().select("example_id", "label"), rulebook.fired(t).select("example_id", (C("rule_id") - 1).alias("position")), rulebook.TOP
+            t.examples().select("example_id", "label"), rulebook.fired(t).select("example_id", (C("rule_id") - 1).alias("position")), rulebook.rule_set(t).count()
         )
     )
     model = learning.fit_rule_weights(vectors, 1.0, vectors.count())

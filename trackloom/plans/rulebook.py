@@ -12,7 +12,10 @@ from trackloom.plans.views import Inputs
 
 C = F.col
 HEAD = "forward_slowdown_next"
-TOP = 25
+#: Rules of the selected set that refilling and coverage gains start from: the first ones of the final order.
+SELECTED = 10
+#: Rules of the budgeted selection; parents a family and in all of the round-robin selection.
+BUDGETED, PER_FAMILY, ROUND_ROBIN = 15, 3, 12
 
 FACTS = "fa as (select distinct a.example_id, e.label, a.template, a.o from v_atoms a join v_examples e on e.example_id = a.example_id)"
 UNARY = f"""{FACTS},
@@ -26,7 +29,7 @@ CLAUSE1 = f"'{HEAD}(S) :- ' || rtrim(template, '.') || '.'"
 CLAUSE2 = f"'{HEAD}(S) :- ' || rtrim(t1, '.') || ', ' || rtrim(t2, '.') || '.'"
 RULESET = f"""{PAIRS},
 al as (select {CLAUSE1} as clause, template as t1, cast(null as varchar) as t2, positive_support, negative_support, confidence, 1 as len from un union all select {CLAUSE2}, t1, t2, positive_support, negative_support, confidence, 2 from pa where positive_support >= 1),
-rs as (select *, row_number() over (order by round(confidence, 9) desc, positive_support desc, clause) as rule_id from al qualify rule_id <= {TOP})"""
+rs as (select *, row_number() over (order by round(confidence, 9) desc, positive_support desc, clause) as rule_id from al)"""
 MATCH = f"""{RULESET},
 ma as (select distinct rule_id, confidence, example_id, label from (select rule_id, confidence, fa.example_id, label from rs join fa on fa.template = rs.t1 where t2 is null
   union all select rule_id, rs.confidence, pe.example_id, label from rs join pe on pe.t1 = rs.t1 and pe.t2 = rs.t2))"""
@@ -45,7 +48,8 @@ def all_rules(t: Inputs):
 
 
 def rule_set(t: Inputs):
-    return t.once("rule_set", lambda: selection.best_overall(all_rules(t), rules.final_order(), TOP, "rule_id"))
+    """The whole pool with its place in the final order."""
+    return t.once("rule_set", lambda: selection.ranked(all_rules(t), rules.final_order(), "rule_id"))
 
 
 def fired(t: Inputs):
@@ -108,11 +112,11 @@ with {RULESET}, ca as (select *, {FAMILY} as family from al),
 bu as (select * from (select *, row_number() over (partition by family order by round(confidence, 9) desc, positive_support desc, clause) as k from ca) where (family = 'object_class|object_distance_state' and k <= 3) or (family = 'object_class|object_x_position_state' and k <= 2)
    or family not in ('object_class|object_distance_state', 'object_class|object_x_position_state')),
 se as (select *, row_number() over (order by round(confidence, 9) desc, positive_support desc, clause) as rk from bu)
-select rk as "rank", clause, family, round(confidence, 6) as confidence from se where rk <= 15""")
+select rk as "rank", clause, family, round(confidence, 6) as confidence from se where rk <= {BUDGETED}""")
 def budgeted_rules(t: Inputs):
     pool = all_rules(t).withColumn("family", rules.family_signature(C("body")))
     budgets = {"object_class|object_distance_state": 3, "object_class|object_x_position_state": 2}
-    out = selection.budgeted(pool, "family", budgets, rules.final_order(), 15)
+    out = selection.budgeted(pool, "family", budgets, rules.final_order(), BUDGETED)
     return rounded(out.withColumn("rank", C("rank").cast("bigint")), "rank", "clause", "family", "confidence")
 
 
@@ -277,22 +281,22 @@ def distinct_firing_rules(t: Inputs):
 
 @query(f"""
 with {RULESET}, ca as (select *, {FAMILY} as family from al), k as (select *, row_number() over (partition by family order by round(confidence, 9) desc, positive_support desc, clause) as k from ca),
-o as (select *, row_number() over (order by k, round(confidence, 9) desc, positive_support desc, clause) as rk from k where k <= 3)
-select rk as "rank", clause, family from o where rk <= 12""")
+o as (select *, row_number() over (order by k, round(confidence, 9) desc, positive_support desc, clause) as rk from k where k <= {PER_FAMILY})
+select rk as "rank", clause, family from o where rk <= {ROUND_ROBIN}""")
 def round_robin_rules(t: Inputs):
     pool = all_rules(t).withColumn("family", rules.family_signature(C("body")))
-    out = selection.round_robin(pool, "family", rules.final_order(), 3, 12)
+    out = selection.round_robin(pool, "family", rules.final_order(), PER_FAMILY, ROUND_ROBIN)
     return out.select(C("rank").cast("bigint").alias("rank"), "clause", "family")
 
 
 @query(f"""
-with {MATCH}, fn as (select e.example_id from v_examples e where e.label and not exists (select 1 from ma m where m.example_id = e.example_id and m.rule_id <= 10)),
-fp as (select distinct example_id from ma where not label and rule_id <= 10)
-select rule_id, count_if(m.example_id in (select example_id from fn)) as recovered, count_if(not label and m.example_id not in (select example_id from fp)) as added_fp from ma m where rule_id > 10 group by 1""")
+with {MATCH}, fn as (select e.example_id from v_examples e where e.label and not exists (select 1 from ma m where m.example_id = e.example_id and m.rule_id <= {SELECTED})),
+fp as (select distinct example_id from ma where not label and rule_id <= {SELECTED})
+select rule_id, count_if(m.example_id in (select example_id from fn)) as recovered, count_if(not label and m.example_id not in (select example_id from fp)) as added_fp from ma m where rule_id > {SELECTED} group by 1""")
 def coverage_gains(t: Inputs):
     f = fired(t).select("rule_id", "example_id", "label")
-    base = f.filter("rule_id <= 10").select("example_id").distinct()
-    extra = f.filter("rule_id > 10")
+    base = f.filter(C("rule_id") <= SELECTED).select("example_id").distinct()
+    extra = f.filter(C("rule_id") > SELECTED)
     fresh = extra.join(base, "example_id", "left_anti")
     gained = fresh.groupBy("rule_id").agg(F.count_if(C("label")).alias("recovered"), F.count_if(~C("label")).alias("added_fp"))
     return (

@@ -298,12 +298,26 @@ def best_hypotheses(t: Inputs):
     return rounded(out.withColumn("place", C("rank_in_group")), "video_id", "track_id", "score", "place")
 
 
-@query("""
-with m as (select frame_index, label, count(*) filter (where source = 'gt') as g, count(*) filter (where source = 'det') as d from v_boxes group by 1, 2), p as (select label, cast(sum(least(g, d)) as bigint) as hits, cast(sum(g) as bigint) as truth, cast(sum(d) as bigint) as found from m group by 1)
-select label, hits, truth, found, round(hits / found, 6) as precision, round(hits / truth, 6) as recall from p""")
+#: A detection farther from an object than this doesn't find it.
+MATCH_RADIUS = 12.0
+
+
+@query(f"""
+with recursive c as (select frame_index, det_index, source, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from v_boxes),
+o as (select d.frame_index, d.det_index as d, list(struct_pack(far := sqrt(pow(d.cx - g.cx, 2) + pow(d.cy - g.cy, 2)), g := g.det_index) order by sqrt(pow(d.cx - g.cx, 2) + pow(d.cy - g.cy, 2)), g.det_index) as options
+  from c d join c g on g.frame_index = d.frame_index and d.source = 'det' and g.source = 'gt' and sqrt(pow(d.cx - g.cx, 2) + pow(d.cy - g.cy, 2)) <= {MATCH_RADIUS} group by 1, 2),
+k as (select *, row_number() over (partition by frame_index order by d) as k from o),
+walk as (select distinct frame_index, 0::bigint as k, []::bigint[] as used, 0.0::double as far from k
+  union all select frame_index, k, case when pick is null then used else list_append(used, pick.g::bigint) end, far + coalesce(pick.far, 0.0) from (
+    select w.frame_index, k.k, w.used, w.far, list_filter(k.options, lambda x: not list_contains(w.used, x.g::bigint))[1] as pick from walk w join k on k.frame_index = w.frame_index and k.k = w.k + 1) s),
+m as (select coalesce(sum(len(used)), 0)::bigint as hits, coalesce(sum(far), 0) as far from (select *, max(k) over (partition by frame_index) as last from walk) x where k = last),
+n as (select count(*) filter (where source = 'gt') as truth, count(*) filter (where source = 'det') as found from v_boxes)
+select hits, found - hits as false_alarms, truth - hits as misses, round(hits / found, 6) as precision, round(hits / truth, 6) as recall, round(2.0 * hits / (found + truth), 6) as f1, round(far / hits, 6) as mean_position_error from m, n""")
 def pooled_detection_rates(t: Inputs):
-    n = lambda s: F.count_if(C("source") == s)
-    per_frame = t.boxes().groupBy("frame_index", "label").agg(n("gt").alias("g"), n("det").alias("d"))
-    pooled = per_frame.groupBy("label").agg(F.sum(F.least("g", "d")).alias("hits"), F.sum("g").alias("truth"), F.sum("d").alias("found"))
-    out = pooled.withColumn("precision", C("hits") / C("found")).withColumn("recall", C("hits") / C("truth"))
-    return rounded(out, "label", "hits", "truth", "found", "precision", "recall")
+    from trackloom.operators.matching import pooled_position_rates
+
+    at = lambda a, b: (C(a) + C(b)) / 2
+    boxes = t.boxes().select("frame_index", "det_index", "source", at("x1", "x2").alias("cx"), at("y1", "y2").alias("cy"))
+    out = pooled_position_rates(boxes, ["frame_index"], "det_index", MATCH_RADIUS)
+    return rounded(out, "hits", "false_alarms", "misses", "precision", "recall", "f1", "mean_position_error")
+

@@ -299,6 +299,8 @@ def with_views(sql: str) -> str:
     parts = [f"{name} as ({VIEWS[name]})" for name in needed]
     if not parts:
         return body
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(parts) + ",\n" + body[len("with recursive ") :]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + body[5:]
     return "with " + ",\n".join(parts) + "\n" + body
