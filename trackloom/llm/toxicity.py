@@ -32,19 +32,23 @@ FIT_ROWS = 20_000
 REMEMBERED = 150_000
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>/\\-_`~^+="
 
-_bins: dict[bytes, int] = {}
+
+class Bins(dict):
+    """The bin of each word that was asked for, marks at its ends cut off."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.strip(STRIP), 0) % BINS
+        return found
+
+
+_bins = Bins()
 
 
 def token_bins(text: str) -> np.ndarray:
-    """The bin of each word: lower case, marks at its ends cut off."""
-    global _bins
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    if len(_bins) > REMEMBERED:
-        _bins = {}
-    for w in set(words) - _bins.keys():
-        _bins[w] = xxhash.xxh64_intdigest(w.strip(STRIP), 0) % BINS
-    known = _bins
-    return np.array([known[w] for w in words], np.int64)
+    """The bin of each word, in lower case."""
+    return np.array([*map(_bins.__getitem__, text.lower().encode("utf-8", "surrogatepass").split())], np.int64)
 
 
 @dataclass
