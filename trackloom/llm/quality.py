@@ -22,7 +22,7 @@ KEEP_FROM = 0.5
 #: Character classes; a letter of another script, a mark outside ASCII and every other byte over 127 are one class.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\r\n", ".", ",", "!", "?", "|", "#$%&*@^~", "\"'`", "()[]{}", "-_/\\", ":;"]
 OTHER = len(CLASSES)
-FEATURES = 16 * 16 + 3
+FEATURES = 16 * 16 + 6
 
 TABLE = bytearray([OTHER] * 256)
 for _n, _chars in enumerate(CLASSES):
@@ -32,7 +32,10 @@ TABLE = bytes(TABLE)
 
 
 def features(text: str) -> np.ndarray:
-    """Square roots of the frequencies of class pairs, length, share of repeated lines, mean length of words."""
+    """Square roots of the frequencies of class pairs, length, mean length of words, and four measures of repetition.
+
+    These are the shares of lines, words and pairs of words that came before, and of words equal to the one before.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     made = np.zeros(FEATURES, np.float32)
     if len(raw) > 1:
@@ -43,6 +46,12 @@ def features(text: str) -> np.ndarray:
     made[256] = np.log1p(len(raw)) / 10
     made[257] = 1 - len(set(lines)) / len(lines)
     made[258] = np.log1p(len(raw) / (raw.count(b" ") + 1)) / 3
+    words = raw.split()
+    if len(words) > 1:
+        pairs = [*zip(words, words[1:], strict=False)]
+        made[259] = 1 - len(set(words)) / len(words)
+        made[260] = 1 - len(set(pairs)) / len(pairs)
+        made[261] = sum(a == b for a, b in pairs) / len(pairs)
     return made
 
 
