@@ -221,7 +221,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCUMENTS, limit: int = TRAIN_WINDO
         return pa.record_batch([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
 
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = per_block(docs.join(ids, "doc_id", "left_semi").select("text"), labelled, "x binary, y binary")
+    found = per_block(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), labelled, "x binary, y binary")
     got = found.distinct().orderBy(F.xxhash64("x"), "x", "y").limit(limit).toPandas()
     x, y = written_examples(WRITTEN_WINDOWS)
     if len(got):

@@ -71,10 +71,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and ``label`` of the labelled rows first in hash order: the same rows however the tables are cut."""
+    """text and label (``y``) of at most ``rows`` labels, the first in hash order: the same however the tables are cut.
+
+    The chosen labels are broadcast; there are never more than ``rows``.
+    """
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:

@@ -310,7 +310,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     modest_batches(spark)
     texts = keyed(docs)
     chosen = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
-    sample = texts.join(chosen, "id", "left_semi").drop("doc_id")
+    sample = texts.join(F.broadcast(chosen), "id", "left_semi").drop("doc_id")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(partitions(spark), 2 * size // SPARSE // RANGE_SUFFIXES + 1)
     found = sort_and_compare(texts.drop("doc_id"), sparse_table, splitters_of(sample, sparse_table, ranges), "sparse")
@@ -322,7 +322,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     for width, name in ((MIDDLE, "middle"), (1, "single")):
         make = lambda batch, width=width: finer_table(batch, width)
         chosen = open_runs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
-        cuts = splitters_of(open_runs.join(chosen, "id", "left_semi"), make, partitions(spark))
+        cuts = splitters_of(open_runs.join(F.broadcast(chosen), "id", "left_semi"), make, partitions(spark))
         found = sort_and_compare(open_runs, make, cuts, name)
         covers.append(by_text(found, COVERED, f"covered_{name}"))
         open_runs = touched.select("id", "text_hash", "text").join(by_text(found, REFINE, "runs"), ["id", "text_hash"])

@@ -63,10 +63,10 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the labelled documents outside the held-out fold."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").distinct()
-    return docs.select("doc_id", "text").join(known, "doc_id").filter(in_training(F.col("doc_id")))
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic outside the held-out fold."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
+    return known.filter(in_training(F.col("doc_id"))).distinct()
 
 
 def bin_counts(rows: DataFrame) -> np.ndarray:
@@ -158,15 +158,14 @@ def inputs(bins: np.ndarray, model: Model) -> list[float]:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Counts over all labelled training rows; the five last weights on a bounded sample of them.  No labels: all scores equal."""
-    rows = training_rows(docs, labels)
-    counts = bin_counts(rows)
+    texts, known = docs.select("doc_id", "text"), training_labels(labels)
+    counts = bin_counts(texts.join(known, "doc_id"))
     odds = log_odds(counts)
     model = Model(odds, chance_decay(odds - DRIFT, counts[0, :BINS]), 1.0, np.zeros(6))
     if not counts[:, BINS].all():
         return model
-    known = labels.select("doc_id").filter("doc_id is not null").filter(in_training(F.col("doc_id"))).distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = rows.join(chosen, "doc_id", "left_semi").select("text", "toxic")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
+    sample = settle(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic_sample")
     decay = model.decay
 
     def best(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,7 +173,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         tops = [max((s for _, _, s in segments(odds[b] - DRIFT)), default=0.0) for b in bins]
         return pa.record_batch([pa.array([len(b) for b in bins]), pa.array(np.array(tops)), batch.column("toxic")], ["n", "top", "toxic"])
 
-    sample = settle(sample, "toxic_sample")
     tops = per_block(sample, best, "n long, top double, toxic int").toPandas()
     clean = tops[(tops["toxic"] == 0) & (tops["top"] > 0)]
     if len(clean):  # P(best < s) = exp(-K n exp(-lambda s)), so K n exp(-lambda s) is exponential with mean one
