@@ -272,3 +272,28 @@ def test_one_document_follows_itself(spark, no_rows):
     row = spotsigs.fingerprints(one).first()
     assert row["near_next"] == 1.0
     assert spotsigs.fingerprints(no_rows).count() == 0
+
+
+def test_pairs_of_similar_sets(spark, nasty, no_rows):
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(400)] + ["the", "of", "and", "to"] * 40
+    base = [[rng.choice(words) for _ in range(rng.randint(20, 220))] for _ in range(12)]
+    texts = []
+    for t in base:
+        for _ in range(6):
+            new = list(t)
+            for _ in range(rng.randint(0, 4)):
+                new[rng.randrange(len(new))] = rng.choice(words)
+            texts.append(" ".join(new[: len(new) - rng.randint(0, 12)]))
+    texts += texts[:5] + ["", "single"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    sets = {}
+    for n, t in enumerate(texts):
+        sets.setdefault(tuple(spotsigs.signatures(t).tolist()), n)
+    items = [(n, set(s)) for s, n in sets.items() if s]
+    for similar in (0.5, 0.8):
+        want = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(items) for b, y in items[:i] if len(x & y) / len(x | y) >= similar}
+        got = {(r["a"], r["b"]) for r in spotsigs.near_duplicates(docs, similar).collect()}
+        assert got == want and len(want) > 10
+    assert spotsigs.near_duplicates(no_rows).count() == 0
+    spotsigs.near_duplicates(nasty).collect()

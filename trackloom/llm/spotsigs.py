@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import BLOCK_BYTES, cut, modest_batches, only, partitions, texts_of
+from trackloom.llm.common import BLOCK_BYTES, cut, modest_batches, only, partitions, per_block, settle, texts_of
 
 CHAIN = 2
 SIMILAR = 0.8
@@ -133,3 +133,56 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     modest_batches(docs.sparkSession)
     return ordered.mapInArrow(run, fields)
+
+
+def length_bounds(similar: float, longest: int) -> list[int]:
+    """Starts of the partitions by set length: two sets of partitions that aren't next to each other can't be alike enough."""
+    bounds = [1]
+    while bounds[-1] <= longest:
+        # sets of at least `similar` of each other's length lie in one partition or in two neighbours
+        bounds.append(max(bounds[-1] + 1, int(np.ceil(bounds[-1] / similar))))
+    return bounds
+
+
+def set_table(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """doc_id and the sorted signatures ``signs`` of each row."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        signs = [signatures(t, chain).astype(np.int64) for t in texts_of(batch)]
+        return pa.record_batch([batch.column("doc_id"), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "signs"])
+
+    return per_block(only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")), of, "doc_id long, signs array<long>")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, chain: int = CHAIN) -> DataFrame:
+    """(a, b, likeness) of all pairs of different signature sets at ``similar`` or more; a < b are the smallest ids of their sets.
+
+    Rows with equal sets are one here (join them back by their fingerprint).  Sets lie in partitions by length, and one meets
+    only its own partition and the next.  There two sets are compared if they share one of their rarest signatures (as
+    many as must hold one of ``similar`` of the set), so a chain that very many documents have makes no pairs.  A null doc_id or
+    a text without words takes no part.
+    """
+    sets = settle(set_table(docs, chain).filter("doc_id is not null and size(signs) > 0"), "sets")
+    one = settle(sets.groupBy(F.sha2(F.concat_ws(",", "signs"), 256).alias("set_id")).agg(F.min("doc_id").alias("id"), F.min_by("signs", "doc_id").alias("signs")), "distinct_sets")
+    longest = one.agg(F.max(F.size("signs"))).first()[0] or 0
+    bounds = length_bounds(similar, longest)
+    part = lambda n: F.size(F.filter(F.lit(bounds), lambda b: b <= n))
+    signs = one.select("id", F.size("signs").alias("n"), F.explode("signs").alias("sign"))
+    spread = signs.groupBy("sign").agg(F.count("*").alias("seen"))
+    ranked = signs.join(spread, "sign").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "sign"))).alias("signs"))
+    least = F.ceil(F.col("n") * F.lit(similar)).cast("int")
+    rare = ranked.select("id", "n", part(F.col("n")).alias("part"), F.explode(F.slice("signs.sign", 1, F.col("n") - least + 1)).alias("sign"))
+    low = rare.withColumn("meets", F.explode(F.array(F.col("part"), F.col("part") + 1)))
+    x, y = low.select("sign", "meets", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")), rare.select("sign", F.col("part").alias("meets"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    candidates = x.join(y, ["sign", "meets"]).filter(shorter & (F.col("na") >= F.col("nb") * F.lit(similar))).select("a", "b").distinct()
+    full = one.select("id", "signs")
+    both = candidates.join(full.select(F.col("id").alias("a"), F.col("signs").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("signs").alias("sb")), "b")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = batch.column("sa"), batch.column("sb")
+        found = [pruned_jaccard(np.array(x, np.uint32), np.array(y, np.uint32), similar) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "likeness"])
+
+    alike = per_block(both.select("a", "b", "sa", "sb"), compare, "a long, b long, likeness double").filter(F.col("likeness") >= similar)
+    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
