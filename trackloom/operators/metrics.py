@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.ordered import Ordered, row_number, running_sum, total, value_bucket
+from trackloom.operators.ordered import Ordered, row_number, running_sum, total, upcoming, value_bucket
 
 
 def confusion(df: DataFrame, keys: Sequence[str], predicted: Column, label: Column) -> DataFrame:
@@ -80,20 +80,24 @@ def average_precision(df: DataFrame, keys: Sequence[str], span: int = 65536) ->
     return joined.groupBy(*keys).agg((F.sum(precision) / F.max("positives")).alias("average_precision"))
 
 
-def threshold_table(df: DataFrame, keys: Sequence[str], extra: Sequence[float] = (0.0, 0.5, 1.0)) -> DataFrame:
-    """Confusion at every distinct score taken as threshold, and at a few fixed ones."""
+def threshold_table(df: DataFrame, keys: Sequence[str], extra: Sequence[float] = (0.0, 0.5, 1.0), beside: float = 1e-8) -> DataFrame:
+    """Confusion at every distinct score taken as threshold, just above and just below it, and at a few fixed ones.
+
+    A threshold has the counts of the smallest score that reaches it, so thresholds and scores are put in one order and each
+    threshold takes what comes next; no row is compared with a threshold.
+    """
     keys = list(keys)
     c = F.col
     s = score_counts(df, keys)
-    own = s.select(*keys, c("score").alias("threshold"), "tp", (c("rows") - c("tp")).alias("fp"), "positives", "total_rows")
+    near = F.array(c("score"), F.least(F.lit(1.0), c("score") + beside), F.greatest(F.lit(0.0), c("score") - beside), *[F.lit(float(v)) for v in extra])
+    wanted = s.select(*keys, F.explode(near).alias("value")).distinct().withColumn("at", F.lit(0)).withColumn("found", F.lit(None).cast("struct<tp:bigint,rows:bigint>"))
+    counts = F.struct(c("tp").cast("bigint").alias("tp"), c("rows").cast("bigint").alias("rows"))
+    marks = s.select(*keys, c("score").cast("double").alias("value"), F.lit(1).alias("at"), counts.alias("found"))
+    order = Ordered(keys, ["value", "at"], F.floor(c("value") * 1024))
+    placed = order.scan(wanted.unionByName(marks), reached=upcoming(c("found"))).filter("at = 0")
     totals = s.groupBy(*keys).agg(F.max("positives").alias("positives"), F.max("total_rows").alias("total_rows"))
-    fixed = totals.withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in extra])))
-    above = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in extra]))).groupBy(*keys, "threshold").agg(
-        F.coalesce(F.sum(F.when(c("score") >= c("threshold"), c("label"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(c("score") >= c("threshold"), 1 - c("label"))), F.lit(0)).alias("fp"),
-    )
-    at_fixed = fixed.join(above, [*keys, "threshold"]).select(*keys, "threshold", "tp", "fp", "positives", "total_rows")
-    every = own.unionByName(at_fixed).dropDuplicates([*keys, "threshold"])
+    tp, rows = F.coalesce(c("reached.tp"), F.lit(0)), F.coalesce(c("reached.rows"), F.lit(0))
+    every = placed.join(totals, keys).select(*keys, c("value").alias("threshold"), tp.alias("tp"), (rows - tp).alias("fp"), "positives", "total_rows")
     return with_rates(
         every.withColumn("fn", c("positives") - c("tp")).withColumn("tn", c("total_rows") - c("positives") - c("fp"))
     )

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from trackloom.operators.ordered import by_step, previous
 
 
 def causal_facts(edges: DataFrame) -> DataFrame:
@@ -45,13 +46,11 @@ def gate(protected: Column, f1_before: Column, f1_after: Column, tolerance: floa
 
 
 def loop_decisions(iterations: DataFrame, key: str, tolerance: float, most: int) -> DataFrame:
-    """Continue while F1 grows by more than the tolerance and iterations remain; a loop has few iterations."""
-    w = W.partitionBy(key).orderBy("iteration")
-    gain = F.col("f1") - F.lag("f1").over(w)
-    return iterations.withColumn(
-        "decision",
-        F.when(F.col("iteration") >= most, "stop_limit").when(gain <= tolerance, "stop_no_gain").otherwise("continue"),
-    )
+    """Continue while F1 grows by more than the tolerance and iterations remain; every iteration is judged."""
+    seen = by_step([key], "iteration", 4096).scan(iterations, before=previous(F.col("f1")))
+    gain = F.col("f1") - F.col("before")
+    decision = F.when(F.col("iteration") >= most, "stop_limit").when(gain <= tolerance, "stop_no_gain").otherwise("continue")
+    return seen.withColumn("decision", decision).drop("before")
 
 
 def bottleneck(best_single: Column, oracle: Column, actual: Column, gap: float = 0.05, low: float = 0.5) -> Column:

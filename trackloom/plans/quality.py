@@ -148,18 +148,18 @@ def best_patterns(t: Inputs):
 
 
 @query(f"""
-with c as (select l_suppkey as video_id, l_partkey % 50 as track_id, l_returnflag as object_class, case l_linenumber % 3 when 0 then 'smooth' when 1 then 'line' else 'split' end as pattern, max(l_quantity / 25 - 1) as improvement, max(l_discount) as prior from lineitem where l_linestatus = 'F' group by 1, 2, 3, 4),
-s as (select l_returnflag as object_class, case l_linenumber % 3 when 0 then 'smooth' when 1 then 'line' else 'split' end as pattern, avg(case when l_tax < 0.03 then 1.0 else 0 end) as success_rate, count(*) as samples from lineitem where l_discount > 0.09 group by 1, 2),
+with c as (select l_suppkey as video_id, l_partkey % 50 as track_id, l_returnflag as object_class, case l_linenumber % 3 when 0 then 'smooth' when 1 then 'line' else 'split' end as pattern, max(l_quantity / 25 - 1) as improvement, max(l_discount) as prior from lineitem group by 1, 2, 3, 4),
+s as (select l_returnflag as object_class, case l_linenumber % 3 when 0 then 'smooth' when 1 then 'line' else 'split' end as pattern, avg(case when l_tax < 0.03 then 1.0 else 0 end) as success_rate, count(*) as samples from lineitem group by 1, 2),
 k as (select c.video_id, c.track_id, c.pattern, c.object_class, 0.40 * greatest(-1, least(1, improvement)) + 0.25 * coalesce(success_rate, 0.5) + 0.20 * least(1, ln(1 + coalesce(samples, 0)) / ln(21)) + 0.15 * prior as score from c left join s on s.object_class = c.object_class and s.pattern = c.pattern),
 r as (select *, row_number() over (partition by video_id, track_id order by round(score, 9) desc, pattern, object_class) as k from k) select video_id, track_id, pattern, round(score, 6) as score from r where k = 1""")
 def ranked_repairs(t: Inputs):
     item = t.table("lineitem")
     pattern = F.when(C("l_linenumber") % 3 == 0, "smooth").when(C("l_linenumber") % 3 == 1, "line").otherwise("split")
     key = [C("l_suppkey").alias("video_id"), (C("l_partkey") % 50).alias("track_id"), C("l_returnflag").alias("object_class"), pattern.alias("pattern")]
-    candidates = item.filter("l_linestatus = 'F'").groupBy(*key).agg(
+    candidates = item.groupBy(*key).agg(
         F.max(C("l_quantity") / 25 - 1).alias("improvement"), F.max("l_discount").alias("prior")
     ).withColumn("verdict", F.lit("pass"))
-    statistics = item.filter("l_discount > 0.09").groupBy(C("l_returnflag").alias("object_class"), pattern.alias("pattern")).agg(
+    statistics = item.groupBy(C("l_returnflag").alias("object_class"), pattern.alias("pattern")).agg(
         F.avg((C("l_tax") < 0.03).cast("double")).alias("success_rate"), F.count("*").alias("samples")
     )
     return rounded(quality.rank_repairs(candidates, statistics), "video_id", "track_id", "pattern", "score")

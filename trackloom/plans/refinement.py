@@ -12,6 +12,8 @@ from trackloom.plans.rulebook import MASK, MATCH, PREDICT, RULESET, UNARY, HEAD,
 from trackloom.plans.views import Inputs, shared
 
 C = F.col
+#: A calibration loop ends after so many rounds.
+MOST_ITERATIONS = 6
 
 SUMMARY = f"""{MASK}, su as (select rule_id, count(*) as triggers, count_if(flipped) as flips, count_if(influence = 'helpful_for_correct_prediction') as helpful, count_if(influence = 'harmful_causal_source') as harmful,
   count_if(influence = 'helpful_for_correct_prediction' and label) as ntp, count_if(influence = 'harmful_causal_source' and not label) as cfp, count_if(influence = 'non_decisive_contribution') as minor, count_if(influence = 'redundant_trigger') as redundant from mi group by 1)"""
@@ -187,13 +189,12 @@ def metric_comparison(t: Inputs):
     return rounded(out.withColumn("gate", reports.gate(F.lit(False), C("f1_before"), C("f1_after"), 0.01)), "video_id", "f1_before", "f1_after", "f1_delta", "gate")
 
 
-@query("""
-with i as (select user_id as loop, row_number() over (partition by user_id order by ts, event_id) as iteration, value / 500 as f1 from events qualify iteration <= 6), g as (select *, f1 - lag(f1) over (partition by loop order by iteration) as gain from i)
-select loop, cast(iteration as bigint) as iteration, round(f1, 6) as f1, case when iteration >= 6 then 'stop_limit' when gain <= 0.01 then 'stop_no_gain' else 'continue' end as decision from g""")
+@query(f"""
+with i as (select user_id as loop, row_number() over (partition by user_id order by ts, event_id) as iteration, value / 500 as f1 from events), g as (select *, f1 - lag(f1) over (partition by loop order by iteration) as gain from i)
+select loop, cast(iteration as bigint) as iteration, round(f1, 6) as f1, case when iteration >= {MOST_ITERATIONS} then 'stop_limit' when gain <= 0.01 then 'stop_no_gain' else 'continue' end as decision from g""")
 def loop_decisions(t: Inputs):
-    first = selection.best_in_group(t.table("events"), ["user_id"], [C("ts"), C("event_id")], 6)
-    runs = first.select(C("user_id").alias("loop"), C("rank_in_group").cast("bigint").alias("iteration"), (C("value") / 500).alias("f1"))
-    return rounded(reports.loop_decisions(runs, "loop", 0.01, 6), "loop", "iteration", "f1", "decision")
+    runs = t.numbered_events().select(C("user_id").alias("loop"), C("rn").alias("iteration"), (C("value") / 500).alias("f1"))
+    return rounded(reports.loop_decisions(runs, "loop", 0.01, MOST_ITERATIONS), "loop", "iteration", "f1", "decision")
 
 
 @query("""

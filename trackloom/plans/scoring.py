@@ -29,7 +29,7 @@ def average_precision(t: Inputs):
 
 
 @query("""
-with th as (select distinct video_id, score as threshold from v_scores union select distinct video_id, th.t from v_scores, (values (0.0::double), (0.5::double), (1.0::double)) th(t)),
+with th as (select distinct video_id, score as threshold from v_scores union select video_id, least(1.0::double, score + 1e-8::double) from v_scores union select video_id, greatest(0.0::double, score - 1e-8::double) from v_scores union select distinct video_id, th.t from v_scores, (values (0.0::double), (0.5::double), (1.0::double)) th(t)),
 c as (select h.video_id, threshold, count_if(label = 1 and score >= threshold) as tp, count_if(label = 0 and score >= threshold) as fp, count_if(label = 1 and score < threshold) as fn, count_if(label = 0 and score < threshold) as tn from th h join v_scores s on s.video_id = h.video_id group by 1, 2),
 m as (select *, tp / greatest(1, tp + fp) as precision, tp / greatest(1, tp + fn) as recall, 2.0 * tp / greatest(1, 2 * tp + fp + fn) as f1 from c),
 k as (select *, row_number() over (partition by video_id order by round(f1, 9) desc, round(precision, 9) desc, round(recall, 9) desc, round(abs(threshold - 0.5), 9), threshold) as k from m)
@@ -195,12 +195,10 @@ def pseudo_labels(t: Inputs):
 @query("""
 select case when grouping(label) = 0 then 'class' when grouping(source) = 0 then 'source' else 'index' end as kind, coalesce(label, source, cast(det_index as varchar)) as value, round(avg(score - 0.8), 6) as bonus, count(*) as n from v_boxes group by grouping sets ((label), (source), (det_index))""")
 def mean_bonuses(t: Inputs):
-    t.boxes().createOrReplaceTempView("trackloom_boxes")
-    out = t.spark.sql(
-        """select case when grouping(label) = 0 then 'class' when grouping(source) = 0 then 'source' else 'index' end as kind,
-                  coalesce(label, source, cast(det_index as string)) as value, avg(score - 0.8) as bonus, count(*) as n
-           from trackloom_boxes group by grouping sets ((label), (source), (det_index))"""
-    )
+    kind = F.when(F.grouping("label") == 0, "class").when(F.grouping("source") == 0, "source").otherwise("index")
+    value = F.coalesce("label", "source", C("det_index").cast("string"))
+    sets = t.boxes().groupingSets([[C("label")], [C("source")], [C("det_index")]], "label", "source", "det_index")
+    out = sets.agg(kind.alias("kind"), value.alias("value"), F.avg(C("score") - 0.8).alias("bonus"), F.count("*").alias("n"))
     return rounded(out, "kind", "value", "bonus", "n")
 
 
@@ -258,14 +256,12 @@ def branch_decisions(t: Inputs):
 @query("""
 with s as (select video_id, start_frame, end_frame, label from v_runs), p as (select *, lag(end_frame) over (partition by video_id order by start_frame, end_frame) as pe from (select video_id, start_frame + start_frame % 4 as start_frame, end_frame, label from s) a)
 select video_id, 'gap' as problem, count(*) as n from p where start_frame > pe + 1 group by 1 union all select video_id, 'inverted', count(*) from p where end_frame < start_frame group by 1
- union all select video_id, 'unknown_label', count(*) from p where label not in ('forward', 'static') group by 1""")
+ union all select video_id, 'unknown_label', count(*) from p where label not in ('forward', 'static') group by 1 union all select video_id, 'overlap', count(*) from p where start_frame <= pe group by 1""")
 def annotation_problems(t: Inputs):
     from trackloom.operators.quality_checks import segment_problems
 
     shifted = t.truth_runs().withColumn("start_frame", C("start_frame") + C("start_frame") % 4)
-    return segment_problems(shifted.select("video_id", "start_frame", "end_frame", "label"), ["video_id"], ["forward", "static"]).filter(
-        "problem <> 'overlap'"
-    )
+    return segment_problems(shifted.select("video_id", "start_frame", "end_frame", "label"), ["video_id"], ["forward", "static"])
 
 
 @query("""

@@ -37,6 +37,12 @@ class Inputs:
             self._made[name] = shared(make())
         return self._made[name]
 
+    def numbered_events(self) -> DataFrame:
+        """Events with ``rn``, their place among those of their user."""
+        events = self.table("events").withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+        in_time = Ordered(["user_id"], ["__us", "event_id"], F.floor(F.col("__us") / EVENT_CHUNK_MICROS))
+        return in_time.scan(events, rn=row_number()).drop("__us")
+
     def signal(self) -> DataFrame:
         events = self.table("events").withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
         in_time = Ordered(["user_id"], ["__us", "event_id"], F.floor(F.col("__us") / EVENT_CHUNK_MICROS))

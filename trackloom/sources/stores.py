@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,11 @@ def config_key(config: dict, version: int) -> str:
 
 
 def write_results(rows: DataFrame, path: str, config: dict, version: int, fmt: str = "parquet") -> None:
-    """Rows partitioned by video with the hash of their configuration; only written partitions are replaced."""
-    stamped = rows.withColumn("config_hash", F.sha2(F.lit(config_key(config, version)), 256))
+    """Rows partitioned by video with the hash of their configuration; only written partitions are replaced.
+
+    The rows of a video are brought together first, a large one in several tasks, so a video has few files.
+    """
+    stamped = rows.hint("rebalance", "video_id").withColumn("config_hash", F.sha2(F.lit(config_key(config, version)), 256))
     (
         stamped.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -39,6 +42,9 @@ def pending(videos: DataFrame, stored: DataFrame, config: dict, version: int) ->
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """Stored results, or nothing when no run has written any."""
-    if "://" not in path and not Path(path).exists():
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.format(fmt).load(path)

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackloom.operators.ordered import Ordered, previous, running_sum
+
+#: Microseconds of one chunk of a subject.
+CHUNK_MICROS = 15 * 60 * 1_000_000
+
 
 def watermarked(events: DataFrame, time: str, delay: str) -> DataFrame:
     return events.withWatermark(time, delay) if events.isStreaming else events
@@ -36,13 +41,24 @@ def rolling_alerts(events: DataFrame, time: str, length: str, slide: str, failed
 
 
 def quiet_gap_sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, size: Column, delay: str) -> DataFrame:
-    """Rows of a subject joined until a quiet gap."""
-    return (
-        watermarked(events, time, delay)
-        .groupBy(*keys, F.session_window(time, gap).alias("w"))
-        .agg(F.count("*").alias("events"), F.max(size).alias("peak"))
-        .select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events", "peak")
-    )
+    """Rows of a subject joined until a quiet gap.  A table is cut into chunks of time, so a busy subject is many tasks."""
+    if events.isStreaming:
+        return (
+            watermarked(events, time, delay)
+            .groupBy(*keys, F.session_window(time, gap).alias("w"))
+            .agg(F.count("*").alias("events"), F.max(size).alias("peak"))
+            .select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events", "peak")
+        )
+    quiet = F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"interval {gap}")) - F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    at = events.select(*keys, F.col(time).alias("__at"), F.unix_micros(F.col(time).cast("timestamp")).alias("__us"), size.alias("__size")).filter("__us is not null")
+    chunk = F.floor(F.col("__us") / CHUNK_MICROS)
+    seen = Ordered(keys, ["__us"], chunk).scan(at, __before=previous(F.col("__us")))
+    starts = seen.withColumn("__joins", F.coalesce((F.col("__us") - F.col("__before") < quiet).cast("int"), F.lit(0)))
+    # of rows at one time the one that begins a session comes first
+    numbered = Ordered(keys, ["__us", "__joins"], chunk).scan(starts, __session=running_sum(1 - F.col("__joins")))
+    return numbered.groupBy(*keys, "__session").agg(
+        F.min("__at").alias("session_start"), (F.max("__at") + F.expr(f"interval {gap}")).alias("session_end"), F.count("*").alias("events"), F.max("__size").alias("peak")
+    ).drop("__session")
 
 
 def votes_once(votes: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
