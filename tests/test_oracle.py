@@ -13,7 +13,8 @@ QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 SAMPLE = [
     "unary_rules", "pair_rules", "relative_motion", "moving_means", "forward_states", "threshold_sweep", "contiguous_runs",
     "split_tracks_at_gaps", "robust_statistics", "weighted_medians", "nearest_in_time", "interpolated_observations",
-    "average_precision", "best_threshold", "hash_split", "reality_checks", "rule_masking", "conflict_windows", "future_events",
+    "average_precision", "best_threshold", "hash_split", "three_way_split", "pooled_detection_rates", "violation_episodes",
+    "coherence_states", "train_validation_split", "sample_records", "quiet_gap_sessions", "loop_decisions", "ranked_repairs", "reality_checks", "rule_masking", "conflict_windows", "future_events",
 ]
 NAMES = sorted(ORACLE) if os.environ.get("FULL_ORACLE") else SAMPLE
 

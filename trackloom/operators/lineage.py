@@ -1,27 +1,37 @@
-"""Cutting lineage in sequential loops."""
+"""Cutting lineage in sequential loops, and tables on the storage that all executors share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder of the session and goes on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; without one the job stops.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; without one the job stops.  Only a session that runs on one machine
-    gets a temporary folder, which goes when Python ends.
+    Only a session that runs on one machine gets a temporary folder, which goes when Python ends.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="trackloom-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder of the session and goes on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
