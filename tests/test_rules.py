@@ -89,5 +89,10 @@ def test_diverse_selection_prefers_new_coverage(spark):
     fired = spark.createDataFrame([(1, e, True) for e in range(6)] + [(2, e, True) for e in range(5)] + [(3, e, True) for e in range(6, 9)], "rule_id int, example_id int, label boolean")
     pool = spark.createDataFrame([(1, 0.9, "f", 0), (2, 0.95, "g", 0), (3, 0.5, "f", 0)], "rule_id int, confidence double, family string, negative_support int")
     assert [c["rule_id"] for c in greedy.select_diverse(pool, fired, 3)] == [1, 3]
+    weak = pool.withColumn("weak", F.col("rule_id") == 1)
+    # the weak rule loses one: 6 + 0.225 - 1 is below 5 + 0.2375
+    assert greedy.select_diverse(weak, fired, 1)[0]["rule_id"] == 2
+    # by coverage and quality: 6 + 0.9 ln 7 against 5 + 0.95 ln 6; then 3 + 0.5 ln 4 + 0.75 / 2 - 0.75 against 0.75 + 0.95 ln 6 - 5 * 0.35
+    assert [c["rule_id"] for c in greedy.select_diverse(pool, fired, 2, "coverage")] == [1, 3]
     curve = greedy.oracle_curve(fired, 9, 3)
     assert [c["rule_id"] for c in curve] == [1, 3] and curve[-1]["f1"] == 1.0

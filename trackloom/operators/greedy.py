@@ -9,27 +9,33 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.lineage import checkpointed
 
-# Named utilities over (new_positive, overlap_positive, family_reuse, new_negative, confidence, negative_support)
+# What repetition and weakness of a rule cost in every utility
+OVERLAP, FAMILY, NEGATIVE, WEAK = 0.35, 0.75, 0.1, 1.0
+
+
+def cost() -> Column:
+    weak = F.when(F.col("weak"), WEAK).otherwise(0.0)
+    return OVERLAP * F.col("overlap_positive") + FAMILY * F.col("family_reuse") + NEGATIVE * F.col("negative_support") + weak
+
+
+# Named utilities over new_positive, confidence, positives, family_reuse and the columns of the cost
 UTILITIES: dict[str, Callable[[], Column]] = {
-    "diverse": lambda: F.col("new_positive")
-    + 0.25 * F.col("confidence")
-    - 0.35 * F.col("overlap_positive")
-    - 0.75 * F.col("family_reuse")
-    - 0.1 * F.col("negative_support"),
-    "coverage": lambda: F.col("new_positive") + 0.25 * F.col("confidence"),
+    "diverse": lambda: F.col("new_positive") + 0.25 * F.col("confidence") - cost(),
+    "coverage": lambda: F.col("new_positive") + F.col("confidence") * F.log1p("positives") + 0.75 / (1 + F.col("family_reuse")) - cost(),
 }
 
 
 def select_diverse(rules: DataFrame, fired: DataFrame, k: int, utility: str = "diverse") -> list[dict]:
     """Up to k rules by marginal positive coverage.
 
-    ``rules``: rule_id, confidence, family, negative_support; ``fired``: rule_id, example_id, label.  Each round
-    joins the uncovered examples, scores every rule and brings back one row, the winner.
+    ``rules``: rule_id, confidence, family, negative_support and, where rules can be weak candidates, weak; ``fired``:
+    rule_id, example_id, label.  Each round joins the uncovered examples, scores every rule and brings back one row, the winner.
     """
     scoring = UTILITIES[utility]
     positives = checkpointed(fired.filter("label").select("rule_id", "example_id"))
     sizes = positives.groupBy("rule_id").agg(F.count("*").alias("positives"))
-    pool = checkpointed(rules.join(sizes, "rule_id", "left").na.fill(0, ["positives"]))
+    known = rules if "weak" in rules.columns else rules.withColumn("weak", F.lit(False))
+    pool = checkpointed(known.join(sizes, "rule_id", "left").na.fill(0, ["positives"]))
     uncovered, chosen, families = positives, [], {}
     for _ in range(k):
         gained = uncovered.groupBy("rule_id").agg(F.count("*").alias("new_positive"))
