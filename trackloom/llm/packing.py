@@ -33,7 +33,8 @@ HARD_STEP = 64
 SEQUENCE_COST = 8
 BLOCK_IDS = 1 << 19
 #: Words that a worker remembers with their ids.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
+MARKS = frozenset(".,!?;:")
 #: Printable ASCII but the apostrophe, which may begin a piece of its own kind, and Latin letters: composing changes no such
 #: word, lower case goes letter by letter, and the pieces are the runs of letters, the digits, the runs of marks.
 PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -54,9 +55,19 @@ class KnownWords(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = found = self.look_up(word)
+        if word.isascii() and word.isalpha():
+            found = self.of_letters(word) if word.islower() else self[word.lower()]
+        elif word[-1:] in MARKS and word[:-1].isascii() and word[:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1]]
+        else:
+            found = self.look_up(word)
+        self[word] = found
         return found
 
+    def of_letters(self, letters: str) -> bytes:
+        """Of one piece, in the letters of the byte alphabet."""
+        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def look_up(self, word: str) -> bytes:
         if PLAIN.fullmatch(word):
             lower = word.lower()
@@ -65,7 +76,7 @@ class KnownWords(dict):
             pieces = PIECES.findall(word)
             if len(pieces) > 1:
                 return b"".join([self[p] for p in pieces])
-            return array("H", [t.id for t in self.model.tokenize(word if word.isascii() else "".join([BYTE_LETTERS[x] for x in word.encode()]))]).tobytes()
+            return self.of_letters(word if word.isascii() else "".join([BYTE_LETTERS[x] for x in word.encode()]))
         return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
@@ -97,6 +108,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """The 16-bit ids of a text."""
+        if text.isascii():
+            text = text.lower()
         return np.frombuffer(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))), np.uint16)
 
 
