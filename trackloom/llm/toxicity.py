@@ -159,7 +159,8 @@ def inputs(bins: np.ndarray, model: Model) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Counts over all labelled training rows; the five last weights on a bounded sample of them.  No labels: all scores equal."""
     texts, known = docs.select("doc_id", "text"), training_labels(labels)
-    counts = bin_counts(texts.join(known, "doc_id"))
+    # the labels grow with the documents, so both sides are dealt by id, whatever their size
+    counts = bin_counts(texts.filter(in_training(F.col("doc_id"))).join(known.hint("merge"), "doc_id"))
     odds = log_odds(counts)
     model = Model(odds, chance_decay(odds - DRIFT, counts[0, :BINS]), 1.0, np.zeros(6))
     if not counts[:, BINS].all():
