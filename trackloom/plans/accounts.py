@@ -57,11 +57,11 @@ def scene_summaries(t: Inputs):
 
 
 @query("""
-with s as (select video_id, track_id from v_track_obs group by 1, 2 having count(*) >= 12 and avg(score) >= 0.78)
+with s as (select video_id, track_id from v_track_obs group by 1, 2 having count(*) >= 12 and round(avg(score), 9) >= 0.78)
 select o.video_id, o.frame_index, count(*) as selected_objects, string_agg(cast(o.track_id as varchar), ',' order by o.track_id) as tracks, round(max(o.score), 6) as best from v_track_obs o join s on s.video_id = o.video_id and s.track_id = o.track_id group by 1, 2""")
 def selected_objects_by_frame(t: Inputs):
     obs = t.track_obs()
-    chosen = obs.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).filter("n >= 12 and mean >= 0.78")
+    chosen = obs.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), settled(F.avg("score"), 9).alias("mean")).filter("n >= 12 and mean >= 0.78")
     met = obs.join(chosen.select("video_id", "track_id"), ["video_id", "track_id"])
     # at most the tracks of one frame
     names = F.array_join(F.transform(F.array_sort(F.collect_list("track_id")), lambda x: x.cast("string")), ",")
