@@ -32,7 +32,7 @@ LENGTH = 400
 #: Starts that share an indexed suffix in the three sorts.
 SPARSE, MIDDLE = 256, 16
 #: Suffixes that choose the splitters, from at most so many documents.
-SAMPLE_DOCUMENTS, SAMPLE_SUFFIXES = 2_000, 20_000
+SAMPLE_DOCUMENTS, SAMPLE_SUFFIXES = 20_000, 40_000
 #: Suffixes in a range, about.
 RANGE_SUFFIXES = 500_000
 #: A longer text is looked through in pieces.
