@@ -275,7 +275,9 @@ def splitters_of(rows: DataFrame, make, ranges: int) -> Splitters:
                 if table:
                     yield batch_of(table)
 
-    found = rows.mapInArrow(run, SUFFIX).orderBy(F.xxhash64("id", "text_hash", "p", "a")).limit(SAMPLE_SUFFIXES).collect()
+    chosen = rows.mapInArrow(run, SUFFIX).orderBy(F.xxhash64("id", "text_hash", "p", "a")).limit(SAMPLE_SUFFIXES)
+    # written first: a collected limit would bring that many rows of every partition to the driver
+    found = settle(chosen, "splitters").collect()
     unsigned = 1 << 64
     return Splitters([tuple(r[k] % unsigned if k in WORDS else r[k] for k in Splitters.KEY) for r in found], ranges)
 
