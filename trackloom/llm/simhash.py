@@ -34,19 +34,25 @@ INDEXED = 4
 LONG_LIST = 2048
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64 bits; bit i is set if it is set in over half of the shingle hashes.  No words: zero."""
+def shingle_hashes(text: str, words: int) -> list[int]:
+    """A 64-bit hash per shingle, in lower case; ``words`` words or fewer are one shingle, no words none."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], SEED) for a, b in zip(begins[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    h = xxhash.xxh64_intdigest
+    return [h(joined[a:b], SEED) for a, b in zip(begins[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64 bits; bit i is set if it is set in over half of the shingle hashes.  No words: zero."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     array = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(array), 1 << 16):
