@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log odds.
 
-Tokens are hashed into ``BINS`` bins.  The log odds of a bin between toxic and other labelled documents have a Dirichlet prior
-proportional to the counts of both together, and are shrunk to zero by ``CAUTION`` standard deviations, so rare words say
-nothing.  ``DRIFT`` is subtracted from every token.  One scan in linear time finds all maximal segments of a text.  By
+Words are counted one by one under 64-bit hashes, by a grouped sum on Spark.  The log odds of a word between toxic and other
+labelled documents have a Dirichlet prior proportional to the counts of both together, and are shrunk to zero by ``CAUTION``
+standard deviations, so rare words say nothing.  Only words that keep log odds other than zero go to the driver and the tasks;
+all others score zero.  ``DRIFT`` is subtracted from every token.  One scan in linear time finds all maximal segments of a text.  By
 extreme-value theory a segment of score s in n tokens is expected K n exp(-lambda s) times by chance: lambda solves
 sum p exp(lambda s) = 1 over the tokens of clean documents, K comes from their best segments.  The significance of a
 document's segments adds up, and a logistic fit on labelled documents turns the sum into the score.
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import per_block, settle, texts_of
 from trackloom.llm.quality import fit_logistic
 
-BINS = 1 << 18
 PRIOR = 2.0
 CAUTION = 2.0
 DRIFT = 0.25
@@ -33,31 +33,41 @@ REMEMBERED = 150_000
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>/\\-_`~^+="
 
 
-class Bins(dict):
-    """The bin of each word that was asked for, marks at its ends cut off."""
+class Hashes(dict):
+    """The hash of each word that was asked for, marks at its ends cut off."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.strip(STRIP), 0) % BINS
+        self[word] = found = xxhash.xxh64_intdigest(word.strip(STRIP), 0)
         return found
 
 
-_bins = Bins()
+_hashes = Hashes()
 
 
-def token_bins(text: str) -> np.ndarray:
-    """The bin of each word, in lower case."""
-    return np.array([*map(_bins.__getitem__, text.lower().encode("utf-8", "surrogatepass").split())], np.int64)
+def token_hashes(text: str) -> np.ndarray:
+    """The hash of each word, in lower case, as a signed long."""
+    found = [*map(_hashes.__getitem__, text.lower().encode("utf-8", "surrogatepass").split())]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 @dataclass
 class Model:
+    words: np.ndarray  # in order
     odds: np.ndarray
     decay: float
     scale: float
     fit: np.ndarray
 
+    def of(self, text: str) -> np.ndarray:
+        """The log odds of each word of a text."""
+        hashes = token_hashes(text)
+        if not len(self.words):
+            return np.zeros(len(hashes))
+        at = np.searchsorted(self.words, hashes).clip(max=len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.odds[at], 0.0)
+
 
 def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
@@ -69,30 +79,31 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.filter(in_training(F.col("doc_id"))).distinct()
 
 
-def bin_counts(rows: DataFrame) -> np.ndarray:
-    """(2, BINS + 1) counts over all rows: documents with a bin, by label; the last place counts the documents."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, clean, toxic over all rows: labelled documents with a word; the null word counts the documents."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
-        counts = np.zeros((2, BINS + 1), np.int64)
-        for t, y in zip(texts_of(batch), toxic.tolist(), strict=True):
-            counts[y, np.unique(token_bins(t))] += 1
-            counts[y, BINS] += 1
-        y, b = np.nonzero(counts)
-        return pa.record_batch([pa.array(b), pa.array(y), pa.array(counts[y, b])], ["bin", "toxic", "n"])
-
-    found = per_block(rows.select("text", "toxic"), of, "bin long, toxic long, n long", block_bytes=16 << 20)
-    # at most 2 * BINS + 2 rows come back, whatever the input
-    got = found.groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, BINS + 1))
-    counts[got["toxic"].to_numpy(int), got["bin"].to_numpy(int)] = got["n"].to_numpy(float)
-    return counts
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    docs, seen = counts[:, BINS], counts[:, :BINS]
+        words, ns = [], []
+        of_label = np.array(batch.column("toxic").to_pylist(), np.int64)
+        texts = texts_of(batch)
+        for y in (0, 1):
+            found = [np.unique(token_hashes(t)) for t, label in zip(texts, of_label.tolist(), strict=True) if label == y]
+            w, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+            words.append(w)
+            ns.append(n)
+        word = pa.array([*np.concatenate(words).tolist(), None, None], pa.int64())
+        clean = pa.array([*ns[0].tolist(), *[0] * len(ns[1]), len(of_label) - int(of_label.sum()), 0], pa.int64())
+        toxic = pa.array([*[0] * len(ns[0]), *ns[1].tolist(), 0, int(of_label.sum())], pa.int64())
+        return pa.record_batch([word, clean, toxic], ["word", "clean", "toxic"])
+
+    found = per_block(rows.select("text", "toxic"), of, "word long, clean long, toxic long", block_bytes=16 << 20)
+    return found.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def log_odds(seen: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Shrunken log odds from (2, words) documents with a word and (2,) documents, clean ones first."""
     if not docs.all():
-        return np.zeros(BINS)
+        return np.zeros(seen.shape[1])
     share = (seen.sum(axis=0) + 0.5) / (docs.sum() + 1)
     prior = PRIOR * np.vstack([share, share]) + 0.25
     have = seen + prior
@@ -102,6 +113,17 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return np.sign(delta) * np.maximum(np.abs(delta) - CAUTION * spread, 0)
 
 
+def marked_words(counts: DataFrame, docs: np.ndarray) -> DataFrame:
+    """word, clean, odds of the words whose shrunken log odds are not zero."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        clean = batch.column("clean").to_numpy().astype(float)
+        odds = log_odds(np.vstack([clean, batch.column("toxic").to_numpy().astype(float)]), docs)
+        return pa.record_batch([batch.column("word"), batch.column("clean"), pa.array(odds)], ["word", "clean", "odds"]).filter(pa.array(odds != 0))
+
+    return per_block(counts.filter("word is not null"), of, "word long, clean long, odds double")
+
+
 def chance_decay(scores: np.ndarray, weights: np.ndarray) -> float:
     """lambda > 0 with sum weights * exp(lambda * scores) = 1; 1 where no score is positive or the mean isn't negative."""
     weights = weights / max(weights.sum(), 1e-9)
@@ -138,41 +160,46 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, u - s) for b, e, s, u in found]
 
 
-def significance(bins: np.ndarray, model: Model) -> tuple[float, float]:
+def significance(odds: np.ndarray, model: Model) -> tuple[float, float]:
     """Summed nats by which significant segments beat chance, and those of the best segment (0 if none is positive)."""
-    scores = model.odds[bins] - DRIFT
-    parts = segments(scores)
+    parts = segments(odds - DRIFT)
     if not parts:
         return 0.0, 0.0
-    chance = np.log(max(model.scale * len(bins), 1e-9))
+    chance = np.log(max(model.scale * len(odds), 1e-9))
     beats = [model.decay * s - chance for _, _, s in parts]
     return sum(max(0.0, b + np.log(EXPECTED)) for b in beats), max(0.0, max(beats))
 
 
-def inputs(bins: np.ndarray, model: Model) -> list[float]:
+def inputs(odds: np.ndarray, model: Model) -> list[float]:
     """What the last fit sees: summed and best significance, the sum of positive log odds, and the length."""
-    total, best = significance(bins, model)
-    odds = model.odds[bins]
-    return [min(total, 60.0) / 10, min(best, 30.0) / 10, min(float(odds[odds > 0].sum()), 60.0) / 10, float(len(bins) == 0), np.log1p(len(bins)) / 10]
+    total, best = significance(odds, model)
+    return [min(total, 60.0) / 10, min(best, 30.0) / 10, min(float(odds[odds > 0].sum()), 60.0) / 10, float(len(odds) == 0), np.log1p(len(odds)) / 10]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Counts over all labelled training rows; the five last weights on a bounded sample of them.  No labels: all scores equal."""
     texts, known = docs.select("doc_id", "text"), training_labels(labels)
     # the labels grow with the documents, so both sides are dealt by id, whatever their size
-    counts = bin_counts(texts.filter(in_training(F.col("doc_id"))).join(known.hint("merge"), "doc_id"))
-    odds = log_odds(counts)
-    model = Model(odds, chance_decay(odds - DRIFT, counts[0, :BINS]), 1.0, np.zeros(6))
-    if not counts[:, BINS].all():
+    rows = texts.filter(in_training(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
+    counts = settle(word_counts(rows), "word_counts")
+    total = counts.groupBy(F.col("word").isNull().alias("documents")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    docs_seen = np.array([[r["clean"], r["toxic"]] for r in total if r["documents"]], float).reshape(-1, 2).sum(axis=0)
+    words_seen = sum(r["clean"] for r in total if not r["documents"])
+    marked = marked_words(counts, docs_seen).toPandas().sort_values("word")
+    words, odds, clean = marked["word"].to_numpy(np.int64), marked["odds"].to_numpy(float), marked["clean"].to_numpy(float)
+    # the words without a mark all score minus DRIFT
+    scores, weights = np.append(odds, 0.0) - DRIFT, np.append(clean, words_seen - clean.sum())
+    model = Model(words, odds, chance_decay(scores, weights), 1.0, np.zeros(6))
+    if not docs_seen.all():
         return model
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
     sample = settle(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic_sample")
     decay = model.decay
 
     def best(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bins = [token_bins(t) for t in texts_of(batch)]
-        tops = [max((s for _, _, s in segments(odds[b] - DRIFT)), default=0.0) for b in bins]
-        return pa.record_batch([pa.array([len(b) for b in bins]), pa.array(np.array(tops)), batch.column("toxic")], ["n", "top", "toxic"])
+        found = [model.of(t) for t in texts_of(batch)]
+        tops = [max((s for _, _, s in segments(o - DRIFT)), default=0.0) for o in found]
+        return pa.record_batch([pa.array([len(o) for o in found]), pa.array(np.array(tops)), batch.column("toxic")], ["n", "top", "toxic"])
 
     tops = per_block(sample, best, "n long, top double, toxic int").toPandas()
     clean = tops[(tops["toxic"] == 0) & (tops["top"] > 0)]
@@ -180,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         model.scale = float(1 / np.mean(clean["n"] * np.exp(-decay * clean["top"])))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = np.array([inputs(token_bins(t), model) for t in texts_of(batch)])
+        made = np.array([inputs(model.of(t), model) for t in texts_of(batch)])
         return pa.record_batch([*[pa.array(made[:, i].copy()) for i in range(5)], batch.column("toxic")], [*"abcde", "toxic"])
 
     table = per_block(sample, of, "a double, b double, c double, d double, e double, toxic int").toPandas()
@@ -193,17 +220,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_passages (significant segments), per row.  Null texts are empty; rows repeat as they come."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bins = [token_bins(t) for t in texts_of(batch)]
-        x = np.array([[*inputs(b, model), 1.0] for b in bins])
+        odds = [model.of(t) for t in texts_of(batch)]
+        x = np.array([[*inputs(o, model), 1.0] for o in odds])
         score = 1 / (1 + np.exp(-np.clip(x @ model.fit, -30, 30)))
-        return pa.record_batch([batch.column("doc_id"), pa.array(score), pa.array([len(significant(b, model)) for b in bins])], ["doc_id", "score", "n_passages"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(score), pa.array([len(significant(o, model)) for o in odds])], ["doc_id", "score", "n_passages"])
 
     return per_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, score double, n_passages long")
 
 
-def significant(bins: np.ndarray, model: Model) -> list[tuple[int, int, float]]:
+def significant(odds: np.ndarray, model: Model) -> list[tuple[int, int, float]]:
     """Segments (first word, word after the last, expected number by chance) that are significant."""
-    found = [(b, e, model.scale * len(bins) * np.exp(-model.decay * s)) for b, e, s in segments(model.odds[bins] - DRIFT)]
+    found = [(b, e, model.scale * len(odds) * np.exp(-model.decay * s)) for b, e, s in segments(odds - DRIFT)]
     return [x for x in found if x[2] <= EXPECTED]
 
 
@@ -214,7 +241,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
             words = None
-            for b, e, expected in significant(token_bins(text), model):
+            for b, e, expected in significant(model.of(text), model):
                 words = words or text.encode("utf-8", "surrogatepass").split()
                 rows.append((doc_id, b, e, float(expected), b" ".join(words[b:e]).decode("utf-8", "replace")))
         names = ["doc_id", "first_word", "end_word", "expected", "passage"]
