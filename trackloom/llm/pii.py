@@ -1,8 +1,10 @@
 """Personal data: fixed patterns, and spans that a BiLSTM-CRF over characters adds to them.
 
 The tagger reads windows of 64 characters, one every 32.  A character takes its tag from the window in whose middle half it
-lies, so the tags of overlapping windows join to one sequence over the whole text.  A span must hold a digit or ``@``: a window
-without one can only be outside of any span and is not run.  Added spans pass the same checks as those of the patterns (digits,
+lies, so the tags of overlapping windows join to one sequence over the whole text.  A span must hold a digit or ``@``, and an
+e-mail lies in the run of address characters and spaces on both sides of its ``@``, so only windows that hold a digit or touch
+such a run are run.  Which part of a long address a window shows depends on its place in the text, so each ``@`` is also read
+in a window of its own around it, ``ASIDE`` characters to each side, whose e-mail over that ``@`` holds.  Added spans pass the same checks as those of the patterns (digits,
 check sum, parts) and never overlap a span of the patterns.
 
 The tagger is trained on spans of the patterns in a bounded sample of the documents and on spans written in further ways
@@ -30,6 +32,8 @@ STEPS = 300
 STRIDE = WINDOW // 2
 #: Windows that are decoded together.
 TOGETHER = 512
+#: Characters to each side of an @ in its own window, as many as a local part may have.
+ASIDE = 64
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +42,8 @@ ADDRESS = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+#: What may lie before and after the @ of an e-mail that is spelled apart; an @ ends the run of its neighbour.
+BEFORE, AFTER = LOCAL | {" "}, re.compile(r"[A-Za-z0-9. -]*")
 Span = tuple[str, int, int]
 
 
@@ -99,6 +105,26 @@ def window_starts(text: str) -> np.ndarray:
     return np.unique(np.concatenate([block, block - 1])).clip(0) * STRIDE if len(places) else places
 
 
+def address_runs(text: str) -> list[tuple[int, int, int]]:
+    """(@, begin, end) of the run around each @ that an e-mail over it can't leave."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > free and text[begin - 1] in BEFORE:
+            begin -= 1
+        found.append((at, begin, AFTER.match(text, at + 1).end()))
+        free, at = at + 1, text.find("@", at + 1)
+    return found
+
+
+def decoded_starts(text: str) -> np.ndarray:
+    """Starts of the windows with a digit or @, and of all whose middle half, or edge of the text, lies in the run of an @."""
+    parts = [window_starts(text)]
+    for _, a, b in address_runs(text):
+        parts.append(np.arange((a - STRIDE // 2) // STRIDE, (b - 1 - STRIDE // 2) // STRIDE + 1).clip(0) * STRIDE)
+    return np.unique(np.concatenate(parts))
+
+
 def windows(text: str, starts: np.ndarray) -> np.ndarray:
     padded = np.concatenate([codes(text), np.full(WINDOW, PAD)])
     return padded[starts[:, None] + np.arange(WINDOW)[None]]
@@ -143,7 +169,7 @@ def sensible(kind: str, text: str) -> bool:
 
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """The tagger's spans of each text that pass the checks and lie beside the given ones."""
-    starts = [window_starts(t) for t in texts]
+    starts = [decoded_starts(t) for t in texts]
     tags = [np.zeros(len(t), np.int8) if len(s) else None for t, s in zip(texts, starts, strict=True)]
     jobs = [(n, s) for n, ss in enumerate(starts) for s in ss.tolist()]
     inputs = [windows(t, s) for t, s in zip(texts, starts, strict=True) if len(s)]
@@ -153,6 +179,7 @@ def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> lis
             a, b = (0 if s == 0 else STRIDE // 2), STRIDE // 2 + STRIDE
             part = tags[n][s + a : s + b]
             part[:] = got[a : a + len(part)]
+    read_around_marks(texts, tags, tagger)
     out = []
     for n, text in enumerate(texts):
         found = []
@@ -171,6 +198,26 @@ def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> lis
     return out
 
 
+def read_around_marks(texts: list[str], tags: list[np.ndarray | None], tagger: Tagger) -> None:
+    """Puts the e-mail that each @ has in its own window into the tags."""
+    jobs = [(n, at, max(0, at - ASIDE)) for n, t in enumerate(texts) if "@" in t for at in (m.start() for m in re.finditer("@", t))]
+    for k in range(0, len(jobs), TOGETHER):
+        some = jobs[k : k + TOGETHER]
+        given = np.full((len(some), 2 * ASIDE), PAD)
+        for row, (n, _, s) in enumerate(some):
+            own = codes(texts[n][s : s + 2 * ASIDE])
+            given[row, : len(own)] = own
+        for (n, at, s), got in zip(some, tagger.decode(given), strict=True):
+            for kind, a, b in tag_spans(got[: len(texts[n]) - s]):
+                if kind == "email" and a <= at - s < b:
+                    line = tags[n]
+                    line[s + a], line[s + a + 1 : s + b] = 1, 2
+                    after = s + b
+                    while after < len(line) and line[after] == 2:
+                        line[after] = 0
+                        after += 1
+
+
 def written_examples(count: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Windows of made-up words around spans in ordinary and further spellings, and numbers that are none."""
     rng = np.random.default_rng(seed)
