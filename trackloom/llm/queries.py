@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import exact, mixing, packing, pii, quality, sharding, simhash, spotsigs, suffixes, toxicity
+from trackloom.llm import exact, mixing, packing, pii, quality, runs, sharding, simhash, spotsigs, suffixes, toxicity
 from trackloom.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,11 +61,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.without_runs(documents(spark, sf_dir), rewrite=runs.made_periodic))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_sharding, op3_exact_dedup, op4_packing, op5_quality_classifier, op6_toxicity, op7_pii,
-        op8_document_fingerprints, op9_mixing, op10_simhash_near_dedup,
+        op8_document_fingerprints, op9_mixing, op10_simhash_near_dedup, op13_periodic_runs,
     )
 }
 
