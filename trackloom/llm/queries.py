@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import exact, mixing, packing, pii, quality, runs, sharding, simhash, spotsigs, suffixes, toxicity
+from trackloom.llm import exact, mixing, packing, pii, quality, runs, search, sharding, simhash, spotsigs, suffixes, toxicity
 from trackloom.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.without_runs(documents(spark, sf_dir), rewrite=runs.made_periodic))
 
@@ -69,7 +73,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_sharding, op3_exact_dedup, op4_packing, op5_quality_classifier, op6_toxicity, op7_pii,
-        op8_document_fingerprints, op9_mixing, op10_simhash_near_dedup, op13_periodic_runs,
+        op8_document_fingerprints, op9_mixing, op10_simhash_near_dedup, op11_ranked_search,
+        op13_periodic_runs,
     )
 }
 
@@ -86,4 +91,5 @@ ORACLE = {
     "op2_sharding": sharding.SQL,
     "op3_exact_dedup": EXACT_SQL,
     "op9_mixing": mixing.sql(),
+    "op11_ranked_search": search.SQL,
 }
