@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import exact, mixing, packing, pii, quality, runs, search, sharding, simhash, spotsigs, suffixes, toxicity
+from trackloom.llm import exact, languages, mixing, packing, pii, quality, runs, search, sharding, simhash, spotsigs, suffixes, toxicity
 from trackloom.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.without_runs(documents(spark, sf_dir), rewrite=runs.made_periodic))
 
@@ -74,7 +78,7 @@ QUERIES = {
     for f in (
         op1_suffix_array_dedup, op2_sharding, op3_exact_dedup, op4_packing, op5_quality_classifier, op6_toxicity, op7_pii,
         op8_document_fingerprints, op9_mixing, op10_simhash_near_dedup, op11_ranked_search,
-        op13_periodic_runs,
+        op12_language_id, op13_periodic_runs,
     )
 }
 
