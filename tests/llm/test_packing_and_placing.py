@@ -18,9 +18,7 @@ PATH = public_tokenizers.path(queries.TOKENIZER)
 
 @pytest.fixture(scope="module")
 def plain_tokenizer():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def check_pieces(docs, plain_tokenizer, capacity=packing.CAPACITY):
@@ -115,6 +113,7 @@ def test_words_give_the_ids_of_whole_texts(small, plain_tokenizer):
     texts += ["".join(random.Random(n).choices("aB.,'é́ \n\t1!sİΣ", k=60)) for n in range(200)]
     texts += ["".join(random.Random(n).choices("aBZz.,_-*#é ñÜ \n1²ªµ½ŉ\x00£ß", k=60)) for n in range(300)]
     texts += [r["text"] for r in small.filter("lang <> 'en'").limit(40).collect()]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>B<|endoftext|>", "<|ENDOFTEXT|> É<|endoftext|>é", "<|EndOfText|>", "<|endoftext|", "x\n<|endoftext|>\ty"]
     words = packing.WordTokenizer.at(PATH)
     assert [words.encode(t).tolist() for t in texts] == [plain_tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_removal import components_by_brute_force, exact_by_brute_force, fingerprint_by_brute_force
+from test_near_copies import kept_by_brute_force
+from test_removal import exact_by_brute_force
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -64,8 +65,8 @@ def test_quality_stage(spark, stages):
 def test_exact_and_near_stages(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
     assert {r["doc_id"] for r in stages[2].collect()} == {x[0] for x in exact_by_brute_force(rows) if x[3]}
-    rows = [(r["doc_id"], fingerprint_by_brute_force(r["text"])) for r in stages[2].collect()]
-    assert {r["doc_id"] for r in stages[3].collect()} == {x[2] for x in components_by_brute_force(rows)}
+    rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
+    assert {r["doc_id"] for r in stages[3].collect()} == kept_by_brute_force(rows)
 
 
 def poisson(mean, seed):
@@ -96,7 +97,6 @@ def test_mixing_stage(stages):
 
 def test_packing_stage(stages):
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     copies = Counter(r["doc_id"] for r in stages[4].collect())
     ids = {r["doc_id"]: np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4") for r in stages[4].collect()}
     covered = Counter()

@@ -51,11 +51,14 @@ class KnownWords(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if word.isascii() and word.isalpha():
+        if self.holds_added(word.lower()):
+            found = self.by_library(word)
+        elif word.isascii() and word.isalpha():
             found = self.of_letters(word) if word.islower() else self[word.lower()]
         elif word[-1:] in MARKS and word[:-1].isascii() and word[:-1].isalpha():
             found = self[word[:-1]] + self[word[-1]]
@@ -64,6 +67,13 @@ class KnownWords(dict):
         self[word] = found
         return found
 
+    def holds_added(self, lower: str) -> bool:
+        """Whether a token of its own right may be in a text of this lower case; the library matches those letter by letter."""
+        return any(t in lower for t in self.added)
+
+    def by_library(self, word: str) -> bytes:
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def of_letters(self, letters: str) -> bytes:
         """Of one piece, in the letters of the byte alphabet."""
         return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
@@ -77,7 +87,7 @@ class KnownWords(dict):
             if len(pieces) > 1:
                 return b"".join([self[p] for p in pieces])
             return self.of_letters(word if word.isascii() else "".join([BYTE_LETTERS[x] for x in word.encode()]))
-        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return self.by_library(word)
 
 
 class WordTokenizer:
@@ -89,7 +99,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         vocabulary = tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids must be below 65,536")
@@ -108,8 +117,9 @@ class WordTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """The 16-bit ids of a text."""
-        if text.isascii():
-            text = text.lower()
+        lower = text.lower()
+        if text.isascii() and not self.known.holds_added(lower):
+            text = lower
         return np.frombuffer(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))), np.uint16)
 
 
