@@ -188,7 +188,8 @@ def test_mixing_nasty_rows(nasty, no_rows):
 def test_queries_match_their_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     want = con.execute(queries.ORACLE[name])
     columns = sorted(d[0] for d in want.description)
     names = [d[0] for d in want.description]
@@ -196,3 +197,18 @@ def test_queries_match_their_sql(spark, name):
     df = queries.QUERIES[name](spark, data)
     assert sorted(df.columns) == columns
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
+
+
+def test_clashing_names_keep_their_values(spark, nasty, no_rows, tmp_path):
+    docs = nasty.selectExpr("*", "'mine' as shard", "7 as copy", "1.5 as rate", "'p' as position", "0 as slot")
+    mixed = mixing.mixture(docs, epochs=2.0)
+    assert mixed.columns == docs.columns
+    assert {(r["shard"], r["copy"], float(r["rate"]), r["position"]) for r in mixed.collect()} == {("mine", 7, 1.5, "p")}
+    dealt = sharding.write_shards(docs, str(tmp_path / "a"))
+    assert dealt.columns == [*docs.columns, "slot_1", "shard_1"]
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, dealt.select(*docs.columns).collect())) == sorted(map(key, docs.collect()))
+    assert {r["shard"] for r in dealt.collect()} == {"mine"}
+    want = {(r["doc_id"], r["slot"], r["shard"]) for r in sharding.placed(nasty).collect()}
+    assert {(r["doc_id"], r["slot_1"], r["shard_1"]) for r in dealt.collect()} == want
+    assert sharding.write_shards(no_rows, str(tmp_path / "b")).count() == 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import partitions
 from trackloom.llm.sharding import number_of
 
 SEED = 17
@@ -63,6 +64,8 @@ def poisson_count(rate: Column, seeds: Column) -> Column:
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """All columns of ``docs``, and rate, n_copies, copy (from 1), position (the hash that orders the mixture), per copy.
 
+    Columns of ``docs`` with these four names give way to the new ones; ``mixture`` keeps them.
+
     A null source is a source of its own, null texts have size one.  Rows with one doc_id share their number of copies.  Sources
     whose weight is 0 have no copies; no rows give no rows.
     """
@@ -79,8 +82,19 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
 
 
 def shuffled(copies: DataFrame) -> DataFrame:
-    """Rows in the order of their position, dealt to partitions by ranges of it: one global shuffle of the corpus."""
-    return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+    """Rows in the order of their position: one global shuffle of the corpus.
+
+    Positions are uniform from 0 to 2^52, so equal ranges of them are equal shares, and no sample of the rows is needed.
+    """
+    n = partitions(copies.sparkSession)
+    part = F.least(F.floor(F.col("position") / float(1 << 52) * n), F.lit(n - 1)).cast("int")
+    return copies.repartitionById(n, part).sortWithinPartitions("position", "doc_id", "copy")
+
+
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs`` alone, whatever their names, a row per copy in the order of the global shuffle."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
+    return shuffled(replicated(rows, weights, temperature, epochs, seed)).select("__row.*")
 
 
 def sql(seed: int = SEED, temperature: float = TEMPERATURE, epochs: float = EPOCHS, of: str = "documents", columns: str = "doc_id, source", out: str | None = None) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import exact, languages, mixing, packing, pii, quality, runs, search, sharding, simhash, spotsigs, suffixes, toxicity
-from trackloom.llm.common import documents
+from trackloom.llm.common import documents, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,7 +27,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.placed(documents(spark, sf_dir))
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return sharding.write_shards(documents(spark, sf_dir), path).select("doc_id", "slot", "shard")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +56,7 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mixing.replicated(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return mixing.shuffled(copies.select("doc_id", "source", "rate", "n_copies", "copy", "position"))
+    return mixing.shuffled(mixing.replicated(documents(spark, sf_dir)))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +96,6 @@ from rows window same as (partition by content)
 ORACLE = {
     "op2_sharding": sharding.SQL,
     "op3_exact_dedup": EXACT_SQL,
-    "op9_mixing": mixing.sql(),
+    "op9_mixing": mixing.sql(columns="doc_id, text, lang, source, n_chars"),
     "op11_ranked_search": search.SQL,
 }

@@ -64,14 +64,27 @@ def placed(docs: DataFrame, shards: Sequence[str] | None = None, slots: int = SL
     return docs.select("doc_id", slot.alias("slot")).join(F.broadcast(table), "slot").select("doc_id", "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: Sequence[str] | None = None, slots: int = SLOTS, files_per_shard: int = 8) -> None:
-    """Writes whole rows under ``path/shard=...``; each shard is dealt to ``files_per_shard`` tasks."""
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, or with the first number that makes it unlike all others."""
+    names = {t.lower() for t in taken}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(names) + 2))) if n not in names)
+
+
+def write_shards(docs: DataFrame, path: str, shards: Sequence[str] | None = None, slots: int = SLOTS, files_per_shard: int = 8) -> DataFrame:
+    """Writes whole rows and their slot under ``path/shard=...``, and reads them back; each shard is dealt to ``files_per_shard`` tasks.
+
+    Where ``docs`` has columns named slot or shard already, the new ones are slot_1 or shard_1, and so on.  No rows write no
+    shards and give no rows.
+    """
     shards = list(shards or default_shards())
-    table = docs.sparkSession.createDataFrame([(n, shards[k]) for n, k in enumerate(lookup_table(shards, slots))], "__slot long, shard string")
-    slot = number_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % slots
-    rows = docs.drop("shard").withColumn("__slot", slot).join(F.broadcast(table), "__slot").drop("__slot")
+    spark = docs.sparkSession
+    slot, shard = free_name("slot", docs.columns), free_name("shard", docs.columns)
+    table = spark.createDataFrame([(n, shards[k]) for n, k in enumerate(lookup_table(shards, slots))], f"{slot} long, {shard} string")
+    at = number_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % slots
+    rows = docs.withColumn(slot, at).join(F.broadcast(table), slot).select(*docs.columns, slot, shard)
     part = F.pmod(F.xxhash64(*docs.columns), F.lit(files_per_shard))
-    rows.repartition(len(shards) * files_per_shard, "shard", part).write.partitionBy("shard").parquet(path)
+    rows.repartition(len(shards) * files_per_shard, shard, part).write.partitionBy(shard).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 #: The same table in DuckDB: one row of the recursion per claim, with the claims so far as a list.
