@@ -59,7 +59,7 @@ def test_every_query_has_a_known_check():
     tested_by_hand = {
         "absorbed_short_runs", "smoothed_short_runs", "bridged_interruptions", "assigned_short_islands", "matched_boxes",
         "segment_assignment", "boundary_matches", "diverse_rules", "oracle_rule_curve", "filled_gaps", "budgeted_objects",
-        "rule_firing_vectors", "rule_weights", "consensus_segments", "merged_fragments", "pose_components", "smoothed_tracks",
+        "rule_firing_vectors", "rule_weights", "consensus_segments", "pose_components", "smoothed_tracks", "change_points", "linked_fragments", "associated_boxes",
     }
     assert without_sql <= tested_by_hand
 
