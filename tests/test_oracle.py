@@ -60,6 +60,7 @@ def test_every_query_has_a_known_check():
         "absorbed_short_runs", "smoothed_short_runs", "bridged_interruptions", "assigned_short_islands", "matched_boxes",
         "segment_assignment", "boundary_matches", "diverse_rules", "oracle_rule_curve", "filled_gaps", "budgeted_objects",
         "rule_firing_vectors", "rule_weights", "consensus_segments", "pose_components", "smoothed_tracks", "change_points", "linked_fragments", "associated_boxes",
+        "reselection_rounds",
     }
     assert without_sql <= tested_by_hand
 
