@@ -19,12 +19,12 @@ def pool(t: Inputs):
 
 
 @query(f"""
-with {RULESET}, pr as (select *, positive_support / greatest(1, positive_support + negative_support) as precision from rs), n as (select count(*) as size from rs),
-pa as (select p.rule_id as parent_id, c.rule_id, c.precision - p.precision as precision_gain, p.negative_support - c.negative_support as fp_reduction,
+with {RULESET}, px as (select *, positive_support / greatest(1, positive_support + negative_support) as precision from rs), sz as (select count(*) as size from rs),
+ds as (select p.rule_id as parent_id, c.rule_id, c.precision - p.precision as precision_gain, p.negative_support - c.negative_support as fp_reduction,
     least(1.0, c.positive_support / greatest(1, p.positive_support)) as retention, case when c.t1 like '%(S,O,%' or c.t2 like '%(S,O,%' then 0.25 else 0.0 end as grounding_bonus, (size - c.rule_id + 1) / size as rank_bonus
-    from pr p join pr c on p.t2 is null and c.t2 is not null and p.t1 in (c.t1, c.t2), n where c.positive_support > 0)
+    from px p join px c on p.t2 is null and c.t2 is not null and p.t1 in (c.t1, c.t2), sz where c.positive_support > 0)
 select parent_id, rule_id, round(precision_gain, 6) as precision_gain, fp_reduction, round(retention, 6) as retention, round(grounding_bonus, 6) as grounding_bonus, round(rank_bonus, 6) as rank_bonus, round(0.05, 6) as length_penalty,
-    round(2.0 * precision_gain + fp_reduction + 0.75 * retention + grounding_bonus + 0.25 * rank_bonus - 0.05, 6) as score from pa""")
+    round(2.0 * precision_gain + fp_reduction + 0.75 * retention + grounding_bonus + 0.25 * rank_bonus - 0.05, 6) as score from ds""")
 def rule_descendants(t: Inputs):
     return rounded(rounds.descendants(pool(t), pool(t)), "parent_id", "rule_id", *PARTS)
 
