@@ -12,6 +12,8 @@ but the last two are final, and the rest goes into the next block, so memory doe
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import zlib
 from array import array
@@ -52,11 +54,14 @@ class KnownWords(dict):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        prefix = os.path.commonprefix(self.added) or ""
+        #: What all of these tokens begin with, up to the first letter; "" is in every text.
+        self.mark = "".join(itertools.takewhile(lambda c: c.lower() == c.upper(), prefix))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if self.holds_added(word.lower()):
+        if self.mark in word and self.holds_added(word):
             found = self.by_library(word)
         elif word.isascii() and word.isalpha():
             found = self.of_letters(word) if word.islower() else self[word.lower()]
@@ -67,9 +72,10 @@ class KnownWords(dict):
         self[word] = found
         return found
 
-    def holds_added(self, lower: str) -> bool:
-        """Whether a token of its own right may be in a text of this lower case; the library matches those letter by letter."""
-        return any(t in lower for t in self.added)
+    def holds_added(self, text: str) -> bool:
+        """Whether a token of its own right may be in the text in some case; the library matches those letter by letter."""
+        lower = text.lower()
+        return any(t.lower() in lower for t in self.added)
 
     def by_library(self, word: str) -> bytes:
         return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -117,9 +123,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """The 16-bit ids of a text."""
-        lower = text.lower()
-        if text.isascii() and not self.known.holds_added(lower):
-            text = lower
+        if text.isascii() and not (self.known.mark in text and self.known.holds_added(text)):
+            text = text.lower()
         return np.frombuffer(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))), np.uint16)
 
 
