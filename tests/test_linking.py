@@ -160,6 +160,30 @@ def test_clusters_of_windows_with_several_subjects(spark, monkeypatch):
     assert 30 < len(set(got.values())) < 350
 
 
+def test_objects_of_the_frame_before(spark):
+    rng, rows = random.Random(6), []
+    for video, count in ((1, 40), (2, 6)):
+        for frame in sorted(rng.sample(range(90), 45)):
+            for _ in range(rng.randrange(1, count)):
+                rows.append((video, frame, len(rows), rng.choice("ab"), float(rng.randrange(40)), float(rng.randrange(40))))
+    want, number = [], {}
+    for video in (1, 2):
+        before = []
+        for frame in sorted({r[1] for r in rows if r[0] == video}):
+            now = []
+            for v, f, item, label, x, y in (r for r in rows if r[:2] == (video, frame)):
+                near = [(math.hypot(x - p[2], y - p[3]), p[0], p[4]) for p in before if p[1] == label and math.hypot(x - p[2], y - p[3]) < 5.0]
+                if not near:
+                    number[item] = sum(1 for i in number if rows[i][0] == video)
+                first = min(near)[2] if near else item
+                now.append((item, label, x, y, first))
+                want.append((v, f, item, min(near)[1] if near else None, first, number[first]))
+            before = now
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, item long, label string, x double, y double").repartition(5)
+    got = linking.previous_frame_links(df, ["video_id"], 5.0, span=16)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == sorted(want, key=lambda r: r[2])
+
+
 @pytest.mark.parametrize("name", ["conflict_clusters", "diagnosed_conflicts"])
 def test_conflicts_match_sql(spark, duck, name):
     got = entry.queries()[name](spark, DATA)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trackloom.operators.components import connected_components
 from trackloom.operators.lineage import checkpointed
 from trackloom.operators.matching import greedy_per_group
+from trackloom.operators.ordered import Ordered, by_step, row_number
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -86,6 +87,32 @@ def linked_fragments(
     return out.select(*keys, "fragment_id", F.coalesce("chain_id", "fragment_id").alias("chain_id"), "linked_to", "merge_score")
 
 
+def previous_frame_links(objects: DataFrame, keys: Sequence[str], radius: float, span: int = 256) -> DataFrame:
+    """keys, frame_index, item, linked_to, first_item (the first object of its chain), object_number (of the chain, from 0).
+
+    ``objects`` has the keys of a video, frame_index, item (unique over all; its order is that of a frame), label and the centre
+    (x, y).  An object continues the nearest one of its label in the frame before, nearer than ``radius``; of equally near ones the
+    first.  The frame before is the last one with objects.  Several objects may continue the same one and then share its
+    number.  Objects meet by square cells of the radius; chains are followed by doubling, so a long video is many tasks.
+    """
+    keys = list(keys)
+    frames = by_step(keys, "frame_index", span).scan(objects.select(*keys, "frame_index").distinct(), __n=row_number())
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    at = checkpointed(objects.join(frames, [*keys, "frame_index"]).withColumns({"ix": cell("x"), "iy": cell("y")}))
+    around = F.array(*[F.struct((F.col("ix") + i).alias("ix"), (F.col("iy") + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    now = at.withColumn("c", F.explode(around)).select(*keys, "label", (F.col("__n") - 1).alias("__n"), "c.ix", "c.iy", "item", "x", "y")
+    before = at.select(*keys, "label", "__n", "ix", "iy", F.col("item").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    far = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+    met = now.join(before, [*keys, "label", "__n", "ix", "iy"]).withColumn("far", far).filter(F.col("far") < radius)
+    links = checkpointed(met.groupBy("item").agg(F.min(F.struct("far", "other"))["other"].alias("linked_to")))
+    heads = chain_heads(links, "item", "linked_to").withColumnRenamed("head", "first_item")
+    first = at.join(links, "item", "left_anti")
+    numbers = Ordered(keys, ["frame_index", "item"], F.floor(F.col("frame_index") / F.lit(span))).scan(first.select(*keys, "frame_index", "item"), __k=row_number())
+    numbers = numbers.select(F.col("item").alias("first_item"), (F.col("__k") - 1).alias("object_number"))
+    out = at.select(*keys, "frame_index", "item").join(links, "item", "left").join(heads, "item", "left")
+    return out.withColumn("first_item", F.coalesce("first_item", "item")).join(numbers, "first_item").select(*keys, "frame_index", "item", "linked_to", "first_item", "object_number")
+
+
 def cue_score(cues: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of the cues that are there (not null); 0 without any."""
     used = {k: (value, weight) for k, (value, weight) in cues.items() if weight > 0}

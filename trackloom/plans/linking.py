@@ -48,6 +48,21 @@ def linked_fragments(t: Inputs):
     return rounded(out, "video_id", "fragment_id", "chain_id", "linked_to", "merge_score")
 
 
+RADIUS = 4.0
+
+
+@query(f"""
+with recursive ob as (select video_id, frame_index, (video_id * 50 + track_id) * 100000 + frame_index as item, label, x, y, dense_rank() over (partition by video_id order by frame_index) as n from v_track_obs),
+me as (select c.item, p.item as other, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) as far from ob c join ob p on p.video_id = c.video_id and p.label = c.label and p.n = c.n - 1),
+li as (select item, other as linked_to from (select *, row_number() over (partition by item order by far, other) as k from me where far < {RADIUS}) where k = 1),
+hd as (select video_id, item, row_number() over (partition by video_id order by frame_index, item) - 1 as object_number from ob where item not in (select item from li)),
+ch as (select item, item as first_item from hd union all select li.item, ch.first_item from li join ch on li.linked_to = ch.item)
+select ob.video_id, ob.frame_index, ob.item, li.linked_to, ch.first_item, hd.object_number from ob join ch using (item) left join li using (item) join hd on hd.item = ch.first_item""")
+def previous_frame_links(t: Inputs):
+    objects = t.track_obs().withColumn("item", (C("video_id") * 50 + C("track_id")) * 100000 + C("frame_index"))
+    return linking.previous_frame_links(objects, ["video_id"], RADIUS)
+
+
 def cue_pairs(t: Inputs):
     """Every stored box of a frame with every detected one, with the score of their cues; every third box has no depth."""
     # the boxes of one frame
