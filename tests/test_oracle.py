@@ -15,7 +15,7 @@ SAMPLE = [
     "split_tracks_at_gaps", "robust_statistics", "weighted_medians", "nearest_in_time", "interpolated_observations",
     "average_precision", "best_threshold", "hash_split", "three_way_split", "pooled_detection_rates", "violation_episodes",
     "coherence_states", "train_validation_split", "sample_records", "quiet_gap_sessions", "loop_decisions", "ranked_repairs", "reality_checks", "rule_masking", "conflict_windows", "future_events",
-    "rule_descendants", "previous_frame_links",
+    "rule_descendants", "previous_frame_links", "first_extension_round",
 ]
 NAMES = sorted(ORACLE) if os.environ.get("FULL_ORACLE") else SAMPLE
 
@@ -61,7 +61,7 @@ def test_every_query_has_a_known_check():
         "absorbed_short_runs", "smoothed_short_runs", "bridged_interruptions", "assigned_short_islands", "matched_boxes",
         "segment_assignment", "boundary_matches", "diverse_rules", "oracle_rule_curve", "filled_gaps", "budgeted_objects",
         "rule_firing_vectors", "rule_weights", "consensus_segments", "pose_components", "smoothed_tracks", "change_points", "linked_fragments", "associated_boxes",
-        "reselection_rounds",
+        "reselection_rounds", "extension_rounds", "extension_outcomes",
     }
     assert without_sql <= tested_by_hand
 
