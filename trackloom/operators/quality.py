@@ -84,7 +84,10 @@ def _two_limits(value: Column, kind: str, invalid: float, uncertain: float) -> C
 
 
 def reality_checks(facts: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Issues of each track and its status: invalid, uncertain, repaired or valid."""
+    """Issues of each track and its status: invalid, uncertain, repaired or valid.
+
+    Drift and jumps of the box are judged where ``facts`` has max_center_ratio and max_size_ratio.
+    """
     t = {**VALIDATION_THRESHOLDS, **(thresholds or {})}
     c = F.col
     issue = lambda when, kind, severity: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity")))
@@ -95,6 +98,11 @@ def reality_checks(facts: DataFrame, thresholds: dict[str, float] | None = None)
         (c("max_velocity_change") > t["max_uncertain_rel_velocity_delta"]) | (c("max_speed") > t["max_uncertain_rel_speed"]),
         F.struct(F.lit("speed_abnormal_change").alias("kind"), F.lit("uncertain").alias("severity")),
     )
+    boxes = [
+        _two_limits(c(metric), kind, t[f"max_invalid_{limit}"], t[f"max_uncertain_{limit}"])
+        for metric, kind, limit in [("max_center_ratio", "track_drift", "center_step_diag_ratio"), ("max_size_ratio", "bbox_jump", "bbox_size_ratio")]
+        if metric in facts.columns
+    ]
     issues = F.array_compact(
         F.array(
             issue(c("behind") > 0, "physical_invalidity", "invalid"),
@@ -102,6 +110,7 @@ def reality_checks(facts: DataFrame, thresholds: dict[str, float] | None = None)
             issue(c("labels") > 1, "id_switch", "invalid"),
             _two_limits(c("max_gap"), "trajectory_discontinuity", t["max_valid_frame_gap"], t["max_uncertain_frame_gap"]),
             issue(c("motion_ratio") < t["min_motion_ratio"], "insufficient_motion_evidence", "uncertain"),
+            *boxes,
             _two_limits(c("max_depth_step"), "depth_jump", t["max_invalid_depth_step_per_frame"], t["max_uncertain_depth_step_per_frame"]),
             speed,
             _two_limits(c("reversals"), "motion_direction_abrupt_change", 1, 0),
