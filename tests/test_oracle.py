@@ -15,7 +15,7 @@ SAMPLE = [
     "split_tracks_at_gaps", "robust_statistics", "weighted_medians", "nearest_in_time", "interpolated_observations",
     "average_precision", "best_threshold", "hash_split", "three_way_split", "pooled_detection_rates", "violation_episodes",
     "coherence_states", "train_validation_split", "sample_records", "quiet_gap_sessions", "loop_decisions", "ranked_repairs", "reality_checks", "rule_masking", "conflict_windows", "future_events",
-    "rule_descendants", "previous_frame_links", "first_extension_round",
+    "rule_descendants", "previous_frame_links", "first_extension_round", "chosen_repairs",
 ]
 NAMES = sorted(ORACLE) if os.environ.get("FULL_ORACLE") else SAMPLE
 
