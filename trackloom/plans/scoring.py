@@ -167,14 +167,14 @@ def coverage_funnel(t: Inputs):
 
 
 @query("""
-with c as (select video_id, frame_index, k.id, case when vz > k.th then 'left' when vz < -k.th then 'static' else 'forward' end as state, k.conf from v_signal, (values (0, 10.0, 0.5), (1, 40.0, 0.3), (2, 160.0, 0.2)) k(id, th, conf))
+with c as (select video_id, frame_index, k.id, case when vz > k.th then 'left' when vz < -k.th then 'static' else 'forward' end as state, k.conf from v_settled_signal, (values (0, 10.0, 0.5), (1, 40.0, 0.3), (2, 160.0, 0.2)) k(id, th, conf))
 select video_id, frame_index, round(coalesce(sum(conf) filter (where state = 'static'), 0), 6) as static, round(coalesce(sum(conf) filter (where state = 'forward'), 0), 6) as forward, round(coalesce(sum(conf) filter (where state = 'left'), 0), 6) as "left" from c group by 1, 2""")
 def frame_votes(t: Inputs):
     # the candidates of a frame are an array in its row: votes are summed without multiplying or shuffling rows
     candidates = [(10.0, 0.5), (40.0, 0.3), (160.0, 0.2)]
     vz = C("vz")
     vote = lambda test: sum((F.when(test(th), conf).otherwise(0.0) for th, conf in candidates), F.lit(0.0))
-    return t.signal().select(
+    return t.settled_signal().select(
         "video_id", "frame_index",
         settled(vote(lambda th: vz < -th)).alias("static"),
         settled(vote(lambda th: (vz >= -th) & (vz <= th))).alias("forward"),
