@@ -54,3 +54,11 @@ def test_votes_on_the_threshold_count_as_forward(spark, events):
         for k, d in enumerate(deviations(user)):
             assert got[user, k] == sum(w for th, w in ((10, 0.5), (40, 0.3), (160, 0.2)) if -th <= d <= th)
     assert same(found(spark, "frame_votes", events), by_sql("frame_votes", events))
+
+
+def test_speeds_on_the_threshold_are_steady(spark, events):
+    got = {(r["video_id"], r["frame_index"]): r["action"].split("|")[0] for r in found(spark, "ego_actions", events)}
+    for user in ON_THRESHOLD:
+        for k, d in enumerate(deviations(user)):
+            assert got[user, k] == ("stop" if abs(d) < 10 else "speedup" if d > 60 else "slowdown" if d < -60 else "steady")
+    assert same(found(spark, "ego_actions", events), by_sql("ego_actions", events))

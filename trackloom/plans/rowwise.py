@@ -531,7 +531,7 @@ def projected_boxes(t: Inputs):
 @query("""
 select video_id, frame_index, case when abs(vz) < th.stop then 'stop' when vz > th.fast then 'speedup' when vz < -th.fast then 'slowdown' else 'steady' end
      || case when vx < -th.turn then '|right' when vx > th.turn then '|left' else '' end as action
-from v_signal, (values (10.0, 60.0, 8.0)) th(stop, fast, turn)""")
+from v_settled_signal, (values (10.0, 60.0, 8.0)) th(stop, fast, turn)""")
 def ego_actions(t: Inputs):
     thresholds = t.spark.createDataFrame([(1, 10.0, 60.0, 8.0)], "one int, stop double, fast double, turn double")
     forward = F.when(F.abs("vz") < C("stop"), "stop").when(C("vz") > C("fast"), "speedup").when(
@@ -540,7 +540,7 @@ def ego_actions(t: Inputs):
     lateral = F.when(C("vx") < -C("turn"), "|right").when(C("vx") > C("turn"), "|left").otherwise("")
     # a single row of thresholds
     return (
-        t.signal()
+        t.settled_signal()
         .withColumn("one", F.lit(1))
         .join(F.broadcast(thresholds), "one")
         .select("video_id", "frame_index", F.concat(forward, lateral).alias("action"))
