@@ -62,3 +62,14 @@ def test_speeds_on_the_threshold_are_steady(spark, events):
         for k, d in enumerate(deviations(user)):
             assert got[user, k] == ("stop" if abs(d) < 10 else "speedup" if d > 60 else "slowdown" if d < -60 else "steady")
     assert same(found(spark, "ego_actions", events), by_sql("ego_actions", events))
+
+
+def predicted(d):
+    return "left" if d > 20 else "static" if d < -20 else "forward"
+
+
+def test_frames_on_the_threshold_are_forward(spark, events):
+    got = {(r["gt_label"], r["pred_label"]): r["frames"] for r in found(spark, "frame_confusion", events)}
+    labels = [predicted(d) for user in ON_THRESHOLD for d in deviations(user)]
+    assert got == {("forward", p): labels.count(p) for p in set(labels)}
+    assert same(found(spark, "frame_confusion", events), by_sql("frame_confusion", events))

@@ -40,9 +40,9 @@ def best_threshold(t: Inputs):
 
 
 @query("""
-with c as (select gt_label, pred_label, count(*) as frames from v_timeline group by 1, 2) select * from c""")
+with c as (select gt_label, pred_label, count(*) as frames from v_settled_timeline group by 1, 2) select * from c""")
 def frame_confusion(t: Inputs):
-    return t.timeline().groupBy("gt_label", "pred_label").agg(F.count("*").alias("frames"))
+    return t.settled_timeline().groupBy("gt_label", "pred_label").agg(F.count("*").alias("frames"))
 
 
 @query("""
