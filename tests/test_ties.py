@@ -73,3 +73,10 @@ def test_frames_on_the_threshold_are_forward(spark, events):
     labels = [predicted(d) for user in ON_THRESHOLD for d in deviations(user)]
     assert got == {("forward", p): labels.count(p) for p in set(labels)}
     assert same(found(spark, "frame_confusion", events), by_sql("frame_confusion", events))
+
+
+def test_class_counts_follow_the_exact_labels(spark, events):
+    got = {r["cls"]: (r["tp"], r["fp"]) for r in found(spark, "frame_class_metrics", events)}
+    labels = [predicted(d) for user in ON_THRESHOLD for d in deviations(user)]
+    assert got["forward"] == (labels.count("forward"), 0) and got["left"] == (0, labels.count("left"))
+    assert same(found(spark, "frame_class_metrics", events), by_sql("frame_class_metrics", events))

@@ -46,13 +46,13 @@ def frame_confusion(t: Inputs):
 
 
 @query("""
-with k as (select * from (values ('forward'), ('backward'), ('left'), ('right'), ('static')) k(cls)), c as (select gt_label, pred_label, count(*) as n from v_timeline group by 1, 2),
+with k as (select * from (values ('forward'), ('backward'), ('left'), ('right'), ('static')) k(cls)), c as (select gt_label, pred_label, count(*) as n from v_settled_timeline group by 1, 2),
 m as (select cls, coalesce(sum(n) filter (where gt_label = cls and pred_label = cls), 0) as tp, coalesce(sum(n) filter (where gt_label <> cls and pred_label = cls), 0) as fp, coalesce(sum(n) filter (where gt_label = cls), 0) as support from k, c group by 1)
 select cls, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(support as bigint) as support, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when support > 0 then tp / support else 0 end, 6) as recall, round(case when tp > 0 then 2.0 * tp / (tp + fp + support) else 0 end, 6) as f1 from m""")
 def frame_class_metrics(t: Inputs):
     from trackloom.operators.segment_eval import class_metrics
 
-    counts = t.timeline().groupBy(C("gt_label").alias("truth"), C("pred_label").alias("prediction")).agg(F.count("*").alias("n"))
+    counts = t.settled_timeline().groupBy(C("gt_label").alias("truth"), C("pred_label").alias("prediction")).agg(F.count("*").alias("n"))
     return rounded(class_metrics(counts), "cls", "tp", "fp", "support", "precision", "recall", "f1")
 
 
