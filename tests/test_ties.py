@@ -80,3 +80,10 @@ def test_class_counts_follow_the_exact_labels(spark, events):
     labels = [predicted(d) for user in ON_THRESHOLD for d in deviations(user)]
     assert got["forward"] == (labels.count("forward"), 0) and got["left"] == (0, labels.count("left"))
     assert same(found(spark, "frame_class_metrics", events), by_sql("frame_class_metrics", events))
+
+
+def test_evaluation_follows_the_exact_labels(spark, events):
+    got = {r["scope"]: r["agreed"] for r in found(spark, "video_evaluation", events)}
+    agreed = {str(user): sum(predicted(d) == "forward" for d in deviations(user)) for user in ON_THRESHOLD}
+    assert got == agreed | {"all": sum(agreed.values())}
+    assert same(found(spark, "video_evaluation", events), by_sql("video_evaluation", events))

@@ -129,7 +129,7 @@ select case when grouping(video_id) = 1 then 'all' else cast(video_id as varchar
   round((2 * count(*) filter (where gt_label = 'forward' and pred_label = 'forward') / greatest(1, count(*) filter (where gt_label = 'forward') + count(*) filter (where pred_label = 'forward'))
    + 2 * count(*) filter (where gt_label = 'static' and pred_label = 'static') / greatest(1, count(*) filter (where gt_label = 'static') + count(*) filter (where pred_label = 'static'))
    + 2 * count(*) filter (where gt_label = 'left' and pred_label = 'left') / greatest(1, count(*) filter (where gt_label = 'left') + count(*) filter (where pred_label = 'left'))) / 3, 6) as macro_f1
-from v_timeline group by grouping sets ((video_id), ())""")
+from v_settled_timeline group by grouping sets ((video_id), ())""")
 def video_evaluation(t: Inputs):
     def f1(label: str):
         g, p = C("gt_label") == label, C("pred_label") == label
@@ -137,7 +137,7 @@ def video_evaluation(t: Inputs):
 
     scope = F.when(F.grouping("video_id") == 1, "all").otherwise(C("video_id").cast("string"))
     agreed = F.count_if(C("gt_label") == C("pred_label"))
-    out = t.timeline().rollup("video_id").agg(
+    out = t.settled_timeline().rollup("video_id").agg(
         scope.alias("scope"), F.count("*").alias("frames"), agreed.alias("agreed"), (agreed / F.count("*")).alias("accuracy"),
         ((f1("forward") + f1("static") + f1("left")) / 3).alias("macro_f1"),
     )
