@@ -18,17 +18,20 @@ ON_THRESHOLD = {
 
 @pytest.fixture(scope="module")
 def events(spark, tmp_path_factory):
+    return written(spark, tmp_path_factory.mktemp("events"), ON_THRESHOLD, lambda user, k: "click")
+
+
+def written(spark, path, lists, kind):
     start, rows = datetime(2024, 1, 1), []
-    for user, values in ON_THRESHOLD.items():
+    for user, values in lists.items():
         for k, v in enumerate(values):
-            rows.append((len(rows), start + timedelta(minutes=k), user, "click", v))
-    path = tmp_path_factory.mktemp("events")
+            rows.append((len(rows), start + timedelta(minutes=k), user, kind(user, k), v))
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{path}/events.parquet")
     return str(path)
 
 
-def deviations(user):
-    values = [Fraction(str(v)) for v in ON_THRESHOLD[user]]
+def deviations(user, lists=ON_THRESHOLD):
+    values = [Fraction(str(v)) for v in lists[user]]
     return [v - sum(values) / len(values) for v in values]
 
 
@@ -87,3 +90,12 @@ def test_evaluation_follows_the_exact_labels(spark, events):
     agreed = {str(user): sum(predicted(d) == "forward" for d in deviations(user)) for user in ON_THRESHOLD}
     assert got == agreed | {"all": sum(agreed.values())}
     assert same(found(spark, "video_evaluation", events), by_sql("video_evaluation", events))
+
+
+def test_candidates_are_weighed_by_the_exact_labels(spark, tmp_path):
+    # the truth is what the threshold 10 says of the exact values, so its candidate is right everywhere
+    kind = lambda user, k: "purchase" if deviations(user)[k] > 10 else "error" if deviations(user)[k] < -10 else "click"
+    path = written(spark, tmp_path, ON_THRESHOLD, kind)
+    got = {r["video_id"]: (r["candidate_id"], r["weighted"], r["raw"]) for r in found(spark, "best_threshold_candidate", path)}
+    assert got == {user: (0, 1.0, 1.0) for user in ON_THRESHOLD}
+    assert same(found(spark, "best_threshold_candidate", path), by_sql("best_threshold_candidate", path))

@@ -150,7 +150,7 @@ def transition_penalties(t: Inputs):
 
 @query("""
 with f as (select video_id, frame_index, gt_label as state, 0.5 + (frame_index % 5) / 10.0 as confidence from v_timeline),
-c as (select s.video_id, s.frame_index, k.id as candidate_id, k.th as threshold, case when s.vz > k.th then 'left' when s.vz < -k.th then 'static' else 'forward' end as label from v_signal s, (values (0, 10.0), (1, 40.0), (2, 160.0)) k(id, th)),
+c as (select s.video_id, s.frame_index, k.id as candidate_id, k.th as threshold, case when s.vz > k.th then 'left' when s.vz < -k.th then 'static' else 'forward' end as label from v_settled_signal s, (values (0, 10.0), (1, 40.0), (2, 160.0)) k(id, th)),
 a as (select c.video_id, candidate_id, cast(threshold as double) as threshold, coalesce(sum(case when label = state then confidence else 0 end) / sum(confidence), 0) as weighted, avg(case when label = state then 1.0 else 0 end) as raw,
   count(*) * 1.0 / max(n) as coverage from c join f on f.video_id = c.video_id and f.frame_index = c.frame_index join (select video_id, count(*) as n from f group by 1) g on g.video_id = c.video_id group by 1, 2, 3),
 r as (select *, row_number() over (partition by video_id order by round(weighted, 9) desc, round(raw, 9) desc, coverage desc, threshold, candidate_id) as rn from a)
@@ -159,7 +159,7 @@ def best_threshold_candidate(t: Inputs):
     final = t.timeline().select("video_id", "frame_index", C("gt_label").alias("state"), (0.5 + (C("frame_index") % 5) / 10.0).alias("confidence"))
     options = F.array(*[F.struct(F.lit(i).alias("candidate_id"), F.lit(th).alias("threshold")) for i, th in enumerate((10.0, 40.0, 160.0))])
     candidates = (
-        t.signal()
+        t.settled_signal()
         .select("video_id", "frame_index", "vz", F.explode(options).alias("o"))
         .select("video_id", "frame_index", "o.candidate_id", "o.threshold", seg.sweep_label(C("vz"), C("o.threshold"), ("static", "forward", "left")).alias("label"))
     )
