@@ -99,3 +99,14 @@ def test_candidates_are_weighed_by_the_exact_labels(spark, tmp_path):
     got = {r["video_id"]: (r["candidate_id"], r["weighted"], r["raw"]) for r in found(spark, "best_threshold_candidate", path)}
     assert got == {user: (0, 1.0, 1.0) for user in ON_THRESHOLD}
     assert same(found(spark, "best_threshold_candidate", path), by_sql("best_threshold_candidate", path))
+
+
+def test_a_rise_of_exactly_five_is_no_violation(spark, tmp_path):
+    # 40.55 is far below the mean and rises by 5; the difference of the two deviations falls short of it in floating point
+    lists = {1: [288.26, 174.84, 254.48, 251.46, 159.11, 40.55, 45.55]}
+    path = written(spark, tmp_path, lists, lambda user, k: "click")
+    d = deviations(1, lists)
+    low = [k for k in range(len(d) - 1) if d[k] < -40]
+    [row] = found(spark, "violation_rates", path)
+    assert (row["applications"], row["violations"]) == (len(low), sum(d[k + 1] < d[k] + 5 for k in low))
+    assert same([row], by_sql("violation_rates", path))

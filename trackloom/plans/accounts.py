@@ -17,6 +17,8 @@ V = ["video_id"]
 
 STEPS = """st as (select *, coalesce(vz < -40, false) as applies, coalesce(vz < -40, false) and not coalesce(nxt >= vz + 5, false) as violates
   from (select video_id, frame_index, vz, lead(vz) over (partition by video_id order by frame_index) as nxt from v_signal) s where nxt is not null)"""
+# the same steps with values and rises to six decimals
+SETTLED_STEPS = STEPS.replace("v_signal", "v_settled_signal").replace("nxt >= vz + 5", "round(nxt - vz, 6) >= 5")
 
 
 @query("""
@@ -40,9 +42,11 @@ def violation_episodes(t: Inputs):
 
 
 @query(f"""
-with {STEPS} select video_id, count(*) filter (where applies) as applications, count(*) filter (where violates) as violations, round(count(*) filter (where violates) / greatest(1, count(*) filter (where applies)), 6) as violation_rate from st group by 1""")
+with {SETTLED_STEPS} select video_id, count(*) filter (where applies) as applications, count(*) filter (where violates) as violations, round(count(*) filter (where violates) / greatest(1, count(*) filter (where applies)), 6) as violation_rate from st group by 1""")
 def violation_rates(t: Inputs):
-    sums = steps(t).groupBy("video_id").agg(F.count_if("applies").alias("applications"), F.count_if("violates").alias("violations"))
+    slow = t.settled_signal().select("video_id", "frame_index", "vz")
+    settled_steps = accounts.violation_steps(slow, V, "frame_index", "vz", C("vz") < -40, settled(C("next") - C("vz")) >= 5)
+    sums = settled_steps.groupBy("video_id").agg(F.count_if("applies").alias("applications"), F.count_if("violates").alias("violations"))
     rate = C("violations") / F.greatest(F.lit(1), C("applications"))
     return rounded(sums.withColumn("violation_rate", rate), "video_id", "applications", "violations", "violation_rate")
 
