@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from trackloom.operators.quantiles import weighted_median
 
 #: In floating point the last value of each list is more than 10, 20 and 60 above the mean; exactly, it is that much.
 ON_THRESHOLD = {
@@ -110,3 +111,9 @@ def test_a_rise_of_exactly_five_is_no_violation(spark, tmp_path):
     [row] = found(spark, "violation_rates", path)
     assert (row["applications"], row["violations"]) == (len(low), sum(d[k + 1] < d[k] + 5 for k in low))
     assert same([row], by_sql("violation_rates", path))
+
+
+def test_half_of_the_weights_is_reached_exactly(spark):
+    # 0.3 is half of 0.3 + 0.1 + 0.2, whose sum is a little more than 0.6 in floating point
+    rows = spark.createDataFrame([(1, 1.0, 0.3), (1, 2.0, 0.1), (1, 3.0, 0.2)], "k int, v double, w double")
+    assert [r.m for r in weighted_median(rows, ["k"], "v", "w", "m", 6).collect()] == [1.0]

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.numbers import settled
 from trackloom.operators.ordered import Ordered, running_sum, total, value_bucket
 
 
@@ -37,9 +38,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, **probs: float) ->
     return ranked.groupBy(*keys).agg(*aggs)
 
 
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
-    """First value whose cumulative weight reaches half of the total; weights must be positive."""
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, digits: int | None = None) -> DataFrame:
+    """First value whose cumulative weight reaches half of the total; weights must be positive.
+
+    With ``digits`` the weights are compared to so many decimals, so that an exact half doesn't hang on the order of a sum.
+    """
     ranked = _ranked(df.filter(F.col(weight) > 0), keys, value, F.sum(weight))
-    return ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("__cum") * 2 >= F.col("__total"), F.col("__v"))).alias(name)
-    )
+    over = F.col("__cum") * 2 - F.col("__total")
+    reached = F.col("__cum") * 2 >= F.col("__total") if digits is None else settled(over, digits) >= 0
+    return ranked.groupBy(*keys).agg(F.min(F.when(reached, F.col("__v"))).alias(name))
