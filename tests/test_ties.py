@@ -5,8 +5,10 @@ from fractions import Fraction
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from trackloom.functions.scores import control_relevance
 from trackloom.operators.quantiles import weighted_median
 
 #: In floating point the last value of each list is more than 10, 20 and 60 above the mean; exactly, it is that much.
@@ -117,3 +119,10 @@ def test_half_of_the_weights_is_reached_exactly(spark):
     # 0.3 is half of 0.3 + 0.1 + 0.2, whose sum is a little more than 0.6 in floating point
     rows = spark.createDataFrame([(1, 1.0, 0.3), (1, 2.0, 0.1), (1, 3.0, 0.2)], "k int, v double, w double")
     assert [r.m for r in weighted_median(rows, ["k"], "v", "w", "m", 6).collect()] == [1.0]
+
+
+def test_relevance_on_the_limit_is_high(spark):
+    # each row weighs 0.67 exactly and a little less in floating point
+    rows = spark.createDataFrame([(0.6, 12.0, 0.7), (0.85, 24.0, 0.7), (0.7, 24.0, 0.8)], "seen double, z double, middle double")
+    label = control_relevance(F.col("seen"), F.lit(50.0), F.col("z"), F.lit(0.0), F.col("middle"))["label"]
+    assert [r.label for r in rows.select(label.alias("label")).collect()] == ["high"] * 3

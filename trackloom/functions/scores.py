@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackloom.functions.numbers import settled
+
 # Fixed values
 SELECTION_WEIGHTS = {
     "calibrated_score": 0.30,
@@ -72,7 +74,8 @@ def control_relevance(
         RELEVANCE_WEIGHTS, visibility=clamp01(visibility), center=middle, size_or_distance=size, front_center=front
     )
     score = clamp01(total / sum(RELEVANCE_WEIGHTS.values()))
-    label = F.when(score >= RELEVANCE_HIGH, "high").when(score >= RELEVANCE_MEDIUM, "medium").otherwise("low")
+    graded = settled(score, 9)
+    label = F.when(graded >= RELEVANCE_HIGH, "high").when(graded >= RELEVANCE_MEDIUM, "medium").otherwise("low")
     return {"score": score, "label": label, "front_center": front >= 0.5}
 
 
