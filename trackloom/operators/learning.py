@@ -73,3 +73,9 @@ def subset_scores(fired: DataFrame, weights: DataFrame, intercept: float, subset
     sums = [F.sum(F.when(test, F.col("weight")).otherwise(0.0)).alias(name) for name, test in subsets.items()]
     total = joined.groupBy("example_id").agg(*sums)
     return total.select("example_id", *[(1 / (1 + F.exp(-(F.col(n) + intercept)))).alias(n) for n in subsets])
+
+
+def listed_subset_scores(rows: DataFrame, weighted: str, intercept: float, subsets: dict) -> DataFrame:
+    """``subset_scores`` of examples in rows that list their rules as (rule_id, weight); a subset tests such a rule."""
+    total = lambda test: F.aggregate(F.filter(weighted, test), F.lit(0.0), lambda s, w: s + w["weight"])
+    return rows.select("example_id", *[(1 / (1 + F.exp(-(total(test) + intercept)))).alias(n) for n, test in subsets.items()])

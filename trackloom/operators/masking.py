@@ -60,6 +60,53 @@ def mask_rules(fired: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     )
 
 
+def _two_best(scenes: DataFrame) -> DataFrame:
+    by_score = F.sort_array("fired", asc=False)
+    second = F.when(F.size("fired") > 1, by_score[1]["confidence"]).otherwise(0.0)
+    return scenes.withColumn("rules", F.size("fired").cast("bigint")).withColumn("second", second).withColumn("top", F.array_max("fired")["confidence"])
+
+
+def mask_scenes(scenes: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+    """``mask_rules`` of examples in rows: ``fired`` lists (confidence, rule_id) of an example.
+
+    The best rule leaves the second score behind, every other one the first; where two are best, these are equal.
+    """
+    rows = _two_best(scenes).select("example_id", "label", "rules", "second", "top", F.explode("fired").alias("r"))
+    rest = F.when(F.col("r.confidence") == F.col("top"), F.col("second")).otherwise(F.col("top"))
+    after = F.col("rules") > 1
+    return (
+        rows.select("example_id", "label", "r.rule_id", "r.confidence", "rules", "top", rest.alias("masked_score"))
+        .withColumn("delta", F.col("top") - F.col("masked_score"))
+        .withColumn("masked_predicted", after)
+        .withColumn("flipped", ~after)
+        .withColumn("influence", influence(F.col("label"), F.lit(True), after, F.col("delta"), epsilon))
+    )
+
+
+def scene_summary(scenes: DataFrame, epsilon: float = 1e-9, many: float = 0.5) -> DataFrame:
+    """``example_summary`` of examples in rows: only the best rule of several can change a score.
+
+    Without a change the key rule is the one with the largest id, as all deltas are equal then.
+    """
+    c, n, delta = F.col, F.col("rules"), F.col("top") - F.col("second")
+    changes = (n == 1) | (F.round(delta, 9) > 0)
+    best = F.array_max("fired")["rule_id"]
+    kind = influence(c("label"), F.lit(True), n > 1, F.when(changes, delta).otherwise(0.0), epsilon)
+    redundant = F.when(n == 1, 0).when(F.abs(delta) > epsilon, n - 1).otherwise(n)
+    out = _two_best(scenes.filter(F.size("fired") > 0)).select(
+        "example_id",
+        "label",
+        n.alias("triggers"),
+        F.when(n == 1, 1).otherwise(0).cast("bigint").alias("flips"),
+        redundant.cast("bigint").alias("redundant"),
+        delta.alias("delta_max"),
+        F.when(changes, best).otherwise(F.array_max(F.transform("fired", lambda r: r["rule_id"]))).alias("key_rule"),
+        kind.alias("key_influence"),
+    )
+    share = c("redundant") / c("triggers")
+    return out.withColumn("redundant_share", share).withColumn("mostly_redundant", share >= many)
+
+
 def rule_summary(masked: DataFrame) -> DataFrame:
     """Flips, helpful and harmful counts, score changes and the dominant influence of each rule."""
     kind = F.col("influence")

@@ -20,7 +20,7 @@ SUMMARY = f"""{MASK}, su as (select rule_id, count(*) as triggers, count_if(flip
 
 
 def summary(t: Inputs):
-    return masking.rule_summary(masking.mask_rules(rulebook.fired(t)))
+    return masking.rule_summary(rulebook.masked(t))
 
 
 @query(f"""
@@ -54,10 +54,12 @@ with {RULESET}, w as (select rule_id, ln((confidence + 0.01) / (1 - confidence +
 s as (select example_id, sum(weight) as a, sum(case when m.rule_id <= 5 then weight else 0 end) as b, sum(case when weight < 0 then weight else 0 end) as c from m join w on w.rule_id = m.rule_id group by 1)
 select example_id, round(1 / (1 + exp(-(a - 0.1))), 6) as all_rules, round(1 / (1 + exp(-(b - 0.1))), 6) as top_five, round(1 / (1 + exp(-(c - 0.1))), 6) as negative_only from s""")
 def weight_subset_scores(t: Inputs):
-    fired = rulebook.fired(t)
-    weights = rulebook.rule_set(t).select("rule_id", F.log((C("confidence") + 0.01) / (1 - C("confidence") + 0.01)).alias("weight"))
-    subsets = {"all_rules": F.lit(True), "top_five": C("rule_id") <= 5, "negative_only": C("weight") < 0}
-    return rounded(learning.subset_scores(fired.select("rule_id", "example_id"), weights, -0.1, subsets), "example_id", *subsets)
+    # the weight of a rule follows from its confidence; a list of fired rules is one example's
+    weight = lambda r: F.log((rulebook.confidence_of(r) + 0.01) / (1 - rulebook.confidence_of(r) + 0.01))
+    subsets = {"all_rules": lambda w: F.lit(True), "top_five": lambda w: w["rule_id"] <= 5, "negative_only": lambda w: w["weight"] < 0}
+    rows = rulebook.firings(t).filter(F.size("fired") > 0)
+    rows = rows.withColumn("weighted", F.transform(F.array_sort("fired"), lambda r: F.struct(r.alias("rule_id"), weight(r).alias("weight"))))
+    return rounded(learning.listed_subset_scores(rows, "weighted", -0.1, subsets), "example_id", *subsets)
 
 
 @query("""
@@ -167,7 +169,7 @@ def miss_categories(t: Inputs):
         F.bool_or(is_vehicle & (C("distance_state") == "near")).alias("near_vehicle"),
         F.bool_or(is_vehicle & (C("x_state") == "centered")).alias("centered_vehicle"),
     )
-    e = rulebook.predictions(t).join(t.examples().select("example_id", "segment_index"), "example_id").join(context, ["video_id", "segment_index"], "left")
+    e = rulebook.predictions(t).join(context, ["video_id", "segment_index"], "left")
     missed = C("label") & ~C("predicted")
     category = (
         F.when(~missed, "not_missed").when(C("objects").isNull(), "no_objects").when(C("near_vehicle") & C("centered_vehicle"), "vehicle_near_and_centered")

@@ -8,7 +8,7 @@ from trackloom.operators import rounds
 from trackloom.plans import rulebook
 from trackloom.plans.catalog import query, rounded
 from trackloom.plans.rulebook import RULESET, SELECTED
-from trackloom.plans.views import Inputs
+from trackloom.plans.views import Inputs, shared
 
 C = F.col
 PARTS = ["precision_gain", "fp_reduction", "retention", "grounding_bonus", "rank_bonus", "length_penalty", "score"]
@@ -36,7 +36,7 @@ def broadest(t: Inputs) -> list[int]:
 
 
 def rounds_of(t: Inputs):
-    fired = rulebook.fired(t).select("example_id", C("rule_id").cast("long").alias("rule_id"), "label", "confidence")
+    fired = shared(rulebook.fired(t).select("example_id", C("rule_id").cast("long").alias("rule_id"), "label", "confidence"))
     positives = t.examples().filter("label").count()
     return rounds.reselection_rounds(pool(t), fired, positives, broadest(t), rounds.Terms(k=SELECTED, mode="aggressive"))
 
