@@ -37,11 +37,19 @@ def firing_vectors(examples: DataFrame, fired: DataFrame, size: int) -> DataFram
     return index.transform(joined.withColumn("target", F.col("label").cast("double"))).drop("rules")
 
 
-def fit_rule_weights(vectors: DataFrame, c: float, rows: int):
-    """L1 logistic regression over rule firings; ``c`` is the inverse strength."""
-    return LogisticRegression(
+def listed_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """``firing_vectors`` of rows that list the rules of an example, numbered from 1, in ``fired``."""
+    index = CountVectorizerModel.from_vocabulary([str(i) for i in range(1, size + 1)], inputCol="rules", outputCol="features", minTF=1.0)
+    listed = rows.withColumn("rules", F.col("fired").cast("array<string>")).withColumn("target", F.col("label").cast("double"))
+    return index.transform(listed).drop("rules")
+
+
+def fit_rule_weights(vectors: DataFrame, c: float, rows: int, weight: str | None = None):
+    """L1 logistic regression over rule firings; ``c`` is the inverse strength, ``weight`` the number of examples of a row."""
+    model = LogisticRegression(
         featuresCol="features", labelCol="target", elasticNetParam=1.0, regParam=1.0 / (c * max(1, rows)), maxIter=50, standardization=False
-    ).fit(vectors)
+    )
+    return (model.setWeightCol(weight) if weight else model).fit(vectors)
 
 
 def scored(model, vectors: DataFrame) -> DataFrame:

@@ -71,11 +71,12 @@ def mask_scenes(scenes: DataFrame, epsilon: float = 1e-9) -> DataFrame:
 
     The best rule leaves the second score behind, every other one the first; where two are best, these are equal.
     """
-    rows = _two_best(scenes).select("example_id", "label", "rules", "second", "top", F.explode("fired").alias("r"))
+    own = [k for k in ("example_id", "n") if k in scenes.columns]
+    rows = _two_best(scenes).select(*own, "label", "rules", "second", "top", F.explode("fired").alias("r"))
     rest = F.when(F.col("r.confidence") == F.col("top"), F.col("second")).otherwise(F.col("top"))
     after = F.col("rules") > 1
     return (
-        rows.select("example_id", "label", "r.rule_id", "r.confidence", "rules", "top", rest.alias("masked_score"))
+        rows.select(*own, "label", "r.rule_id", "r.confidence", "rules", "top", rest.alias("masked_score"))
         .withColumn("delta", F.col("top") - F.col("masked_score"))
         .withColumn("masked_predicted", after)
         .withColumn("flipped", ~after)
@@ -108,16 +109,21 @@ def scene_summary(scenes: DataFrame, epsilon: float = 1e-9, many: float = 0.5) -
 
 
 def rule_summary(masked: DataFrame) -> DataFrame:
-    """Flips, helpful and harmful counts, score changes and the dominant influence of each rule."""
+    """Flips, helpful and harmful counts, score changes and the dominant influence of each rule.
+
+    A row with ``n`` stands for so many examples.
+    """
     kind = F.col("influence")
-    counts = {name: F.count_if(kind == full) for name, full in zip(["helpful", "harmful", "minor", "redundant"], INFLUENCES)}
+    times = F.col("n") if "n" in masked.columns else F.lit(1).cast("bigint")
+    number = lambda test: F.sum(F.when(test, times).otherwise(0))
+    counts = {name: number(kind == full) for name, full in zip(["helpful", "harmful", "minor", "redundant"], INFLUENCES)}
     agg = masked.groupBy("rule_id").agg(
-        F.count("*").alias("triggers"),
-        F.count_if(F.col("flipped")).alias("flips"),
+        F.sum(times).alias("triggers"),
+        number(F.col("flipped")).alias("flips"),
         *[c.alias(n) for n, c in counts.items()],
-        F.count_if((kind == INFLUENCES[0]) & F.col("label")).alias("necessary_tp"),
-        F.count_if((kind == INFLUENCES[1]) & ~F.col("label")).alias("causal_fp"),
-        F.sum("delta").alias("delta_sum"),
+        number((kind == INFLUENCES[0]) & F.col("label")).alias("necessary_tp"),
+        number((kind == INFLUENCES[1]) & ~F.col("label")).alias("causal_fp"),
+        F.sum(F.col("delta") * times).alias("delta_sum"),
         F.max("delta").alias("delta_max"),
     )
     sizes = F.greatest(*counts)

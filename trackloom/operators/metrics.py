@@ -34,9 +34,10 @@ def binary_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return with_rates(confusion(df, keys, F.col("predicted"), F.col("label")))
 
 
-def score_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positives and rows per distinct score with running counts from the highest score down."""
-    per_score = df.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+def score_counts(df: DataFrame, keys: Sequence[str], weight: Column | int = 1) -> DataFrame:
+    """Positives and rows per distinct score with running counts from the highest score down; a row counts ``weight`` times."""
+    times = F.lit(weight) if isinstance(weight, int) else weight
+    per_score = df.groupBy(*keys, "score").agg(F.sum(F.col("label") * times).alias("pos"), F.sum(times).alias("n"))
     down = per_score.withColumn("down", -F.col("score"))
     order = Ordered(keys, ["down"], value_bucket(F.col("down")))
     return order.scan(
@@ -48,9 +49,9 @@ def score_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def roc_auc(df: DataFrame, keys: Sequence[str], weight: Column | int = 1) -> DataFrame:
     """Area under the ROC curve by average ranks; equal scores share their mean rank."""
-    s = score_counts(df, keys)
+    s = score_counts(df, keys, weight)
     c = F.col
     # rank from the lowest score: rows at or below, minus half of the tied ones
     mean_rank = c("total_rows") - c("rows") + (c("n") + 1) / 2.0

@@ -73,24 +73,20 @@ def bag_of_atoms(t: Inputs):
 
 @query()
 def rule_firing_vectors(t: Inputs):
-    vectors = learning.firing_vectors(
-        t.examples().select("example_id", "label"), rulebook.fired(t).select("example_id", (C("rule_id") - 1).alias("position")), rulebook.rule_set(t).count()
-    )
     from pyspark.ml.functions import vector_to_array
 
+    vectors = learning.listed_vectors(rulebook.bindings(t).withColumn("fired", F.array_distinct("fired")), rulebook.rule_set(t).count())
     return vectors.select("example_id", "label", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, v: a + v).alias("fired"))
 
 
 @query()
 def rule_weights(t: Inputs):
-    vectors = shared(
-        learning.firing_vectors(
-            t.examples().select("example_id", "label"), rulebook.fired(t).select("example_id", (C("rule_id") - 1).alias("position")), rulebook.rule_set(t).count()
-        )
-    )
-    model = learning.fit_rule_weights(vectors, 1.0, vectors.count())
-    out = learning.scored(model, vectors).select("example_id", C("target").cast("int").alias("label"), "score")
-    return metrics.roc_auc(out.withColumn("model", F.lit("l1_rules")), ["model"]).select("model", "p", "n", settled(C("auc")).alias("auc"))
+    # examples with the same label and rules are one weighted row
+    vectors = shared(learning.listed_vectors(rulebook.alike_firings(t), rulebook.rule_set(t).count()))
+    number = rulebook.alike(t).agg(F.sum("n")).first()[0]
+    model = learning.fit_rule_weights(vectors, 1.0, number or 0, "n")
+    out = learning.scored(model, vectors).select("n", C("target").cast("int").alias("label"), "score")
+    return metrics.roc_auc(out.withColumn("model", F.lit("l1_rules")), ["model"], C("n")).select("model", "p", C("n"), settled(C("auc")).alias("auc"))
 
 
 @query(f"""

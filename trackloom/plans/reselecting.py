@@ -8,7 +8,7 @@ from trackloom.operators import rounds
 from trackloom.plans import rulebook
 from trackloom.plans.catalog import query, rounded
 from trackloom.plans.rulebook import RULESET, SELECTED
-from trackloom.plans.views import Inputs, shared
+from trackloom.plans.views import Inputs
 
 C = F.col
 PARTS = ["precision_gain", "fp_reduction", "retention", "grounding_bonus", "rank_bonus", "length_penalty", "score"]
@@ -36,9 +36,10 @@ def broadest(t: Inputs) -> list[int]:
 
 
 def rounds_of(t: Inputs):
-    fired = shared(rulebook.fired(t).select("example_id", C("rule_id").cast("long").alias("rule_id"), "label", "confidence"))
-    positives = t.examples().filter("label").count()
-    return rounds.reselection_rounds(pool(t), fired, positives, broadest(t), rounds.Terms(k=SELECTED, mode="aggressive"))
+    rows = rulebook.alike_firings(t).crossJoin(F.broadcast(rulebook.confidences(t)))
+    one = lambda r: F.struct(rulebook.confidence_of(r).alias("confidence"), r.cast("long").alias("rule_id"))
+    fired = rows.select("label", F.transform("fired", one).alias("fired"), "n")
+    return rounds.reselection_rounds(pool(t), fired, rulebook.positives(t), broadest(t), rounds.Terms(k=SELECTED, mode="aggressive"))
 
 
 @query()
