@@ -4,6 +4,9 @@ Rows are observations: video_id, track_id, frame_index, label, source, score, x,
 part of the key of a track, so all candidates of all tracks go through the same shuffles, and a long track is cut into chunks as
 everywhere else.  Nulls in x, z or the box leave the tests that need them out; a track of one row keeps its values; without rejected
 tracks the results are empty.
+
+Candidates are ten times the rows, so tracks that fit in a row go another way, ``gathered``, ``tried`` and ``repaired``: the whole search happens
+beside the gathered track, and no row of a candidate is ever shuffled or written.
 """
 
 from __future__ import annotations
@@ -11,11 +14,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.functions.geometry import norm
-from trackloom.operators import quality
+from trackloom.operators import quality, track_lists
 from trackloom.operators.lineage import checkpointed
 from trackloom.operators.ordered import by_step, following, near, row_number
 from trackloom.operators.quantiles import quantiles
@@ -55,6 +61,8 @@ EQUAL = 1e-9
 SEVERITY = {"valid": 0, "repaired": 0, "uncertain": 1, "invalid": 3}
 
 PARAMETERS = {"maximum_gap": "int", "alpha": "double", "residual_clip_mad": "double", "median_radius": "int", "mad_scale": "double", "window": "int"}
+#: Bytes of gathered tracks that go to Python together; their candidates are ten times as many.
+BATCH_BYTES = 4 << 20
 #: Name of the candidate that applies all strategies of a track's reasons one after the other.
 IN_ORDER = "in_order"
 c = F.col
@@ -161,7 +169,9 @@ def _median_filtered(rows: DataFrame, keys: Sequence[str], reach: int) -> DataFr
     start = F.greatest(F.lit(1), own - c("median_radius"))
 
     def around(column: str):
-        return lambda w: _median(F.slice(F.collect_list(column).over(w.rowsBetween(-reach, reach)), start, own + c("median_radius") - start + 1))
+        # a null keeps its place in the list
+        seen = lambda w: F.slice(F.collect_list(F.struct(c(column).alias("v"))).over(w.rowsBetween(-reach, reach)), start, own + c("median_radius") - start + 1)
+        return lambda w: _median(F.filter(F.transform(seen(w), lambda r: r["v"]), lambda v: v.isNotNull()))
 
     series = {"x": "__bx", "z": "__bz", **{b: f"__m{b}" for b in box}}
     seen = near(_numbered(rows.withColumns(box), keys), keys, "__at", reach, **{to: around(of) for of, to in series.items()})
@@ -267,9 +277,13 @@ def facts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def evaluated(rows: DataFrame, keys: Sequence[str], thresholds: dict[str, float] | None = None) -> DataFrame:
     """Status, rejections, doubts and issue cost of each track."""
+    return judged(facts(rows, keys), keys, thresholds)
+
+
+def judged(facts: DataFrame, keys: Sequence[str], thresholds: dict[str, float] | None = None) -> DataFrame:
     from trackloom.operators.tracks import track_uncertainty
 
-    checked = quality.reality_checks(facts(rows, keys), thresholds)
+    checked = quality.reality_checks(facts, thresholds)
     unsure = track_uncertainty(checked, 0.35 * c("repaired_ratio") + 0.2 * c("merged_ratio"))
     capped = lambda column: F.least(F.lit(CUE_CAP), column)
     cost = (
@@ -285,6 +299,10 @@ def candidate_plans(rejected: DataFrame, strategies: Sequence[str], addressed: d
 
     The last one exists where the reasons call for two or more.  ``rank`` orders the candidates of a track.
     """
+    return rejected.select(*TRACK, F.explode(_listed(rejected, strategies, addressed)).alias("p")).select(*TRACK, "p.*")
+
+
+def _listed(rejected: DataFrame, strategies: Sequence[str], addressed: dict[str, list[str]]) -> Column:
     single = [F.struct(F.lit(i + 1).alias("rank"), F.lit(s).alias("candidate"), F.array(step(s)).alias("plan")) for i, s in enumerate(strategies)]
     called: dict[str, list[str]] = {}
     for reason, names in addressed.items():
@@ -293,8 +311,7 @@ def candidate_plans(rejected: DataFrame, strategies: Sequence[str], addressed: d
     has = lambda reasons: F.arrays_overlap("rejections", F.array(*map(F.lit, reasons)))
     chain = F.array_compact(F.array(*[F.when(has(reasons), step(s)) for s, reasons in called.items()]))
     together = F.struct(F.lit(len(single) + 1).alias("rank"), F.lit(IN_ORDER).alias("candidate"), chain.alias("plan"))
-    listed = F.concat(F.array(*single), F.when(F.size(chain) > 1, F.array(together)).otherwise(F.array().cast("array<" + _plan_type(rejected, together) + ">")))
-    return rejected.select(*TRACK, F.explode(listed).alias("p")).select(*TRACK, "p.*")
+    return F.concat(F.array(*single), F.when(F.size(chain) > 1, F.array(together)).otherwise(F.array().cast("array<" + _plan_type(rejected, together) + ">")))
 
 
 def _plan_type(df: DataFrame, column: Column) -> str:
@@ -339,14 +356,17 @@ def repair_candidates(
     compared = _compared(first, after_rows, keys)
     report = plans.join(before.select(*TRACK, c("n").alias("n_before"), c("status").alias("status_before"), c("rejections").alias("rejections_before"), c("cost").alias("cost_before")), TRACK)
     joined = report.join(after.withColumnsRenamed({x: f"{x}_after" for x in ("n", "status", "rejections", "doubts", "cost", "uncertainty")}), keys).join(compared, keys)
+    return _accepted(joined).join(_penalties(plans, calibration), keys).withColumn("score", c("cost_after") + c("penalty")), after_rows, first
+
+
+def _accepted(joined: DataFrame) -> DataFrame:
     severity = lambda s: F.coalesce(*[F.when(c(s) == k, v) for k, v in SEVERITY.items()])
     new = F.array_except("rejections_after", "rejections_before")
     out = joined.withColumns({
         "improvement": c("cost_before") - c("cost_after"), "removes_rows": c("matched") < c("n_before"), "new_rejections": new,
         "worse": (F.size(new) > 0) | (severity("status_after") > severity("status_before")),
     })
-    out = out.withColumn("accepted", (c("improvement") >= IMPROVEMENT_MARGIN) & ~c("removes_rows") & ~c("worse"))
-    return out.join(_penalties(plans, calibration), keys).withColumn("score", c("cost_after") + c("penalty")), after_rows, first
+    return out.withColumn("accepted", (c("improvement") >= IMPROVEMENT_MARGIN) & ~c("removes_rows") & ~c("worse"))
 
 
 def _penalties(plans: DataFrame, calibration: DataFrame | None) -> DataFrame:
@@ -385,7 +405,7 @@ def _side_by_side(first: DataFrame, after: DataFrame) -> DataFrame:
 def chosen_repairs(candidates: DataFrame) -> DataFrame:
     """One row per rejected track: the accepted candidate with the lowest score, or none, with the final decision and a confidence."""
     order = F.struct(F.round("score", 9).alias("score"), "rank")
-    cols = ["candidate", "improvement", "rejections_after", "cost_after", "modified_frames"]
+    cols = ["candidate", "plan", "improvement", "rejections_after", "cost_after", "modified_frames"]
     best = candidates.groupBy(*TRACK).agg(
         F.first("cost_before").alias("cost_before"), F.first("rejections_before").alias("rejections_before"),
         F.count("*").alias("tried"), F.count_if("accepted").alias("accepted"),
@@ -408,3 +428,99 @@ def repaired_tracks(candidate_rows: DataFrame, first: DataFrame, chosen: DataFra
         *cols, "source", F.lit(None).cast("string").alias("candidate"), F.lit(False).alias("modified"), F.lit(False).alias("inserted"), c("x").alias("original_x"), c("z").alias("original_z")
     )
     return changed.unionByName(rest)
+
+
+def gathered(observations: DataFrame, ego: DataFrame) -> DataFrame:
+    """Tracks in a row each: ``rows`` in the order of their frames and ``egos``, the ego motion of the video in the track's span.
+
+    Both tables are spread by video_id, so nothing is shuffled.  Ids and frames are not null, and a frame occurs once in a track.
+    """
+    observations.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    rows = observations.groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct(*OBSERVED))).alias("rows"))
+    moving = ego.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("frame_index", "ego_vx", "ego_vz"))).alias("egos"))
+    first, last = F.element_at("rows", 1)["frame_index"], F.element_at("rows", -1)["frame_index"]
+    inside = F.filter("egos", lambda e: e["frame_index"].between(first, last))
+    known = F.coalesce(inside, F.array().cast(moving.schema["egos"].dataType))
+    return rows.join(moving, "video_id", "left").select(*TRACK, "rows", known.alias("egos"))
+
+
+def _once(kind: T.DataType):
+    """An Arrow function that Spark neither repeats nor moves, as its plan would call it anew for every filter on what it found."""
+    return lambda f: F.arrow_udf(f, kind).asNondeterministic()
+
+
+def _kind(kinds: dict[str, str]) -> T.StructType:
+    types = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(k, types[t]) for k, t in kinds.items()])
+
+
+@_once(_kind(track_lists.FACTS))
+def _facts_of(rows: pa.Array, egos: pa.Array) -> pa.Array:
+    tracks = track_lists.Tracks(rows)
+    every = np.arange(len(rows))
+    found = tracks.measured(tracks.rows, np.ones(len(rows), np.int64), track_lists.egos_of(egos), every)
+    return track_lists.structs(found, track_lists.FACTS)
+
+
+@_once(T.ArrayType(_kind({**track_lists.FACTS, **track_lists.COMPARED})))
+def _facts_after(rows: pa.Array, egos: pa.Array, plans: pa.Array) -> pa.Array:
+    tracks = track_lists.Tracks(rows)
+    edges = track_lists.edges_of(plans)
+    owners = np.repeat(np.arange(len(rows)), np.diff(edges))
+    after, window = track_lists.after_plans(tracks, owners, plans.flatten(), EQUAL)
+    found = tracks.measured(after, window, track_lists.egos_of(egos), owners)
+    found |= track_lists.compared(tracks.rows, after, track_lists.side_by_side(tracks.rows, after, owners, window, EQUAL))
+    values = track_lists.structs(found, {**track_lists.FACTS, **track_lists.COMPARED})
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+
+
+_AFTER = {"frame_index": "int", "label": "string", "source": "string", "modified": "boolean", "inserted": "boolean"}
+_AFTER |= {k: "double" for k in ("x", "z", *BOX, "obj_vx", "obj_vz", "original_x", "original_z")}
+
+
+@_once(T.ArrayType(_kind(_AFTER)))
+def _rows_after(rows: pa.Array, plan: pa.Array) -> pa.Array:
+    tracks = track_lists.Tracks(rows)
+    every = np.arange(len(rows))
+    after, window = track_lists.after_plans(tracks, every, plan, EQUAL)
+    beside = track_lists.side_by_side(tracks.rows, after, every, window, EQUAL)
+    found, modified = beside["original"], beside["modified"]
+    source = np.where(modified, tracks.sources.more[0], after["source"])
+    was = {f"original_{a}": np.where(found >= 0, tracks.rows[a][found], np.nan) for a in ("x", "z")}
+    doubles = {**{k: after[k] for k in ("x", "z", *BOX)}, **{k: beside[k] for k in ("obj_vx", "obj_vz")}, **was}
+    fixed = [pa.array(after["frame_index"], pa.int32()), tracks.labels.of(after["label"]), tracks.sources.of(source), pa.array(modified), pa.array(found < 0)]
+    values = pa.StructArray.from_arrays([*fixed, *[pa.array(doubles[k], from_pandas=True) for k in list(_AFTER)[5:]]], list(_AFTER))
+    return pa.ListArray.from_arrays(pa.array(after.edges, pa.int32()), values)
+
+
+def tried(
+    tracks: DataFrame,
+    strategies: Sequence[str] = tuple(STRATEGIES),
+    addressed: dict[str, list[str]] | None = None,
+    calibration: DataFrame | None = None,
+    thresholds: dict[str, float] | None = None,
+) -> DataFrame:
+    """The candidates of ``repair_candidates`` for ``gathered`` tracks."""
+    measured = tracks.withColumn("f", _facts_of("rows", "egos")).select(*TRACK, "rows", "egos", "f.*")
+    kept = [*TRACK, "rows", "egos"]
+    before = judged(measured, kept, thresholds).filter(F.size("rejections") > 0)
+    listed = before.withColumn("plans", _listed(before, strategies, ADDRESSED if addressed is None else addressed))
+    after = listed.withColumn("found", _facts_after("rows", "egos", F.transform("plans", lambda p: p["plan"])))
+    report = {f"{x}_before": c(x) for x in ("n", "status", "rejections", "cost")}
+    each = after.select(*TRACK, *[v.alias(k) for k, v in report.items()], F.explode(F.arrays_zip("plans", "found")).alias("p"))
+    each = each.select(*TRACK, *report, "p.plans.*", "p.found.*")
+    names = ["n", "status", "rejections", "doubts", "cost", "uncertainty"]
+    own = [*TRACK, "rank", "candidate", "plan", *report, *track_lists.COMPARED]
+    out = _accepted(judged(each, own, thresholds).withColumnsRenamed({x: f"{x}_after" for x in names}))
+    if calibration is None:
+        return out.withColumn("penalty", 5.0 * F.size("plan")).withColumn("score", c("cost_after") + c("penalty"))
+    return out.join(_penalties(out, calibration), [*TRACK, "candidate"]).withColumn("score", c("cost_after") + c("penalty"))
+
+
+def repaired(tracks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``repaired_tracks`` for ``gathered`` tracks; ``chosen`` comes from their candidates and has the plan."""
+    picked = chosen.filter("candidate is not null").select(*TRACK, "candidate", "plan").repartition("video_id")
+    none = F.array().cast(picked.schema["plan"].dataType)
+    both = tracks.select(*TRACK, "rows").join(picked, TRACK, "left").withColumn("plan", F.coalesce("plan", none))
+    after = both.select(*TRACK, "candidate", F.explode(_rows_after("rows", "plan")).alias("r"))
+    return after.select(*TRACK, "candidate", "r.*")

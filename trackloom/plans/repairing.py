@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackloom.functions.numbers import settled
 from trackloom.operators import repair_search as rs
 from trackloom.plans.catalog import query, rounded
-from trackloom.plans.sequences import EGO, ego, sourced
+from trackloom.plans.sequences import EGO, ego_of, with_source
 from trackloom.plans.views import Inputs
 
 C = F.col
 
 
-def boxed(t: Inputs):
+def boxed(observations):
     """Observations with a box made of place and depth."""
     left, top = C("x") * 4, C("y")
-    return sourced(t).withColumns({"x1": left, "y1": top, "x2": left + 60 + 2 * C("z"), "y2": top + 40 + C("z")})
+    return with_source(observations).withColumns({"x1": left, "y1": top, "x2": left + 60 + 2 * C("z"), "y2": top + 40 + C("z")})
 
 
-def search(t: Inputs):
-    candidates, rows, first = rs.repair_candidates(t.once("boxed", lambda: boxed(t)), t.once("ego", lambda: ego(t)))
-    return t.once("repair_candidates", lambda: candidates), rows, first
+def candidates_of(observations, whole: bool):
+    if whole:
+        return rs.tried(rs.gathered(boxed(observations), ego_of(observations)))
+    return rs.repair_candidates(boxed(observations), ego_of(observations))[0]
+
+
+def repaired_of(observations, whole: bool):
+    if whole:
+        found = rs.gathered(boxed(observations), ego_of(observations))
+        return rs.repaired(found, rs.chosen_repairs(rs.tried(found)))
+    candidates, rows, first = rs.repair_candidates(boxed(observations), ego_of(observations))
+    return rs.repaired_tracks(rows, first, rs.chosen_repairs(candidates))
 
 
 TESTED = f"""
@@ -99,7 +109,7 @@ ca as (select *, improvement >= 8 and not removes_rows and len(new_rejections) =
 with recursive {TESTED} select video_id, track_id, candidate, status_after, array_to_string(rejections_before, ',') as rejections_before, array_to_string(rejections_after, ',') as rejections_after, round(cost_before, 6) as cost_before, round(cost_after, 6) as cost_after,
   matched, modified_frames, round(rmse, 6) as rmse, removes_rows, accepted, round(score, 6) as score from ca""")
 def repair_candidates(t: Inputs):
-    out = search(t)[0].withColumns({k: F.array_join(k, ",") for k in ("rejections_before", "rejections_after")})
+    out = t.by_length(candidates_of).withColumns({k: F.array_join(k, ",") for k in ("rejections_before", "rejections_after")})
     return rounded(out, "video_id", "track_id", "candidate", "status_after", "rejections_before", "rejections_after", "cost_before", "cost_after", "matched", "modified_frames", "rmse", "removes_rows", "accepted", "score")
 
 
@@ -113,7 +123,7 @@ select tr.video_id, tr.track_id, tried, tr.accepted, candidate, round(tr.cost_be
   case when candidate is null then 'Unrepairable' when len(rejections_after) = 0 then 'Repair' else 'Keep_with_uncertainty' end as decision, round(coalesce(least(1.0, greatest(0.0, improvement / greatest(8.0, tr.cost_before))), 0), 6) as confidence
 from tr left join bs using (video_id, track_id)""")
 def chosen_repairs(t: Inputs):
-    out = rs.chosen_repairs(search(t)[0])
+    out = rs.chosen_repairs(t.by_length(candidates_of))
     return rounded(out, "video_id", "track_id", "tried", "accepted", "candidate", "cost_before", "cost_after", "modified_frames", "decision", "confidence")
 
 
@@ -124,8 +134,6 @@ with recursive {CHOSEN}, pk as (select e3.*, bs.candidate, o.frame_index is null
 select video_id, track_id, frame_index, label, case when modified then 'repaired' else source end as source, candidate, modified, inserted, round(x, 6) as x, round(z, 6) as z, round(x1, 6) as x1, round(y2, 6) as y2, round(ox, 6) as obj_vx, round(oz, 6) as obj_vz, original_x, original_z from pk
 union all select video_id, track_id, frame_index, label, source, null, false, false, round(x, 6), round(z, 6), round(x1, 6), round(y2, 6), round(ox, 6), round(oz, 6), x, z from e3 where cand = 'original' and (video_id, track_id) not in (select (video_id, track_id) from bs)""")
 def repaired_tracks(t: Inputs):
-    candidates, rows, first = search(t)
-    out = rs.repaired_tracks(rows, first, rs.chosen_repairs(candidates))
-    kept = rounded(out, "video_id", "track_id", "frame_index", "label", "source", "candidate", "modified", "inserted", "x", "z", "x1", "y2", "obj_vx", "obj_vz")
-    originals = out.select("video_id", "track_id", "frame_index", "original_x", "original_z")
-    return kept.join(originals, ["video_id", "track_id", "frame_index"])
+    kept = ["video_id", "track_id", "frame_index", "label", "source", "candidate", "modified", "inserted", "x", "z", "x1", "y2", "obj_vx", "obj_vz"]
+    out = t.by_length(repaired_of).select(*kept, "original_x", "original_z")
+    return out.withColumns({k: settled(C(k)) for k in kept[8:]})

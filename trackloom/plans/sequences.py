@@ -17,11 +17,11 @@ V = ["video_id"]
 
 def ego(t: Inputs):
     """Mean motion of a video's frame stands in for its ego motion."""
-    return (
-        t.track_obs()
-        .groupBy("video_id", "frame_index")
-        .agg((F.avg("x") / 10).alias("ego_vx"), (F.avg("z") / 50).alias("ego_vz"))
-    )
+    return ego_of(t.track_obs())
+
+
+def ego_of(observations):
+    return observations.groupBy("video_id", "frame_index").agg((F.avg("x") / 10).alias("ego_vx"), (F.avg("z") / 50).alias("ego_vz"))
 
 
 EGO = "select video_id, frame_index, avg(x) / 10 as ego_vx, avg(z) / 50 as ego_vz from v_track_obs group by 1, 2"
@@ -177,10 +177,12 @@ prof as (select video_id, track_id, count(*) as observations, min(frame_index) a
 
 
 def sourced(t: Inputs):
+    return with_source(t.track_obs())
+
+
+def with_source(observations):
     label = C("label")
-    return t.track_obs().withColumn(
-        "source", F.when(label == "R", "repaired").when(label == "A", "merged").otherwise("observed")
-    )
+    return observations.withColumn("source", F.when(label == "R", "repaired").when(label == "A", "merged").otherwise("observed"))
 
 
 @query(f"""
