@@ -11,7 +11,8 @@ into chunks of its order column and do the row work per (key, chunk):
 * ``runs``          - gaps and islands; runs are compressed per chunk and only the first and last run of a
   chunk are stitched with their neighbours.
 
-There is one way for inputs of every size.  Null keys form a group of their own and null order values come first in it, as
+There is one way for keys of every size; only where all keys are known to be short, each of them is one chunk (``Ordered.chunk`` is None) and
+keeps the partitioning of its rows.  Null keys form a group of their own and null order values come first in it, as
 in an ordinary window: a chunk is addressed by a struct of keys and chunk, which is never null and equal where all its fields
 are, so windows, summaries and the join with the carry also share one partitioning.
 """
@@ -36,6 +37,7 @@ class Spec:
     summary: Callable[[Column], Column]
     carry: Callable[[WindowSpec, Column], Column]
     merge: Callable[[list[Column], Column], Column]
+    whole: Callable[[WindowSpec], Column] | None = None
 
 
 def _zero(c: Column) -> Column:
@@ -62,6 +64,7 @@ def _whole(value: Column, fold: Callable[[Column], Column]) -> Spec:
         lambda o: fold(value),
         lambda w, s: fold(s).over(w.rowsBetween(START, END)),
         lambda l, c: c,
+        lambda w: fold(value).over(w.rowsBetween(START, END)),
     )
 
 
@@ -115,14 +118,20 @@ def following(value: Column) -> Spec:
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows of ``keys`` in ascending ``order``; ``chunk`` is a non-decreasing function of the order."""
+    """Rows of ``keys`` in ascending ``order``; ``chunk`` is a non-decreasing function of the order, or None where a key is one chunk."""
 
     keys: Sequence[str]
     order: Sequence[str]
-    chunk: Column
+    chunk: Column | None
 
     def scan(self, df: DataFrame, **specs: Spec) -> DataFrame:
         keys, names = list(self.keys), df.columns
+        if self.chunk is None:
+            whole = W.partitionBy(*keys).orderBy(*self.order)
+            local = {n: s.local(whole) for n, s in specs.items()}
+            more = {n: s.whole(whole) if s.whole else F.lit(None) for n, s in specs.items()}
+            rows = df.select("*", *[c.alias(f"__l_{n}_{i}") for n, cs in local.items() for i, c in enumerate(cs)], *[c.alias(f"__c_{n}") for n, c in more.items()])
+            return rows.select(*names, *[self._merged(n, s, local[n]) for n, s in specs.items()])
         cut = df.withColumn(CHUNK, self.chunk).withColumn(CELL, F.struct(*keys, CHUNK))
         whole = W.partitionBy(*[f"{CELL}.{k}" for k in keys]).orderBy(f"{CELL}.{CHUNK}")
         carry = (
@@ -133,18 +142,16 @@ class Ordered:
         within = W.partitionBy(CELL).orderBy(*self.order)
         local = {n: s.local(within) for n, s in specs.items()}
         rows = cut.select("*", *[c.alias(f"__l_{n}_{i}") for n, cs in local.items() for i, c in enumerate(cs)])
-        return rows.join(carry, CELL).select(
-            *names,
-            *[
-                s.merge([F.col(f"__l_{n}_{i}") for i in range(len(local[n]))], F.col(f"__c_{n}")).alias(n)
-                for n, s in specs.items()
-            ],
-        )
+        return rows.join(carry, CELL).select(*names, *[self._merged(n, s, local[n]) for n, s in specs.items()])
+
+    @staticmethod
+    def _merged(name: str, spec: Spec, local: list[Column]) -> Column:
+        return spec.merge([F.col(f"__l_{name}_{i}") for i in range(len(local))], F.col(f"__c_{name}")).alias(name)
 
 
-def by_step(keys: Sequence[str], order: str, span: int, *ties: str) -> Ordered:
-    """Chunks of ``span`` units of an integer order column."""
-    return Ordered(keys, [order, *ties], F.floor(F.col(order) / F.lit(span)))
+def by_step(keys: Sequence[str], order: str, span: int | None, *ties: str) -> Ordered:
+    """Chunks of ``span`` units of an integer order column; without a span a key is one chunk."""
+    return Ordered(keys, [order, *ties], None if span is None else F.floor(F.col(order) / F.lit(span)))
 
 
 def value_bucket(value: Column) -> Column:

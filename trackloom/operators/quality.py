@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import norm
-from trackloom.operators.quantiles import quantiles
+from trackloom.operators.quantiles import median_of, quantiles
 from trackloom.operators.selection import best_in_group
 
 TRACK = ["video_id", "track_id"]
@@ -37,22 +37,22 @@ CALIBRATABLE = {
 }
 
 
-def track_facts(motion: DataFrame) -> DataFrame:
-    """Everything the reality checks read, one row per track; ``motion`` is the output of ``relative_motion``."""
+def track_facts(motion: DataFrame, span: int | None = 8192) -> DataFrame:
+    """Everything the reality checks read, one row per track; ``motion`` is the output of ``relative_motion`` with the same span."""
     from trackloom.operators.ordered import by_step, previous
     from trackloom.operators.tracks import gap
 
     cols = ["frame_index", "x", "z", "rel_vx", "rel_vz", "obj_vx", "obj_vz", "ego_vx", "ego_vz", "has_rel_motion"]
-    moved = by_step(TRACK, "frame_index", 8192).scan(motion, **{f"p_{c}": previous(F.col(c)) for c in cols})
+    moved = by_step(TRACK, "frame_index", span).scan(motion, **{f"p_{c}": previous(F.col(c)) for c in cols})
     c, p = F.col, lambda n: F.col(f"p_{n}")
     both = c("has_rel_motion") & p("has_rel_motion")
     dz = (c("z") - p("z")) / gap()
     plus = lambda f, a: f(f"obj_{a}") + f(f"ego_{a}")
     dot = c("rel_vx") * p("rel_vx") + c("rel_vz") * p("rel_vz")
     quick = (norm(c("rel_vx"), c("rel_vz")) > 0.3) & (norm(p("rel_vx"), p("rel_vz")) > 0.3)
-    labels = motion.select(*TRACK, "label").distinct().groupBy(*TRACK).agg(F.count("*").alias("labels"))
     facts = moved.groupBy(*TRACK).agg(
         F.count("*").alias("n"),
+        (F.count_distinct("label") + F.max(c("label").isNull().cast("long"))).alias("labels"),
         F.coalesce(F.max(c("frame_index") - p("frame_index")), F.lit(0)).alias("max_gap"),
         F.avg(c("has_rel_motion").cast("double")).alias("motion_ratio"),
         F.count_if(c("z") < 0).alias("behind"),
@@ -74,7 +74,6 @@ def track_facts(motion: DataFrame) -> DataFrame:
         .withColumn("max_velocity_change", c("best.change"))
         .withColumn("profile", c("best.name"))
         .drop("best")
-        .join(labels, TRACK)
     )
 
 
@@ -188,19 +187,10 @@ def promotion_report(before: DataFrame, after: DataFrame, protected: Column) ->
     )
 
 
-def motion_cues(motion: DataFrame, confidence: float) -> DataFrame:
-    """Static, moving or uncertain score of a track from its speeds and a band of its own spread."""
+def motion_cues(motion: DataFrame, confidence: float, whole: bool = False) -> DataFrame:
+    """Static, moving or uncertain score of a track from its speeds and a band of its own spread; ``whole`` tracks fit in a row."""
     seen = motion.filter("has_rel_motion").select(*TRACK, "rel_speed")
-    mid = quantiles(seen, TRACK, "rel_speed", mid=0.5)
-    off = seen.join(mid, TRACK).withColumn("off", F.abs(F.col("rel_speed") - F.col("mid")))
-    bands = mid.join(quantiles(off, TRACK, "off", mad=0.5), TRACK).withColumn(
-        "band", 0.3 + F.least(F.lit(0.7), 2.5 * F.col("mad")) + 0.3 * (1.0 - confidence)
-    )
-    agg = (
-        seen.join(bands, TRACK)
-        .groupBy(*TRACK, "mid", "band")
-        .agg(F.count("*").alias("n"), F.avg((F.col("rel_speed") <= F.col("band")).cast("double")).alias("within"))
-    )
+    agg = _speeds_of_rows(seen, confidence) if whole else _speeds(seen, confidence)
     c = F.col
     above = 1 - c("within")
     reliable = F.lit(confidence >= 0.35) & (c("n") >= 3)
@@ -216,6 +206,29 @@ def motion_cues(motion: DataFrame, confidence: float) -> DataFrame:
     )
 
 
+def _band(confidence: float) -> Column:
+    return 0.3 + F.least(F.lit(0.7), 2.5 * F.col("mad")) + 0.3 * (1.0 - confidence)
+
+
+def _speeds_of_rows(seen: DataFrame, confidence: float) -> DataFrame:
+    lists = seen.groupBy(*TRACK).agg(F.sort_array(F.collect_list("rel_speed")).alias("speeds")).withColumn("mid", median_of(F.col("speeds")))
+    off = F.sort_array(F.transform("speeds", lambda v: F.abs(v - F.col("mid"))))
+    bands = lists.withColumn("off", off).withColumn("mad", median_of(F.col("off"))).withColumn("band", _band(confidence))
+    within = F.size(F.filter("speeds", lambda v: v <= F.col("band"))) / F.size("speeds")
+    return bands.select(*TRACK, "mid", "band", F.size("speeds").alias("n"), within.alias("within"))
+
+
+def _speeds(seen: DataFrame, confidence: float) -> DataFrame:
+    mid = quantiles(seen, TRACK, "rel_speed", mid=0.5)
+    off = seen.join(mid, TRACK).withColumn("off", F.abs(F.col("rel_speed") - F.col("mid")))
+    bands = mid.join(quantiles(off, TRACK, "off", mad=0.5), TRACK).withColumn("band", _band(confidence))
+    return (
+        seen.join(bands, TRACK)
+        .groupBy(*TRACK, "mid", "band")
+        .agg(F.count("*").alias("n"), F.avg((F.col("rel_speed") <= F.col("band")).cast("double")).alias("within"))
+    )
+
+
 def ego_votes(motion: DataFrame, weight: Column) -> DataFrame:
     """What the motion of reference objects says about the ego velocity, in the sign convention closer to the ego."""
     c = F.col

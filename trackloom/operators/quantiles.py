@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.numbers import settled
@@ -38,6 +38,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, **probs: float) ->
     return ranked.groupBy(*keys).agg(*aggs)
 
 
+def median_of(values: Column) -> Column:
+    """The same quantile of 0.5 of a sorted array of doubles, for groups that fit in a row."""
+    rank = (F.size(values) - 1) / 2
+    low, high = F.get(values, F.floor(rank).cast("int")), F.get(values, F.ceil(rank).cast("int"))
+    return low + (high - low) * (rank - F.floor(rank))
+
+
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, digits: int | None = None) -> DataFrame:
     """First value whose cumulative weight reaches half of the total; weights must be positive.
 

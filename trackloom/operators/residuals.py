@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import bands
 from trackloom.functions.geometry import norm
 from trackloom.operators.ordered import by_step, carried, previous, total
-from trackloom.operators.quantiles import quantiles
+from trackloom.operators.quantiles import median_of, quantiles
 
 TRACK = ["video_id", "track_id"]
 
@@ -50,17 +50,9 @@ def identity_gaps(observations: DataFrame, max_gap: int) -> DataFrame:
 
 
 def motion_classes(
-    observations: DataFrame, least: int, sigma: float, static_limit: float, moving_limit: float, noise: Column
+    observations: DataFrame, least: int, sigma: float, static_limit: float, moving_limit: float, noise: Column, whole: bool = False
 ) -> DataFrame:
-    """Static, moving, ambiguous or unobservable from displacement and spread against the position noise."""
-    centre = quantiles(observations, TRACK, "x", cx=0.5).join(quantiles(observations, TRACK, "z", cz=0.5), TRACK)
-    off = observations.join(centre, TRACK).withColumn("radius", norm(F.col("x") - F.col("cx"), F.col("z") - F.col("cz")))
-    spread = quantiles(off, TRACK, "radius", mid_radius=0.5)
-    noisy = quantiles(observations.withColumn("noise", noise), TRACK, "noise", mid_noise=0.5)
-    ends = observations.groupBy(*TRACK).agg(
-        F.count("*").alias("n"),
-        *[f(F.col(c), "frame_index").alias(f"{p}_{c}") for c in ("x", "z") for p, f in (("a", F.min_by), ("b", F.max_by))],
-    )
+    """Static, moving, ambiguous or unobservable from displacement and spread against the position noise; ``whole`` tracks fit in a row."""
     c = F.col
     moved = F.greatest(norm(c("b_x") - c("a_x"), c("b_z") - c("a_z")), 2 * c("mid_radius"))
     state = (
@@ -69,14 +61,31 @@ def motion_classes(
         .when(F.greatest(F.lit(0.0), c("motion") - c("slack")) >= moving_limit, "moving")
         .otherwise("ambiguous")
     )
-    return (
-        ends.join(spread, TRACK)
-        .join(noisy, TRACK)
-        .withColumn("motion", moved)
-        .withColumn("slack", sigma * c("mid_noise"))
-        .withColumn("state", state)
-        .select(*TRACK, "n", "motion", "state")
+    places = _places_of_rows(observations, noise) if whole else _places(observations, noise)
+    return places.withColumn("motion", moved).withColumn("slack", sigma * c("mid_noise")).withColumn("state", state).select(*TRACK, "n", "motion", "state")
+
+
+def _places_of_rows(observations: DataFrame, noise: Column) -> DataFrame:
+    """n, the ends (a_x, a_z, b_x, b_z), mid_radius and mid_noise of each track."""
+    place = F.struct("frame_index", "x", "z", noise.alias("noise"))
+    lists = observations.groupBy(*TRACK).agg(F.sort_array(F.collect_list(place)).alias("rows"))
+    middle = lambda of: median_of(F.sort_array(F.transform("rows", of)))
+    centred = lists.withColumns({"cx": middle(lambda r: r["x"]), "cz": middle(lambda r: r["z"]), "mid_noise": middle(lambda r: r["noise"])})
+    radius = middle(lambda r: norm(r["x"] - F.col("cx"), r["z"] - F.col("cz")))
+    ends = {f"{p}_{c}": F.element_at("rows", at)[c] for c in ("x", "z") for p, at in (("a", 1), ("b", -1))}
+    return centred.select(*TRACK, F.size("rows").cast("long").alias("n"), "mid_noise", radius.alias("mid_radius"), *[v.alias(k) for k, v in ends.items()])
+
+
+def _places(observations: DataFrame, noise: Column) -> DataFrame:
+    centre = quantiles(observations, TRACK, "x", cx=0.5).join(quantiles(observations, TRACK, "z", cz=0.5), TRACK)
+    off = observations.join(centre, TRACK).withColumn("radius", norm(F.col("x") - F.col("cx"), F.col("z") - F.col("cz")))
+    spread = quantiles(off, TRACK, "radius", mid_radius=0.5)
+    noisy = quantiles(observations.withColumn("noise", noise), TRACK, "noise", mid_noise=0.5)
+    ends = observations.groupBy(*TRACK).agg(
+        F.count("*").alias("n"),
+        *[f(F.col(c), "frame_index").alias(f"{p}_{c}") for c in ("x", "z") for p, f in (("a", F.min_by), ("b", F.max_by))],
     )
+    return ends.join(spread, TRACK).join(noisy, TRACK)
 
 
 def smooth_scope(

@@ -15,31 +15,27 @@ FRAME = "frame_index"
 SPAN = 8192
 
 
-def steps(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = TRACK, order: str = FRAME, **more) -> DataFrame:
+def steps(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = TRACK, order: str = FRAME, span: int | None = SPAN, **more) -> DataFrame:
     """Each row with the given columns of the row before it as ``p_<column>``."""
     specs = {f"p_{c}": previous(F.col(c)) for c in [order, *columns]}
-    return by_step(keys, order, SPAN).scan(df, **specs, **more)
+    return by_step(keys, order, span).scan(df, **specs, **more)
 
 
 def gap() -> Column:
     return F.greatest(F.lit(1), F.col(FRAME) - F.col(f"p_{FRAME}"))
 
 
-def relative_motion(observations: DataFrame, ego: DataFrame) -> DataFrame:
+def relative_motion(observations: DataFrame, ego: DataFrame | None, span: int | None = SPAN) -> DataFrame:
     """Backward-difference velocity over the frame gap and motion relative to the ego of the same frame.
 
-    ``ego`` has (video_id, frame_index, ego_vx, ego_vz); a missing ego frame counts as standing still.
+    ``ego`` has (video_id, frame_index, ego_vx, ego_vz); a missing ego frame counts as standing still.  Without ``ego`` the
+    observations have it.  Without a span tracks are whole, and the observations stay as they are spread.
     """
-    moved = steps(observations, ["x", "z"])
+    moved = steps(observations, ["x", "z"], span=span)
     known = F.col(f"p_{FRAME}").isNotNull()
     velocity = lambda c: F.when(known, (F.col(c) - F.col(f"p_{c}")) / gap()).otherwise(0.0)
-    joined = (
-        moved.withColumn("obj_vx", velocity("x"))
-        .withColumn("obj_vz", velocity("z"))
-        .withColumn("has_rel_motion", known)
-        .join(ego, ["video_id", FRAME], "left")
-        .na.fill(0.0, ["ego_vx", "ego_vz"])
-    )
+    moved = moved.withColumn("obj_vx", velocity("x")).withColumn("obj_vz", velocity("z")).withColumn("has_rel_motion", known)
+    joined = (moved if ego is None else moved.join(ego, ["video_id", FRAME], "left")).na.fill(0.0, ["ego_vx", "ego_vz"])
     rel = lambda c: F.when(F.col("has_rel_motion"), F.col(f"obj_{c}") - F.col(f"ego_{c}")).otherwise(0.0)
     return (
         joined.withColumn("rel_vx", rel("vx"))

@@ -118,8 +118,8 @@ g as (select o.video_id, o.track_id, count(*) as n, median(sqrt(pow(x-cx,2)+pow(
 m as (select *, greatest(disp, 2 * mr) as motion, 1.5 * mn as u from g)
 select video_id, track_id, n, round(motion, 6) as motion, case when n < 8 then 'unobservable' when motion + u <= 25 then 'static' when greatest(0, motion - u) >= 40 then 'moving' else 'ambiguous' end as state from m""")
 def motion_classes(t: Inputs):
-    obs = shared(t.track_obs())
-    return rounded(residuals.motion_classes(obs, 8, 1.5, 25.0, 40.0, 2 * C("score")), "video_id", "track_id", "n", "motion", "state")
+    classes = lambda rows, whole: residuals.motion_classes(rows if whole else shared(rows), 8, 1.5, 25.0, 40.0, 2 * C("score"), whole)
+    return rounded(t.by_length(classes), "video_id", "track_id", "n", "motion", "state")
 
 
 @query("""

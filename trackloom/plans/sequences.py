@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.numbers import settled
@@ -24,6 +25,12 @@ def ego_of(observations):
     return observations.groupBy("video_id", "frame_index").agg((F.avg("x") / 10).alias("ego_vx"), (F.avg("z") / 50).alias("ego_vz"))
 
 
+def with_ego(observations):
+    """The same beside each observation of videos that are short."""
+    frame = Window.partitionBy("video_id", "frame_index")
+    return observations.withColumns({"ego_vx": F.avg("x").over(frame) / 10, "ego_vz": F.avg("z").over(frame) / 50})
+
+
 EGO = "select video_id, frame_index, avg(x) / 10 as ego_vx, avg(z) / 50 as ego_vz from v_track_obs group by 1, 2"
 MOTION = f"""
 ego as ({EGO}),
