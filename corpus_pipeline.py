@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import exact, mixing, near_copies, packing, quality
+from trackloom.llm import exact, mixing, near_copies, packing, quality, simhash
 from trackloom.llm.common import documents, settle
 from trackloom.llm.queries import labels, tokenizer_path
 
@@ -20,8 +20,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per group of near duplicates: shingles of five words, similarity 0.8."""
-    return near_copies.one_of_each(docs)
+    """One document per group of near duplicates: SimHash fingerprints within four bits, as op10 links them, or shingle sets of similarity 0.8.
+
+    Fingerprints of 64 bits miss most pairs of the second sort, so both sorts of links count, and groups are closed over all of them.
+    """
+    return simhash.one_of_each(docs, further=near_copies.groups(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

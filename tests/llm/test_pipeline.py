@@ -12,7 +12,7 @@ from test_removal import exact_by_brute_force
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trackloom.llm import mixing, quality, queries
+from trackloom.llm import mixing, near_copies, quality, queries, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -111,3 +111,16 @@ def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, DATA)
     tokens = lambda df: df.selectExpr("sum(length)").first()[0]
     assert got.columns == stages[-1].columns and tokens(got) == tokens(stages[-1])
+
+
+def test_near_stage_links_by_fingerprints_too(spark):
+    """A repeated phrase decides the fingerprint, though hardly any of the shingles are shared; the third text only shares shingles."""
+    unique = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    phrase = "one two three four five six seven " * 60
+    chain = f"{phrase}{unique('b', 40)}"
+    rows = [(1, phrase + unique("a", 40)), (2, chain), (3, chain + " end"), (4, unique("c", 60)), (5, unique("d", 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = [simhash.fingerprint(t) for _, t in rows]
+    assert (bits[0] ^ bits[1]).bit_count() <= simhash.MAX_BITS
+    assert near_copies.likeness(near_copies.shingle_set(rows[0][1]), near_copies.shingle_set(rows[1][1])) < 0.5
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dissimilar(spark, docs, DATA).collect()) == [1, 4, 5]

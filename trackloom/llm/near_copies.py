@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles, the near-duplicate stage of the pipeline.
+"""Near copies by Jaccard similarity of word shingles, which the near-duplicate stage of the pipeline adds to those by SimHash.
 
 At a similarity of 0.8 two SimHash fingerprints of 64 bits differ in about ten bits and often in more, so no choice of bytes
 is shared for certain and an index of them finds few such pairs.  The fingerprint here is wider: ``POSITIONS`` words of 64
@@ -223,6 +223,21 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR, words: in
     return found
 
 
+def rooted(docs: DataFrame, similar: float, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their shingle set as ``node``, the nodes with their first row, and the smallest node that each node with links reaches."""
+    a, b = row_key(docs.columns)
+    rows = settle(wide_fingerprints(docs.select("doc_id", "text", a, b), words), "wide_fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_a", "key_b")
+    nodes = settle(rows.groupBy("node").agg(F.min(rank).alias("least"), F.first("places").alias("places")), "nodes")
+    return rows, nodes, smallest_reachable(links(docs, nodes, similar, words))
+
+
+def groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """key_a, key_b (see ``row_key``) and ``group``, the same for all rows of a group of near copies."""
+    rows, _, roots = rooted(docs, similar, words)
+    return rows.join(roots, "node", "left").select("key_a", "key_b", F.coalesce("root", "node").alias("group"))
+
+
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """The whole row with the smallest doc_id of each group of near copies; ties go by a hash of the row, equal rows are one.
 
@@ -230,10 +245,6 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -
     ``similar`` or more; groups are closed over links.  Null and blank texts have the empty set and link with each other.  Rows
     without a doc_id stay only in groups that have no id.  No rows give no rows.
     """
-    a, b = row_key(docs.columns)
-    rows = settle(wide_fingerprints(docs.select("doc_id", "text", a, b), words), "wide_fingerprints")
-    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_a", "key_b")
-    nodes = settle(rows.groupBy("node").agg(F.min(rank).alias("least"), F.first("places").alias("places")), "nodes")
-    roots = smallest_reachable(links(docs, nodes, similar, words))
+    _, nodes, roots = rooted(docs, similar, words)
     first = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     return keep_rows(docs, first.select("least.key_a", "least.key_b"))

@@ -219,14 +219,31 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORD
     )
 
 
-def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, further: DataFrame | None = None) -> DataFrame:
     """The whole row with the smallest doc_id of each component; ties go by a hash of the row, rows equal in all columns are one.
 
-    Rows without a doc_id stay only in components that have no id.
+    Rows without a doc_id stay only in components that have no id.  ``further`` has the ``group`` of each row by its key (key_a, key_b), a
+    long: components are closed over these groups too.
     """
     a, b = row_key(docs.columns)
     fps = settle(fingerprints(docs.select("doc_id", "text", a, b), words, "key_a", "key_b"), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_a", "key_b")
-    nodes = settle(fps.groupBy("fp").agg(F.min(rank).alias("least")), "nodes")
-    first = with_roots(nodes, max_bits).groupBy("root").agg(F.min("least").alias("least"))
+    if further is not None:
+        # rows equal in all columns share a key
+        grouped = fps.join(further.dropDuplicates(["key_a", "key_b"]), ["key_a", "key_b"])
+        pairs = settle(grouped.groupBy("fp", "group").agg(F.min(rank).alias("least")), "pairs")
+        nodes = settle(pairs.groupBy("fp").agg(F.min("least").alias("least")), "nodes")
+        first = over_groups(pairs.join(with_roots(nodes, max_bits).select("fp", "root"), "fp"))
+    else:
+        nodes = settle(fps.groupBy("fp").agg(F.min(rank).alias("least")), "nodes")
+        first = with_roots(nodes, max_bits).groupBy("root").agg(F.min("least").alias("least"))
     return keep_rows(docs, first.select("least.key_a", "least.key_b"))
+
+
+def over_groups(pairs: DataFrame) -> DataFrame:
+    """The smallest ``least`` of what hangs together over ``root`` and ``group``."""
+    ends = {"a": F.xxhash64(F.lit("root"), "root"), "b": F.xxhash64(F.lit("group"), "group")}
+    met = settle(pairs.groupBy("root", "group").agg(F.min("least").alias("least")).withColumns(ends), "met")
+    edges = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    whole = smallest_reachable(edges).select(F.col("node").alias("a"), F.col("root").alias("whole"))
+    return met.join(whole, "a", "left").groupBy(F.coalesce("whole", "a").alias("whole")).agg(F.min("least").alias("least"))
