@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from trackloom.operators.matching import greedy_per_group
 from trackloom.operators.ordered import Ordered, by_step, row_number
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Candidate pairs of a whole video that are looked at in one go; more come in further goes.
+PAIRS = 1 << 20
 
 
 def box_iou(a: str, b: str) -> Column:
@@ -36,7 +39,8 @@ def fragment_pairs(fragments: DataFrame, keys: Sequence[str], max_gap: int, min_
     on = [*keys, "label", "prior"]
     side = lambda p, k: F.col(f"{p}_{k}2") - F.col(f"{p}_{k}1")
     largest = fragments.agg(*[F.max(F.greatest(side("s", k), side("e", k))).alias(k) for k in "xy"]).first()
-    cell = {"x": max(largest["x"] or 0.0, max_distance * width, 1e-9), "y": max(largest["y"] or 0.0, max_distance * height, 1e-9)}
+    # distances are measured in units of at least one
+    cell = {"x": max(largest["x"] or 0.0, max_distance * max(1.0, width), 1e-9), "y": max(largest["y"] or 0.0, max_distance * max(1.0, height), 1e-9)}
     at = lambda p, k: F.floor((F.col(f"{p}_{k}1") + F.col(f"{p}_{k}2")) / 2 / cell[k]).cast("long")
     step = max(1, max_gap)
     block = lambda frame: F.floor(frame / F.lit(step)).cast("long")
@@ -64,16 +68,106 @@ def chain_heads(links: DataFrame, item: str, before: str) -> DataFrame:
         current = jumped.drop("moved")
 
 
+def _spans(rows: dict[str, np.ndarray], kind: np.ndarray, max_gap: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments in order of the place of their end, and where the ends that a start may meet begin and stop there.
+
+    Ends lie by kind, cell across and last frame, so a start meets one stretch in its own cell and one in each cell beside it.
+    """
+    cell = lambda p: np.floor((rows[f"{p}_x1"] + rows[f"{p}_x2"]) / 2 / reach)
+    cells, across = np.unique(cell("e"), return_inverse=True)
+    frames, last = np.unique(rows["last_frame"], return_inverse=True)
+    place = (kind * len(cells) + across) * len(frames) + last
+    ends = np.argsort(place, kind="stable")
+    ends = ends[kind[ends] >= 0]
+    place = place[ends]
+    first = rows["first_frame"]
+    earliest, beyond = np.searchsorted(frames, first - max_gap), np.searchsorted(frames, first)
+    begin, stop = [], []
+    for side in (-1, 0, 1):
+        wanted = cell("s") + side
+        at = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
+        some = (kind >= 0) & (cells[at] == wanted) & (beyond > earliest)
+        base = (kind * len(cells) + at) * len(frames)
+        begin.append(np.searchsorted(place, base + earliest))
+        stop.append(np.where(some, np.searchsorted(place, base + beyond), begin[-1]))
+    return ends, np.stack(begin, 1), np.stack(stop, 1)
+
+
+def _continued(rows: dict[str, np.ndarray], kind: np.ndarray, max_gap: int, min_iou: float, max_distance: float, width: float, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the fragments of a video in order of first frame and id: the place of the one that each continues (-1: none), and the score.
+
+    ``kind`` numbers label and prior; fragments of a negative one have no links.
+    """
+    n, wide, high = len(kind), max(1.0, width), max(1.0, height)
+    widest = max((rows[f"{p}_x2"] - rows[f"{p}_x1"]).max() for p in "se")
+    # a little more, for centres that are rounded
+    ends, begin, stop = _spans(rows, kind, max_gap, max(widest, max_distance * wide, 1e-9) * (1 + 1e-9))
+    sizes = stop - begin
+    upto = np.cumsum(sizes.sum(1))
+    before, scores, taken = [-1] * n, np.full(n, np.nan), bytearray(n)
+    area = lambda x1, y1, x2, y2: np.maximum(0.0, x2 - x1) * np.maximum(0.0, y2 - y1)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+        size, origin = sizes[lo:hi].ravel(), begin[lo:hi].ravel()
+        s = np.repeat(np.repeat(np.arange(lo, hi), 3), size)
+        e = ends[np.repeat(origin - np.cumsum(size) + size, size) + np.arange(len(s))]
+        a, b = [rows[f"s_{k}"][s] for k in BOX], [rows[f"e_{k}"][e] for k in BOX]
+        both = np.maximum(0.0, np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])) * np.maximum(0.0, np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]))
+        union = area(*a) + area(*b) - both
+        iou = np.divide(both, union, out=np.zeros(len(s)), where=union > 0)
+        apart = np.sqrt((((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2) / wide) ** 2 + (((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2) / high) ** 2)
+        near = np.flatnonzero((iou >= min_iou) | (apart <= max_distance))
+        s, e, score = s[near], e[near], (iou - apart)[near]
+        order = np.lexsort((rows["fragment_id"][e], -score, s))
+        for start, end, value in zip(s[order].tolist(), e[order].tolist(), score[order].tolist(), strict=True):
+            if before[start] < 0 and not taken[end]:
+                before[start], scores[start], taken[end] = end, value, 1
+        lo = hi
+    return np.array(before), scores
+
+
+def linked_whole(fragments: DataFrame, keys: Sequence[str], max_gap: int, min_iou: float, max_distance: float, width: float, height: float) -> DataFrame:
+    """``linked_fragments`` of videos that fit one task; fragments spread by the keys stay where they are."""
+    boxes = [f"{p}_{b}" for p in "se" for b in BOX]
+    numbers = ["fragment_id", "first_frame", "last_frame"]
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("first_frame", "ascending"), ("fragment_id", "ascending")])
+        rows = {c: table[c].to_numpy() for c in (*numbers, *boxes)}
+        kind = np.zeros(len(table), np.int64)
+        for c in ("label", "prior"):
+            codes = table[c].combine_chunks().dictionary_encode()
+            number = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            kind = np.where((kind < 0) | (number < 0), -1, kind * (len(codes.dictionary) + 1) + number)
+        if not all(k.is_valid for k in key):
+            kind[:] = -1
+        before, score = _continued(rows, kind, max_gap, min_iou, max_distance, width, height)
+        chain = list(range(len(before)))
+        for place in np.flatnonzero(before >= 0).tolist():
+            chain[place] = chain[before[place]]
+        ids, none = rows["fragment_id"], before < 0
+        out = {k: table[k] for k in keys} | {"fragment_id": table["fragment_id"], "chain_id": pa.array(ids[chain])}
+        return pa.table(out | {"linked_to": pa.array(ids[before], mask=none), "merge_score": pa.array(score, mask=none)})
+
+    typed = fragments.select(*keys, *[F.col(c).cast("long") for c in numbers], "label", "prior", *[F.col(c).cast("double") for c in boxes])
+    kinds = ", ".join(f"`{k}` {typed.schema[k].dataType.simpleString()}" for k in keys)
+    return typed.groupBy(*keys).applyInArrow(work, f"{kinds}, fragment_id long, chain_id long, linked_to long, merge_score double")
+
+
 def linked_fragments(
-    fragments: DataFrame, keys: Sequence[str], max_gap: int = 2, min_iou: float = 0.2, max_distance: float = 0.1, width: float = 1.0, height: float = 1.0
+    fragments: DataFrame, keys: Sequence[str], max_gap: int = 2, min_iou: float = 0.2, max_distance: float = 0.1, width: float = 1.0, height: float = 1.0, whole: bool = False
 ) -> DataFrame:
     """fragment_id, chain_id (its first fragment), linked_to (the fragment it continues, or null), merge_score.
 
     ``fragments`` has the keys of a video, fragment_id (unique over all), label, prior, first_frame, last_frame and the boxes
     s_x1 ... of its start and e_x1 ... of its end.  In the order of first frame, then id, each start takes the free end with
     the largest overlap less distance; ends of equal score go by id.  An end has one continuation.  Groups of starts and
-    ends that share no candidate don't meet, however long the video is.
+    ends that share no candidate don't meet, however long the video is.  ``whole`` videos fit one task and have no null or NaN
+    in ids, frames and boxes: each is linked in one piece, which gives the same.
     """
+    if whole:
+        return linked_whole(fragments, keys, max_gap, min_iou, max_distance, width, height)
     pairs = checkpointed(fragment_pairs(fragments, keys, max_gap, min_iou, max_distance, width, height))
     # a fragment's end and its start are nodes of their own
     edges = pairs.select((F.col("end_id") * 2).alias("a"), (F.col("start_id") * 2 + 1).alias("b"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import change_points as cp
 from trackloom.operators import conflicts, linking
 from trackloom.operators.ordered import by_step, carried, previous, running_sum
 from trackloom.plans.catalog import query, rounded
-from trackloom.plans.views import Inputs
+from trackloom.plans.views import Inputs, shared
 
 C = F.col
 MAX_GAP = 6
@@ -27,11 +27,20 @@ def change_points(t: Inputs):
     return rounded(out, "video_id", "start_frame", "end_frame", "duration_frames", "state", "robust_level", "residual_variance", "confidence")
 
 
-def fragments(t: Inputs):
-    """Tracks cut where three months or more are missing; boxes are 20 wide and 2 high."""
-    seen = by_step(["video_id", "track_id"], "frame_index", 256).scan(t.track_obs(), before=previous(C("frame_index")))
+def fragments(t: Inputs, obs: DataFrame | None = None, whole: bool = False):
+    """Tracks cut where three months or more are missing; boxes are 20 wide and 2 high.  ``whole`` tracks are spread by video and stay there."""
+    obs = t.track_obs() if obs is None else obs
     starts = C("before").isNull() | (C("frame_index") - C("before") > 3)
-    cut = by_step(["video_id", "track_id"], "frame_index", 256).scan(seen.withColumn("head", F.when(starts, C("frame_index"))), first_frame=carried(C("head")))
+    head = F.when(starts, C("frame_index"))
+    if whole:
+        # the frames of one track
+        in_track = Window.partitionBy("video_id", "track_id").orderBy("frame_index")
+        seen = obs.withColumn("before", F.lag("frame_index").over(in_track))
+        cut = seen.withColumn("first_frame", F.max(head).over(in_track.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        in_steps = by_step(["video_id", "track_id"], "frame_index", 256)
+        seen = in_steps.scan(obs, before=previous(C("frame_index")))
+        cut = in_steps.scan(seen.withColumn("head", head), first_frame=carried(C("head")))
     box = lambda p, pick: [
         (pick("x") - 10).alias(f"{p}_x1"), (pick("y") - 1).alias(f"{p}_y1"), (pick("x") + 10).alias(f"{p}_x2"), (pick("y") + 1).alias(f"{p}_y2"),
     ]
@@ -44,7 +53,11 @@ def fragments(t: Inputs):
 
 @query()
 def linked_fragments(t: Inputs):
-    out = linking.linked_fragments(t.once("fragments", lambda: fragments(t)), ["video_id"], MAX_GAP, 0.2, 0.1, 50.0, 7.0)
+    def linked(obs: DataFrame, whole: bool) -> DataFrame:
+        cut = fragments(t, obs, whole)
+        return linking.linked_fragments(cut if whole else shared(cut), ["video_id"], MAX_GAP, 0.2, 0.1, 50.0, 7.0, whole)
+
+    out = t.by_length(linked)
     return rounded(out, "video_id", "fragment_id", "chain_id", "linked_to", "merge_score")
 
 
