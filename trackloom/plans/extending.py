@@ -16,7 +16,7 @@ KEPT = ["round", "clause", "parent", "category", "positive_support", "negative_s
 
 def sourced_facts(t: Inputs):
     """Facts of labelled examples with the sources of the objects that carry them."""
-    source = F.when(C("source") == "A", extension.ACCEPTED).when(C("source") == "R", extension.CANDIDATE).otherwise(0)
+    source = extension.sources_of(C("source"))
     atom = lambda name, value: F.concat(F.lit(f"{name}(S,O,"), value, F.lit(")."))
     templates = F.array(atom("object_class", F.lower("object_class")), atom("object_distance_state", C("distance_state")), atom("object_x_position_state", C("x_state")))
     example = (C("video_id") * 100000 + C("segment_index")).alias("example_id")
@@ -27,6 +27,18 @@ def sourced_facts(t: Inputs):
     return of_objects.unionByName(of_segments).join(t.examples().select("example_id", "label"), "example_id")
 
 
+def sourced_scenes(t: Inputs):
+    """The examples of ``sourced_facts`` in one row each, spread by the order.
+
+    Objects without number belong to the segment, and videos of 100,000 segments share examples with others; with any of these the
+    examples are gathered from the facts.
+    """
+    crowded = t.table("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter(C("n") > 100_000)
+    if not (t.table("lineitem").filter("l_linenumber is null").isEmpty() and crowded.isEmpty()):
+        return sourced_facts(t)
+    return t.scenes(sourced=True)
+
+
 RANK = "round(score, 9) desc, positive_support desc, negative_support, semantic desc, ratio, clause, parent"
 BUDGET = " or ".join(f"(category = '{c}' and place <= {n})" for c, n in TERMS.budgets[0].items())
 
@@ -55,17 +67,17 @@ ca as (select *, row_number() over (partition by category order by {RANK}) as pl
 ke as (select * from ca where {BUDGET} order by {RANK} limit {TERMS.most[0]})
 select 1 as round, clause, parent, category, positive_support, negative_support, round(confidence, 6) as confidence, round(gain, 6) as gain, round(score, 6) as score from ke""")
 def first_extension_round(t: Inputs):
-    found, _ = extension.extension_rounds(sourced_facts(t), HEAD, TERMS, stop_after=1)
+    found, _ = extension.extension_rounds(sourced_scenes(t), HEAD, TERMS, stop_after=1)
     return rounded(found, *KEPT)
 
 
 @query()
 def extension_rounds(t: Inputs):
-    found, _ = extension.extension_rounds(sourced_facts(t), HEAD, TERMS)
+    found, _ = extension.extension_rounds(sourced_scenes(t), HEAD, TERMS)
     return rounded(found, *KEPT, "is_parent")
 
 
 @query()
 def extension_outcomes(t: Inputs):
-    _, history = extension.extension_rounds(sourced_facts(t), HEAD, TERMS)
+    _, history = extension.extension_rounds(sourced_scenes(t), HEAD, TERMS)
     return t.spark.createDataFrame(history, "round int, outcome string, n long")
