@@ -70,7 +70,8 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     whose weight is 0 have no copies; no rows give no rows.
     """
     rates = source_rates(docs, weights, temperature, epochs).select(F.col("source").alias("__source"), "rate")
-    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # dealt out, so that Spark counts the repeated rows before it broadcasts them
+    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition("__source", "__salt")
     taken = docs.drop("rate", "n_copies", "copy", "position")
     rows = taken.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     on = F.col("source").eqNullSafe(F.col("__source")) & (rows["__salt"] == salted["__salt"])

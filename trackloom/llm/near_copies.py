@@ -104,8 +104,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
         kept = pa.array([likeness(p, q) >= similar - 1e-12 for p, q in values], pa.bool_())
         return pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(kept)
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    # whole sets are large and take little room in a file, by which Spark would size and broadcast them
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     return per_block(both.select("a", "b", "x", "y"), of, "a long, b long")
 
 
@@ -118,7 +119,7 @@ def different_lists(rows: DataFrame) -> DataFrame:
     member = F.xxhash64("node").cast("decimal(38,0)"), F.xxhash64(F.lit("again"), "node").cast("decimal(38,0)")
     lists = rows.groupBy("place").agg(F.count("*").alias("n"), *[F.sum(m).alias(k) for m, k in zip(member, "pq", strict=True)]).filter("n > 1")
     kept = lists.groupBy("n", "p", "q").agg(F.min("place").alias("place")).select("place", "n")
-    return settle(rows.join(kept, "place").select("place", "node", "n"), "members")
+    return settle(rows.join(kept.hint("merge"), "place").select("place", "node", "n"), "members")
 
 
 def profiles(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -131,7 +132,7 @@ def profiles(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     hubs = chosen.select("place", F.ceil(F.col("n") / MEMBERS).alias("parts"), (F.col("rank") - HUBS - 1).alias("is_member"), "node")
     hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("place", "part", "node", "is_member")
     dealt = members.select("place", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEMBERS)).alias("part"), "node", F.lit(1).alias("is_member"))
-    rows = hubs.unionByName(dealt).join(sets, "node")
+    rows = hubs.unionByName(dealt).join(sets.hint("merge"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, whole, open_ = None, [], np.empty(0, np.int64), False
@@ -192,12 +193,12 @@ def reachable_inside(rows: DataFrame, similar: float) -> DataFrame:
     x = x.select("place", "bin", *[F.col(k).alias(f"{k}_a") for k in ("node", "size", "inside", "root")])
     y = able.select("place", bin_of(F.col("size")).alias("bin"), *[F.col(k).alias(f"{k}_b") for k in ("node", "size", "inside", "root")])
     fits = F.least("inside_a", "inside_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-6
-    return x.join(y, ["place", "bin"]).filter("root_a <> root_b").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return x.join(y.hint("merge"), ["place", "bin"]).filter("root_a <> root_b").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def all_pairs(lists: DataFrame) -> DataFrame:
     """The pairs (a, b) of each list; for short lists."""
-    x, y = lists.withColumnRenamed("node", "a"), lists.withColumnRenamed("node", "b")
+    x, y = lists.withColumnRenamed("node", "a"), lists.withColumnRenamed("node", "b").hint("merge")
     return x.select("place", "a").join(y.select("place", "b"), "place").filter("a < b").select("a", "b")
 
 
@@ -205,7 +206,7 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR, words: in
     """Edges (a, b) of ``similar`` or more between nodes; their components are those of all candidate pairs."""
     rows = nodes.select("node", F.explode("places").alias("place"))
     members = different_lists(rows)
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least.key_a", "least.key_b")
+    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "least.key_a", "least.key_b")
     sets = settle(sets_of(docs, wanted, words), "candidate_sets")
     found = settle(alike(ordered(all_pairs(members.filter(F.col("n") <= short))), sets, similar), "alike")
     members = weighed(members.filter(F.col("n") > short))
@@ -216,7 +217,7 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR, words: in
         rows = settle(grouped_by_hubs(known), "grouped")
         beyond = rows.select(F.explode("outside").alias("shingle"), "node", "root", "place").select(F.xxhash64("place", "shingle").alias("place"), "node", "root")
         apart = beyond.groupBy("place").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("place")
-        following = different_lists(beyond.join(apart, "place").select("place", "node"))
+        following = different_lists(beyond.join(apart.hint("merge"), "place").select("place", "node"))
         pairs = ordered(reachable_inside(rows, similar).unionByName(all_pairs(following.filter(F.col("n") <= short))))
         found = found.unionByName(ordered(near)).unionByName(settle(alike(pairs, sets, similar), "alike"))
         members = weighed(following.filter(F.col("n") > short))
@@ -235,7 +236,7 @@ def rooted(docs: DataFrame, similar: float, words: int) -> tuple[DataFrame, Data
 def groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """key_a, key_b (see ``row_key``) and ``group``, the same for all rows of a group of near copies."""
     rows, _, roots = rooted(docs, similar, words)
-    return rows.join(roots, "node", "left").select("key_a", "key_b", F.coalesce("root", "node").alias("group"))
+    return rows.join(roots.hint("merge"), "node", "left").select("key_a", "key_b", F.coalesce("root", "node").alias("group"))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
@@ -246,5 +247,5 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -
     without a doc_id stay only in groups that have no id.  No rows give no rows.
     """
     _, nodes, roots = rooted(docs, similar, words)
-    first = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
+    first = nodes.select("node", "least").join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     return keep_rows(docs, first.select("least.key_a", "least.key_b"))

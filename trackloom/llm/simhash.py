@@ -19,11 +19,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import keep_rows, only, per_block, row_key, settle, texts_of
-from trackloom.llm.components import SALTS, smallest_reachable
+from trackloom.llm.components import smallest_reachable
 
 SEED = 42
 WORDS = 4
@@ -145,17 +145,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST)
     if not 0 <= max_bits <= 8 - INDEXED:
         raise ValueError(f"max_bits must be 0 to {8 - INDEXED}")
     sizes = settle(index(fps).groupBy("choice", "value").agg(F.count("*").alias("n")).filter("n > 1"), "list_sizes")
-    # lists of one fingerprint go here; a long list is dealt to several tasks
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    likely = index_if_likely(fps, marks(sizes)).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    kept = settle(likely.join(salted, ["choice", "value", "salt"]).drop("salt"), "lists")
+    # lists of one fingerprint go here; both sides grow with the input, so neither is broadcast, and Spark splits a long list
+    kept = settle(index_if_likely(fps, marks(sizes)).join(sizes.hint("merge"), ["choice", "value"]), "lists")
     short = kept.filter(F.col("n") <= long_list).drop("n")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     # a pair may meet in several lists; it counts in the one of its first shared positions
     beyond = F.element_at(F.lit([signed((1 << 64) - (1 << 8 * (c[-1] + 1))) for c in CHOICES]), F.col("choice") + 1)
     pairs = (
         short.withColumnRenamed("fp", "a")
-        .join(short.withColumnRenamed("fp", "b"), ["choice", "value"])
+        .join(short.withColumnRenamed("fp", "b").hint("merge"), ["choice", "value"])
         .filter(F.col("a") < F.col("b"))
         .filter(shared_bytes(differing) >= 8 - max_bits)
         .filter(F.bit_count(differing) <= max_bits)
@@ -167,7 +165,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST)
 
 
 def links_by_value(members: DataFrame, max_bits: int) -> DataFrame:
-    """Edges between members through the values within half of ``max_bits`` bits of them."""
+    """Edges between members through the values within half of ``max_bits`` bits of them.
+
+    Few members make very many rows, which Spark sizes as the members.  So the rows are not joined: they are dealt out once, and each
+    looks at the others of its value, of which there are no more than values near a member (2,081 within two bits).
+    """
     near, far = max_bits // 2, max_bits - max_bits // 2
 
     def values(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,13 +184,13 @@ def links_by_value(members: DataFrame, max_bits: int) -> DataFrame:
 
     spread = members.repartition("fp")
     rows = per_block(spread, values, "value long, fp long, weight byte", block_bytes=64 * 8)
+    of_value = Window.partitionBy("value")
     if near == far:
-        lowest = rows.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b")
         # each member meets the lowest member of each of its values
-        return rows.join(lowest.select("value", "a"), "value").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+        return rows.select("value", "fp").select(F.min("fp").over(of_value).alias("a"), F.col("fp").alias("b")).filter("a < b").distinct()
     # value nodes join the graph: a member within `near` bits of a value meets the lowest member within `far` bits and back
-    lowest = rows.groupBy("value").agg(F.min("fp").alias("f"), F.min(F.when(F.col("weight") <= near, F.col("fp"))).alias("n"))
-    met = rows.join(lowest.filter("n is not null"), "value")
+    lowest = {"f": F.min("fp").over(of_value), "n": F.min(F.when(F.col("weight") <= near, F.col("fp"))).over(of_value)}
+    met = rows.withColumns(lowest).filter("n is not null")
     close = met.filter(F.col("weight") <= near).select(F.col("f").alias("a"), F.col("fp").alias("b"))
     wide = met.select(F.col("n").alias("a"), F.col("fp").alias("b"))
     both = close.unionByName(wide).filter("a <> b")
@@ -198,7 +200,7 @@ def links_by_value(members: DataFrame, max_bits: int) -> DataFrame:
 def with_roots(nodes: DataFrame, max_bits: int) -> DataFrame:
     """Distinct fingerprints with the smallest fingerprint of their component."""
     roots = smallest_reachable(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:
@@ -230,10 +232,10 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, f
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_a", "key_b")
     if further is not None:
         # rows equal in all columns share a key
-        grouped = fps.join(further.dropDuplicates(["key_a", "key_b"]), ["key_a", "key_b"])
+        grouped = fps.join(further.dropDuplicates(["key_a", "key_b"]).hint("merge"), ["key_a", "key_b"])
         pairs = settle(grouped.groupBy("fp", "group").agg(F.min(rank).alias("least")), "pairs")
         nodes = settle(pairs.groupBy("fp").agg(F.min("least").alias("least")), "nodes")
-        first = over_groups(pairs.join(with_roots(nodes, max_bits).select("fp", "root"), "fp"))
+        first = over_groups(pairs.join(with_roots(nodes, max_bits).select("fp", "root").hint("merge"), "fp"))
     else:
         nodes = settle(fps.groupBy("fp").agg(F.min(rank).alias("least")), "nodes")
         first = with_roots(nodes, max_bits).groupBy("root").agg(F.min("least").alias("least"))
@@ -241,9 +243,13 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, f
 
 
 def over_groups(pairs: DataFrame) -> DataFrame:
-    """The smallest ``least`` of what hangs together over ``root`` and ``group``."""
+    """The smallest ``least`` of what hangs together over ``root`` and ``group``.
+
+    Most pairs share neither with another one and hang together with nothing; they make no edges.
+    """
     ends = {"a": F.xxhash64(F.lit("root"), "root"), "b": F.xxhash64(F.lit("group"), "group")}
     met = settle(pairs.groupBy("root", "group").agg(F.min("least").alias("least")).withColumns(ends), "met")
-    edges = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sharing = [met.join(met.groupBy(k).count().filter("count > 1").hint("merge"), k, "left_semi") for k in "ab"]
+    edges = sharing[0].unionByName(sharing[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     whole = smallest_reachable(edges).select(F.col("node").alias("a"), F.col("root").alias("whole"))
-    return met.join(whole, "a", "left").groupBy(F.coalesce("whole", "a").alias("whole")).agg(F.min("least").alias("least"))
+    return met.join(whole.hint("merge"), "a", "left").groupBy(F.coalesce("whole", "a").alias("whole")).agg(F.min("least").alias("least"))
