@@ -9,10 +9,12 @@ of templates and the budgets, not by the examples.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,8 +30,8 @@ ACCEPTED, CANDIDATE = 1, 2
 COUNTS = ["positive_support", "negative_support", "positive_firings", "negative_firings", "confidence"]
 #: Bodies that one pass over the examples looks for; they are sent to every task (some 200 bytes each).
 PASS = 50_000
-#: Bodies of all situations (some 50 bytes each) that are sent to every task; with more of them the situations are joined.
-FIRED = 1_000_000
+#: Bodies of all situations (four bytes each) that are sent to every task; with more of them the situations are joined.
+FIRED = 5_000_000
 
 
 # Limits and budgets of a round must give the results that users know.
@@ -102,13 +104,21 @@ def alike(scenes: DataFrame) -> DataFrame:
     return checkpointed(rows.withColumn("scene", F.monotonically_increasing_id()))
 
 
-def kinds_of(scenes: DataFrame) -> DataFrame:
-    """The distinct situations: whether an object has it, whether a positive example does, in how many rows, and ``held``: template -> sources."""
+def kinds_of(scenes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The distinct situations: whether an object has it, whether a positive example does, in how many rows, and ``held``: template -> sources.
+
+    Where the situations are written in tokens, ``names`` has the ``sourced`` templates (a list) of each ``token``.
+    """
     rows = scenes.select("label", F.explode(F.array_distinct("situations")).alias("situation"))
     found = rows.groupBy("situation").agg(F.max("label").alias("positive"), F.count("*").alias("n"))
     parts = F.filter(F.split("situation", MARK), lambda x: x != "")
+    if names is not None:
+        found = checkpointed(found)
+        tokens = found.select("situation", F.explode(parts).alias("token")).join(names, "token")
+        found = found.join(tokens.groupBy("situation").agg(F.flatten(F.collect_list("sourced")).alias("parts")), "situation")
+        parts = F.col("parts")
     atoms = F.transform(parts, lambda x: F.struct(F.substring_index(x, "\t", 1).cast("int").alias("sources"), F.substring(x, F.instr(x, "\t") + 1, F.length(x)).alias("template")))
-    return checkpointed(found.withColumn("needs_object", ~F.col("situation").startswith(MARK)).withColumn("held", _held(atoms)))
+    return checkpointed(found.withColumn("needs_object", ~F.col("situation").startswith(MARK)).withColumn("held", _held(atoms)).drop("parts"))
 
 
 def _held(atoms: Column) -> Column:
@@ -117,18 +127,17 @@ def _held(atoms: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, of))
 
 
-def summary(per_scene: DataFrame) -> DataFrame:
+def summary(tallies: DataFrame, sources: DataFrame) -> DataFrame:
     """Counts, signature of all firings, coverage of positive examples, and sources of a body.
 
-    ``per_scene`` has body_id, label, ``times`` a body fires in an example, n and the hashes of such examples and, by position in
-    the body, the bits of matched candidate and accepted atoms.  A signature is the hashes for each number of firings.
+    ``tallies`` has, in parts, for body_id and ``times`` that it fires in an example the number of such examples (p of positive ones, q
+    of others) and the XORs of their hashes (p_h0 and p_h1 of positive ones), ``sources`` by position in the body the bits of matched
+    candidate and accepted atoms.  A signature is the hashes for each number of firings.
     """
-    c, label, zero = F.col, F.col("label"), F.lit(0).cast("long")
-    count = lambda test: F.coalesce(F.sum(F.when(test, c("n"))), zero)
-    by_times = per_scene.groupBy("body_id", "times").agg(
-        count(label).alias("p"), count(~label).alias("q"), *[F.bit_xor(h).alias(h) for h in ("h0", "h1")],
-        *[F.bit_xor(F.when(label, c(h))).alias(f"p_{h}") for h in ("h0", "h1")], *[F.bit_or(x).alias(x) for x in ("candidate", "accepted")],
-    )
+    c = F.col
+    by_times = tallies.groupBy("body_id", "times").agg(
+        *[F.sum(k).alias(k) for k in ("p", "q")], *[F.bit_xor(k).alias(k) for k in ("h0", "h1", "p_h0", "p_h1")]
+    )
     firings = F.sort_array(F.collect_list(F.struct("times", "h0", "h1")))
     out = by_times.groupBy("body_id").agg(
         F.sum("p").alias("positive_support"),
@@ -137,9 +146,7 @@ def summary(per_scene: DataFrame) -> DataFrame:
         F.sum(c("q") * c("times")).alias("negative_firings"),
         F.array_join(F.transform(firings, lambda f: F.concat_ws(":", f["times"], f["h0"], f["h1"])), ",").alias("signature"),
         F.concat_ws(":", F.sum("p"), F.bit_xor("p_h0"), F.bit_xor("p_h1")).alias("coverage"),
-        F.bit_or("candidate").alias("candidate"),
-        F.bit_or("accepted").alias("accepted"),
-    )
+    ).join(sources, "body_id")
     fired = c("positive_firings") + c("negative_firings")
     category = (
         F.when((c("candidate") > 0) & (c("accepted") > 0), CATEGORIES[1])
@@ -193,18 +200,46 @@ def evidence(bodies: DataFrame, kinds: DataFrame, scenes: DataFrame, often: Data
     for part in range(passes):
         chosen = keyed.filter(F.col("body_id") % passes == part).select("body_id", "body", *on)
         hits = rows.join(F.broadcast(chosen), on).filter(F.forall("body", lambda t: F.map_contains_key(F.col("held"), t)))
-        fired = checkpointed(hits.select("situation", F.struct("body_id", bits(CANDIDATE).alias("candidate"), bits(ACCEPTED).alias("accepted")).alias("fired")))
-        known = fired.groupBy("situation").agg(F.collect_list("fired").alias("fired"))
+        fired = checkpointed(hits.select("situation", F.col("body_id").cast("int").alias("body_id"), bits(CANDIDATE).alias("candidate"), bits(ACCEPTED).alias("accepted")))
+        # every situation is that of some example, so sources need no examples
+        sources = fired.groupBy("body_id").agg(*[F.bit_or(x).alias(x) for x in ("candidate", "accepted")])
+        known = fired.groupBy("situation").agg(F.collect_list("body_id").alias("fired"))
         if fired.count() <= FIRED:
             known = F.broadcast(known)
         spread = scenes.repartition("scene").select("scene", "label", "n", "h0", "h1", F.explode("situations").alias("situation"))
-        met = spread.join(known, "situation").select("scene", "label", "n", "h0", "h1", F.explode("fired").alias("f")).select("*", "f.*")
-        times = F.lit(1).cast("long") if once else F.count("*")
-        per_scene = met.groupBy("scene", "label", "n", "h0", "h1", "body_id").agg(times.alias("times"), F.bit_or("candidate").alias("candidate"), F.bit_or("accepted").alias("accepted"))
-        found.append(summary(per_scene))
+        met = spread.join(known, "situation").groupBy("scene", "label", "n", "h0", "h1").agg(F.flatten(F.collect_list("fired")).alias("ids"))
+        found.append(summary(tallied(met, once), sources))
     return reduce(DataFrame.unionByName, found)
 
 
+def tallied(rows: DataFrame, once: bool) -> DataFrame:
+    """Sums and XORs per body_id and ``times`` that it is among the ``ids`` of an example (``once``: at all), one row per Arrow batch.
+
+    Counted in the batch, so that a row per example and body is never kept, moved or spilled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            row = np.repeat(np.arange(len(ids), dtype=np.int64), ids.value_lengths().to_numpy())
+            pairs, times = np.unique(row << 32 | ids.flatten().to_numpy().astype(np.int64), return_counts=True)
+            row, body, times = pairs >> 32, pairs & 0xFFFFFFFF, np.ones_like(times) if once else times
+            if not len(row):
+                continue
+            order = np.lexsort((times, body))
+            row, body, times = row[order], body[order], times[order]
+            starts = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (times[1:] != times[:-1])])
+            label, n, h0, h1 = (batch.column(k).to_numpy(zero_copy_only=False)[row].astype(np.int64) for k in ("label", "n", "h0", "h1"))
+            sums = {"p": n * label, "q": n * (1 - label)}
+            marks = {"h0": h0, "h1": h1, "p_h0": h0 * label, "p_h1": h1 * label}
+            out = {"body_id": body[starts], "times": times[starts]}
+            out |= {k: np.add.reduceat(v, starts) for k, v in sums.items()} | {k: np.bitwise_xor.reduceat(v, starts) for k, v in marks.items()}
+            yield pa.record_batch([pa.array(v.astype(np.int64)) for v in out.values()], [*out])
+
+    kept = rows.select("label", "n", "h0", "h1", "ids")
+    return kept.mapInArrow(run, ", ".join(f"{k} long" for k in ("body_id", "times", "p", "q", "h0", "h1", "p_h0", "p_h1")))
+
+
 def first_rules(kinds: DataFrame, scenes: DataFrame, often: DataFrame) -> DataFrame:
     """Rules with one atom; an example counts the first object of a template only."""
     place = (F.col("place") - 1).cast("long").alias("body_id")
@@ -268,12 +303,15 @@ def in_turns(ranked: Mapping[str, Sequence], most: int, budgets: Mapping[str, in
             return chosen
 
 
-def extension_rounds(facts: DataFrame, head: str, terms: Terms = Terms(), stop_after: int | None = None) -> tuple[DataFrame, list[dict]]:
+def extension_rounds(
+    facts: DataFrame, head: str, terms: Terms = Terms(), stop_after: int | None = None, names: DataFrame | None = None
+) -> tuple[DataFrame, list[dict]]:
     """The kept rules of all rounds, and a count per round and outcome.
 
     ``facts`` has example_id, label, template, o (null: of the segment) and sources (bit 1 accepted, bit 2 candidate); repeated
     rows merge, rows without example, label or template are left out, further columns are ignored, and no facts give no rules.
-    Templates have no line break.  Instead of facts, one row per example with its ``situations`` (``with_alone``) will do.
+    Templates have no line break.  Instead of facts, one row per example with its ``situations`` (``with_alone``) will do, also in
+    tokens with ``names`` (``kinds_of``).
     Round 1 extends the rules with one atom, each later round the parents chosen from the round before.  A child stays if some
     parent keeps it; of equal bodies, firings and coverages the best stay, then the budgets of the categories decide.
     ``stop_after`` ends early without making that round the last one of the terms.
@@ -281,7 +319,7 @@ def extension_rounds(facts: DataFrame, head: str, terms: Terms = Terms(), stop_a
     round (``most`` at most) to choose parents; all else is on Spark.
     """
     scenes = alike(facts if "situations" in facts.columns else scenes_of(facts))
-    kinds = kinds_of(scenes)
+    kinds = kinds_of(scenes, names)
     pairs = checkpointed(living_pairs(kinds))
     often = checkpointed(kinds.select(F.explode(F.map_keys("held")).alias("template"), "n").groupBy("template").agg(F.sum("n").alias("n")))
     current = checkpointed(rules.with_clause(first_rules(kinds, scenes, often), head))

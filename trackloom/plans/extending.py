@@ -33,10 +33,18 @@ def sourced_scenes(t: Inputs):
     Objects without number belong to the segment, and videos of 100,000 segments share examples with others; with any of these the
     examples are gathered from the facts.
     """
+    return sourced_facts(t) if from_facts(t) else t.scenes(sourced=True)
+
+
+def from_facts(t: Inputs) -> bool:
     crowded = t.table("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter(C("n") > 100_000)
-    if not (t.table("lineitem").filter("l_linenumber is null").isEmpty() and crowded.isEmpty()):
-        return sourced_facts(t)
-    return t.scenes(sourced=True)
+    return not (t.table("lineitem").filter("l_linenumber is null").isEmpty() and crowded.isEmpty())
+
+
+def grown(t: Inputs, stop_after: int | None = None):
+    """The rounds over the examples in tokens, or from the facts where ``sourced_scenes`` does so."""
+    scenes, names = (sourced_facts(t), None) if from_facts(t) else t.coded_scenes()
+    return extension.extension_rounds(scenes, HEAD, TERMS, stop_after=stop_after, names=names)
 
 
 RANK = "round(score, 9) desc, positive_support desc, negative_support, semantic desc, ratio, clause, parent"
@@ -67,17 +75,17 @@ ca as (select *, row_number() over (partition by category order by {RANK}) as pl
 ke as (select * from ca where {BUDGET} order by {RANK} limit {TERMS.most[0]})
 select 1 as round, clause, parent, category, positive_support, negative_support, round(confidence, 6) as confidence, round(gain, 6) as gain, round(score, 6) as score from ke""")
 def first_extension_round(t: Inputs):
-    found, _ = extension.extension_rounds(sourced_scenes(t), HEAD, TERMS, stop_after=1)
+    found, _ = grown(t, stop_after=1)
     return rounded(found, *KEPT)
 
 
 @query()
 def extension_rounds(t: Inputs):
-    found, _ = extension.extension_rounds(sourced_scenes(t), HEAD, TERMS)
+    found, _ = grown(t)
     return rounded(found, *KEPT, "is_parent")
 
 
 @query()
 def extension_outcomes(t: Inputs):
-    _, history = extension.extension_rounds(sourced_scenes(t), HEAD, TERMS)
+    _, history = grown(t)
     return t.spark.createDataFrame(history, "round int, outcome string, n long")
